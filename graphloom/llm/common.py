@@ -10,8 +10,6 @@ made per word.
 from __future__ import annotations
 
 import functools
-import math
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -202,15 +200,12 @@ def bucket_of(column: str, cuts: list[int]):
     """The number of cuts below or at the value, by the JVM; null goes to bucket 0."""
     if not cuts:
         return F.lit(0)
-    arr = F.array(*[F.lit(c).cast("long") for c in cuts])
-    # binary search: few cuts need few comparisons
     def search(lo: int, hi: int):
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
         return F.when(F.col(column) >= F.lit(cuts[mid]).cast("long"), search(mid + 1, hi)).otherwise(search(lo, mid))
 
-    del arr
     return search(0, len(cuts))
 
 

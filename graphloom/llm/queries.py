@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 
-from . import chat, langid
+from . import bpe, chat, fingerprint, langid, licenses, tokens
 from .common import table
 
 
@@ -12,12 +12,32 @@ def op1_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark, sf_dir):
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_token_files(spark, sf_dir):
+    return tokens.store_and_read(table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark, sf_dir):
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op5_fingerprints": op5_fingerprints,
+    "op7_token_files": op7_token_files,
+    "op8_license_scan": op8_license_scan,
+    "op9_bpe": op9_bpe,
     "op10_chat_format": op10_chat_format,
 }
 
