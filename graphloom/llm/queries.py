@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 
-from . import bpe, chat, fingerprint, langid, licenses, tokens
+from . import bpe, chat, decontam, fingerprint, html, langid, licenses, tokens
 from .common import table
 
 
@@ -12,6 +12,14 @@ def op1_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark, sf_dir):
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_main_text(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_fingerprints(spark, sf_dir):
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -34,6 +42,8 @@ def op10_chat_format(spark, sf_dir):
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_decontamination": op3_decontamination,
+    "op4_main_text": op4_main_text,
     "op5_fingerprints": op5_fingerprints,
     "op7_token_files": op7_token_files,
     "op8_license_scan": op8_license_scan,
