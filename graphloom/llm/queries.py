@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 
-from . import bpe, chat, decontam, fingerprint, html, langid, licenses, tokens
+from . import bpe, chat, decontam, fingerprint, html, langid, licenses, suffixes, tokens
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op5_fingerprints(spark, sf_dir):
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark, sf_dir):
     return tokens.store_and_read(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_main_text": op4_main_text,
     "op5_fingerprints": op5_fingerprints,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_files": op7_token_files,
     "op8_license_scan": op8_license_scan,
     "op9_bpe": op9_bpe,
