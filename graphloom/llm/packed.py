@@ -18,7 +18,7 @@ def blobs(kind: int, target: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(target, kind="stable")
     t, r = target[order], records[order]
     cut = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
-    ends = np.append(cut[1:], len(t))
+    ends = np.append(cut[1:], len(t))[: len(cut)]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(t[cut].astype(np.int32)),
