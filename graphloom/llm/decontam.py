@@ -199,31 +199,35 @@ def _search(batch, seeds: Seeds, threshold: float):
         base += len(offs) - 1
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, item_id, score, first_word, last_word (the aligned words of the document, from 0) of every
-    leaked item of every document row."""
+def _blocks(docs: DataFrame, benchmark: DataFrame, block_words: int):
+    """(item ids, rare seeds) of each block of items, broadcast; each costs a pass that counts n-grams."""
     spark = docs.sparkSession
-    doc_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "text")
     n_docs, total = docs.count(), benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (2 * block_words)))  # a word and what parts it from the next are two characters at least
-    out = None
     for k in range(blocks):
         rows = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         items = item_words([r["text"] for r in rows])
-        names = [r["item_id"] for r in rows]
         every = Seeds(items)
-        shared = spark.sparkContext.broadcast((names, rare_seeds(items, every, gram_frequency(docs, every), n_docs)))
+        yield spark.sparkContext.broadcast(([r["item_id"] for r in rows], rare_seeds(items, every, gram_frequency(docs, every), n_docs)))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, item_id, score, first_word, last_word (the aligned words of the document, from 0) of every
+    leaked item of every document row."""
+    doc_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    item_arrow = {"string": pa.string(), "int": pa.int32()}.get(item_type, pa.int64())
+    docs = docs.select("doc_id", "text")
+    out = None
+    for shared in _blocks(docs, benchmark, block_words):
 
         def run(batches, shared=shared):
             names, seeds = shared.value
             for batch in batches:
                 got = list(_search(batch, seeds, threshold))
-                rows = [g[0] for g in got]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").take(pa.array(rows, pa.int64())),
-                        pa.array([names[g[1]] for g in got], pa.string() if item_type == "string" else pa.int32() if item_type == "int" else pa.int64()),
+                        batch.column("doc_id").take(pa.array([g[0] for g in got], pa.int64())),
+                        pa.array([names[g[1]] for g in got], item_arrow),
                         pa.array([g[2] for g in got], pa.float64()),
                         pa.array([g[3] for g in got], pa.int64()),
                         pa.array([g[4] for g in got], pa.int64()),
@@ -234,3 +238,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, b
         part = docs.mapInArrow(run, f"doc_id {doc_type}, item_id {item_type}, score double, first_word long, last_word long")
         out = part if out is None else out.union(part)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` that leak no item; nothing is joined or shuffled."""
+    out = docs
+    for shared in _blocks(docs.select("doc_id", "text"), benchmark, block_words):
+
+        def run(batches, shared=shared):
+            _, seeds = shared.value
+            for batch in batches:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                keep[[g[0] for g in _search(batch, seeds, threshold)]] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

@@ -239,3 +239,11 @@ def identify(docs: DataFrame, order: int = ORDER, train_bytes: int = 4_000_000)
     return predict(docs.select("doc_id", "text"), model).select(
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits"
     )
+
+
+def accepted(docs: DataFrame, order: int = ORDER, train_bytes: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs`` that get a language; those with null text or without a letter go."""
+    model = fit(docs, order, train_bytes)
+    if not model.langs:  # nothing to learn from: only the letters decide
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return predict(docs, model).where(F.col("lang_pred") != UND).select(*[f"`{c}`" for c in docs.columns])

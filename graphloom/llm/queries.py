@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 
-from . import bpe, chat, decontam, fingerprint, html, langid, licenses, suffixes, tokens
+from . import bpe, chat, decontam, fingerprint, html, jaccard, langid, licenses, suffixes, tokens
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op3_decontamination(spark, sf_dir):
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +50,7 @@ def op10_chat_format(spark, sf_dir):
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_decontamination": op3_decontamination,
     "op4_main_text": op4_main_text,
     "op5_fingerprints": op5_fingerprints,
@@ -57,6 +62,28 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g
+  FROM w
+), n AS (
+  SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 85 * (nx.c + ny.c - i)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, e.y FROM r JOIN e ON r.b = e.x
+)
+SELECT d.doc_id, coalesce(max(n.c), 0) AS n_shingles, min(r.b) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
+""",
     "op10_chat_format": """
 WITH t AS (
   SELECT conv_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
