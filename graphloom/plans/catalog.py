@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+import importlib
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+for _name in ("sql_history",):
+    _m = importlib.import_module(f".{_name}", __package__)
+    QUERIES |= _m.Q
+    ORACLE_SQL |= _m.S
