@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 21  # bytes of text that are hashed at a time
+CHUNK = 1 << 20  # bytes of text that are hashed at a time
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

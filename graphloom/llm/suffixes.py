@@ -41,7 +41,7 @@ GRAM = 64  # bytes of an anchor
 SAMPLE_DOCS = 4_000  # at which hot anchors are looked for
 HOT = 0.004  # share of the sample's documents that makes an anchor hot
 FLUSH = 1 << 19  # runs that a task holds before it sends them
-BLOCK = 1 << 22  # bytes that are sorted at a time
+BLOCK = 1 << 20  # bytes that are sorted at a time
 V = 32
 
 RUN = np.dtype([("anchor", "<u8"), ("seg", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("a", "<u4"), ("n", "u1"), ("off", "u1"), ("many", "u1")])
@@ -138,6 +138,22 @@ def _spans(r: np.ndarray) -> np.ndarray:
     return out
 
 
+def _joined(s: np.ndarray) -> np.ndarray:
+    """Spans of one text that overlap or follow on each other as one."""
+    if not len(s):
+        return s
+    s = s[np.lexsort((s["a"], s["k2"], s["k1"]))]
+    new = np.ones(len(s), dtype=bool)
+    new[1:] = (s["k1"][1:] != s["k1"][:-1]) | (s["k2"][1:] != s["k2"][:-1])
+    text = np.cumsum(new).astype(np.int64) << 32
+    reach = np.maximum.accumulate(text + s["b"])  # texts are in order, so earlier ones don't reach in
+    new[1:] |= text[1:] + s["a"][1:] > reach[:-1] + 1
+    at = np.flatnonzero(new)
+    out = s[at].copy()
+    out["b"] = np.maximum.reduceat(s["b"], at)
+    return out
+
+
 def _send(parts: list[np.ndarray], targets: int):
     """Equal runs of this task are resolved here; one of each goes to its bucket, marked."""
     r, new = _groups(np.concatenate(parts))
@@ -147,7 +163,7 @@ def _send(parts: list[np.ndarray], targets: int):
     one = r[at].copy()
     one["many"] = size > 1
     yield blobs(0, one["anchor"] % np.uint64(targets), one)
-    done = _spans(r[many])
+    done = _joined(_spans(r[many]))
     yield blobs(1, np.arange(len(done)) // 4096 % targets, done)
 
 
