@@ -50,7 +50,6 @@ class Bpe:
         self.pair_rank = np.array(out + [0], dtype=np.int64)  # the last stands for no pair
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.coder = PieceCoder(self._encode_pieces)
-        self.match_ids: dict[str, np.ndarray] = {}
 
     # -------------------------------------------------------------- merging
 
@@ -139,7 +138,8 @@ class Bpe:
                     out[i] = ids
         return out
 
-    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_pieces(self, first: list[str], later: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces = first + later
         found = [self.pattern.findall(p) for p in pieces]
         distinct = list({m: None for f in found for m in f})
         ids = dict(zip(distinct, self.encode_bytes([m.encode("utf-8", "replace") for m in distinct]), strict=True))

@@ -12,8 +12,12 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _NEAR = re.compile(r"\s\s")
+#: The same for RE2, over all characters that Python's \s takes.
+_NEAR_ALL = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -22,63 +26,80 @@ def cut(text: str) -> list[str]:
     return _CUT.split(text) if _NEAR.search(text) else text.split(" ")
 
 
-class _Known(dict):
-    def __init__(self, coder: "PieceCoder", before: str) -> None:
-        self.coder, self.before = coder, before
-
-    def __missing__(self, piece: str) -> int:
-        at = self[piece] = self.coder.size + len(self.coder.fresh)
-        self.coder.fresh.append(self.before + piece)
-        return at
-
-
 class PieceCoder:
-    """encode_new: distinct pieces -> (ids of all, number of ids of each)."""
+    """encode_new(first, later): distinct pieces that begin a text, and distinct pieces with the space before them ->
+    (ids of all in that order, number of ids of each)."""
 
-    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000) -> None:
+    def __init__(self, encode_new: Callable[[list[str], list[str]], tuple[np.ndarray, np.ndarray]], most: int = 450_000) -> None:
         self.encode_new, self.most = encode_new, most
         self._clear()
 
     def _clear(self) -> None:
-        self.fresh: list[str] = []
+        self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})  # first, later: piece -> place
         self.size = 0
-        self.first, self.later = _Known(self, ""), _Known(self, " ")
         self.flat = np.zeros(0, dtype=np.int32)
         self.start = np.zeros(0, dtype=np.int64)
-        self.count = np.zeros(0, dtype=np.int64)
+        self.count = np.zeros(0, dtype=np.int32)
+
+    def _learn(self, first: list[str], later: list[str]) -> None:
+        """Code those pieces (each list without repeats) that aren't known yet."""
+        new = [[p for p in some if p not in known] for some, known in zip((first, later), self.known, strict=True)]
+        if not new[0] and not new[1]:
+            return
+        for some, known in zip(new, self.known, strict=True):
+            known.update(zip(some, range(self.size, self.size + len(some)), strict=True))
+            self.size += len(some)
+        flat, count = self.encode_new(new[0], [" " + p for p in new[1]])
+        start = np.concatenate(([0], np.cumsum(count)[:-1])) + len(self.flat)
+        self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
+        self.start = np.concatenate((self.start, start))
+        self.count = np.concatenate((self.count, count.astype(np.int32)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin (one more value than texts)."""
+        if not texts:
+            return np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
         if self.size > self.most:
             self._clear()  # bounded memory; pieces are simply coded again
-        refs: list[int] = []
-        ends = np.zeros(len(texts) + 1, dtype=np.int64)
-        first, later = self.first, self.later
-        for i, t in enumerate(texts):
-            parts = cut(t)
-            refs.append(first[parts[0]])
-            refs.extend(map(later.__getitem__, parts[1:]))
-            ends[i + 1] = len(refs)
-        self._learn()
-        r = np.array(refs, dtype=np.int64)
+        whole = pa.array(texts, pa.large_string())
+        plain = pc.invert(pc.match_substring_regex(whole, _NEAR_ALL))
+        lists = pc.split_pattern(pc.if_else(plain, whole, ""), " ")
+        plain = plain.to_pylist()
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        code = coded.indices.to_numpy()
+        names = coded.dictionary.to_pylist()
+        heads = ends[:-1]  # of each text's first piece, which has no space before it
+        begins = np.bincount(code[heads], minlength=len(names))
+        within = np.bincount(code, minlength=len(names)) - begins
+        some = [np.flatnonzero(used).tolist() for used in (begins, within)]
+        told = [[names[i] for i in at] for at in some]
+        odd = {i: cut(texts[i]) for i, ok in enumerate(plain) if not ok}  # runs of white space: cut by rule
+        self._learn(*told)
+        if odd:
+            self._learn(list(dict.fromkeys(p[0] for p in odd.values())), list(dict.fromkeys(x for p in odd.values() for x in p[1:])))
+        first, later = self.known
+        at = np.zeros((2, len(names)), dtype=np.int32)
+        for row, known in enumerate(self.known):
+            at[row, some[row]] = list(map(known.__getitem__, told[row]))
+        r = at[1][code]
+        r[heads] = at[0][code[heads]]
+        if odd:
+            rows = np.split(r, ends[1:-1])
+            for i, p in odd.items():
+                rows[i] = np.array([first[p[0]], *map(later.__getitem__, p[1:])], dtype=np.int32)
+            r = np.concatenate(rows)
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in rows])))
         n = self.count[r]
-        total = np.concatenate(([0], np.cumsum(n)))
-        ids = self.flat[np.repeat(self.start[r] - total[:-1], n) + np.arange(total[-1])]
+        total = np.zeros(len(r) + 1, dtype=np.int64)
+        np.cumsum(n, out=total[1:])
+        place = np.repeat((self.start[r] - total[:-1]).astype(np.int32), n)  # both are far below 2**31
+        place += np.arange(total[-1], dtype=np.int32)
+        ids = self.flat[place]
         return ids, total[ends]
 
-    def _learn(self) -> None:
-        if not self.fresh:
-            return
-        flat, count = self.encode_new(self.fresh)
-        start = np.concatenate(([0], np.cumsum(count)[:-1])) + len(self.flat)
-        self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
-        self.start = np.concatenate((self.start, start))
-        self.count = np.concatenate((self.count, count.astype(np.int64)))
-        self.size += len(self.fresh)
-        self.fresh = []
-
 
-def batches_of(texts: list[str], most: int = 1 << 21):
+def batches_of(texts: list[str], most: int = 1 << 23):
     """(first, end) of runs of whole texts of about ``most`` characters."""
     lo = size = 0
     for i, t in enumerate(texts):
