@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import importlib
+from . import sql_graph, sql_history, sql_text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _name in ("sql_history",):
-    _m = importlib.import_module(f".{_name}", __package__)
-    QUERIES |= _m.Q
-    ORACLE_SQL |= _m.S
+for _m in (sql_history, sql_graph, sql_text):
+    QUERIES |= _m.q.q
+    ORACLE_SQL |= _m.q.s

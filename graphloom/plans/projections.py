@@ -33,7 +33,7 @@ SQL: dict[str, str] = {
           ELSE replace(p_name, ' ', '_') END AS name,
         CASE WHEN p_size < 4 THEN 'src/tests/' WHEN p_size < 7 THEN 'src/utils/' WHEN p_size < 10 THEN 'app/api/' ELSE 'src/core/' END
           || lower(replace(p_brand, '#', '')) || CASE WHEN p_size = 12 THEN '_test.py' ELSE '.py' END AS file_path,
-        CASE WHEN p_retailprice < 1000 THEN 'python' WHEN p_retailprice < 1050 THEN 'java' ELSE 'go' END AS language,
+        CASE WHEN p_name LIKE 'red%' THEN 'python' WHEN p_name LIKE 'blue%' THEN 'java' ELSE 'go' END AS language,
         p_size > 25 AS is_exported, p_size AS start_line, p_size + 10 AS end_line, p_brand AS community, p_partkey AS def_seq
       FROM {part}""",
     "hops": "SELECT l_orderkey, ln, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY ln) AS dst FROM lines",

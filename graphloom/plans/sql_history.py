@@ -5,19 +5,9 @@ from __future__ import annotations
 from ..operators import consensus as C
 from ..operators import history as H
 from .projections import cte, frame
+from .registry import Registry
 
-Q: dict = {}
-S: dict[str, str] = {}
-
-
-def q(name: str, sql: str | None = None):
-    def keep(f):
-        Q[name] = f
-        if sql:
-            S[name] = sql.replace(", 4)", " + 1e-9, 4)")
-        return f
-
-    return keep
+q = Registry()
 
 
 COCHANGE = """, n AS (SELECT file, count(*) AS n FROM commit_files GROUP BY file),
