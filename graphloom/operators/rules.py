@@ -170,9 +170,13 @@ def _(df):
 def _(df):
     if not _has(df, "sections"):
         return F.lit(False)
+
+    def named(section: str) -> Column:
+        return F.exists(F.coalesce("sections", F.array()), lambda x: F.contains(F.lower(x), F.lit(section.lower())))
+
     out = F.lit(True)
     for s in SECTIONS:
-        out = out & F.exists(F.coalesce("sections", F.array()), lambda x, s=s: F.contains(F.lower(x), F.lit(s.lower())))
+        out = out & named(s)
     return out
 
 

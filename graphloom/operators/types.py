@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.cut import cut
 
@@ -122,7 +123,12 @@ def parse_type(text: str | None, language: str | None = None) -> dict:
     return {"name": name, "args": args, "is_optional": optional, "is_array": array or short in ARRAY_WRAPS}
 
 
-@F.pandas_udf("name string, args array<string>, is_optional boolean, is_array boolean")
+TYPE_PARTS = T.StructType(
+    [T.StructField("name", T.StringType()), T.StructField("args", T.ArrayType(T.StringType())), T.StructField("is_optional", T.BooleanType()), T.StructField("is_array", T.BooleanType())]
+)
+
+
+@F.pandas_udf(TYPE_PARTS)
 def type_parts(text: pd.Series, language: pd.Series) -> pd.DataFrame:
     rows = [parse_type(t, g) for t, g in zip(text, language, strict=True)]
     return pd.DataFrame(rows, columns=["name", "args", "is_optional", "is_array"])
@@ -158,7 +164,7 @@ def match_templates(prompts: DataFrame, templates: DataFrame, most: int = 3, fal
 def with_encoder(texts: DataFrame, encode, column: str = "text", dims: int = 384) -> DataFrame:
     """Embeddings by a pluggable encoder: ``encode(list of texts) -> list of vectors``, called for Arrow batches."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             yield pd.Series([[float(x) for x in v] for v in encode(b.fillna("").tolist())])

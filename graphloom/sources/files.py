@@ -82,7 +82,12 @@ def parse_blame(text: DataFrame, column: str = "value") -> DataFrame:
 # ---------------------------------------------------------------- symbols
 
 
-@F.udtf(returnType="kind string, name string, parent string, start_line int, end_line int, detail string")
+SYMBOL = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("kind", "name", "parent")] + [T.StructField(n, T.IntegerType()) for n in ("start_line", "end_line")] + [T.StructField("detail", T.StringType())]
+)
+
+
+@F.udtf(returnType=SYMBOL)
 class PythonSymbols:
     """Functions, methods, classes, imports, heritage and calls of a Python source text."""
 
@@ -182,7 +187,12 @@ def split_by_labels(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"from_label": label_of_id(F.col("src").cast("string")), "to_label": label_of_id(F.col("dst").cast("string"))})
 
 
-EVENT = T.StructType.fromDDL("event_id STRING, event_type STRING, stage_id INT, session_id STRING, timestamp TIMESTAMP, tool_name STRING, outcome STRING, message STRING, duration_ms DOUBLE, metadata MAP<STRING,STRING>")
+EVENT = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("event_id", "event_type")]
+    + [T.StructField("stage_id", T.IntegerType()), T.StructField("session_id", T.StringType()), T.StructField("timestamp", T.TimestampType())]
+    + [T.StructField(n, T.StringType()) for n in ("tool_name", "outcome", "message")]
+    + [T.StructField("duration_ms", T.DoubleType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))]
+)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
