@@ -27,7 +27,11 @@ def _matched(docs: DataFrame, terms: list[str], key: str, text: str) -> DataFram
     """Per document its length and tf of each query term, without exploding the words that no query asks for."""
     words = tokens(F.coalesce(F.col(text), F.lit("")))
     t = docs.select(key, words.alias("w"))
-    return t.select(key, "w", F.size("w").alias("dl"), *[F.size(F.filter("w", lambda x, q=q: x == F.lit(q))).alias(f"tf{i}") for i, q in enumerate(terms)])
+
+    def tf(q: str) -> Column:
+        return F.size(F.filter("w", lambda x: x == F.lit(q)))
+
+    return t.select(key, "w", F.size("w").alias("dl"), *[tf(q).alias(f"tf{i}") for i, q in enumerate(terms)])
 
 
 def _bm25(m: DataFrame, terms: list[str], key: str, hit: Column, tfs: list[Column]) -> DataFrame:
