@@ -7,9 +7,10 @@ these are put into inverted lists, as packed records.
 
 * Index level: a list is kept by size, in blocks that know their sizes and least position.  A block is skipped when no
   entry in it can link: sizes too far apart, or too few tokens left behind the common one (positional filter).
-* Answer level: each class is first compared with one hub, the set that heads most of its lists.  Links to hubs
-  give components at once, so a group of n near copies costs n comparisons.  Then only entries of different
-  components can add anything; of these, x and y compared with the same hub h can't link when
+* Answer level: each class is first compared with one hub, the set that heads most of its lists, then in ``ROUNDS``
+  rounds with the likeliest set of another component that it hasn't met.  Every link found makes the answers of
+  its component those of the set, so a group of n near copies costs a few n comparisons.  Then only entries of
+  different components can add anything; of these, x and y compared with the same hub h can't link when
   |d(x, h) - d(y, h)| exceeds 1 - t (Jaccard distance is a metric), nor when the parity sketches of the two
   sets differ in more bits than linked sets differ in tokens.  What is left is counted exactly.
 
@@ -36,6 +37,7 @@ ORDERED = 1 << 17  # frequent tokens that are ordered by frequency; the others b
 OFTEN = 3  # classes of one batch that make a token worth counting
 SKETCH = 512  # bits
 BLOCK = 64  # entries of a block of a list
+ROUNDS = 3  # of comparisons with the likeliest set of another component
 ENTRY = np.dtype([("token", "<u8"), ("k", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
 
@@ -63,6 +65,23 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits(bit.astype(np.uint8)).tobytes()
 
 
+def wide_parity(s: np.ndarray) -> bytes:
+    """The same with about four bits a token (a power of two, 512 at least): halves folded by xor make any smaller one."""
+    m = max(512, 1 << int(4 * len(s) - 1).bit_length()) if len(s) else 512
+    bit = np.bincount((mix(s) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(bit.astype(np.uint8)).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Bits in which two wide sketches differ, at the size of the smaller."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def need(n: int | np.ndarray, percent: int):
     """Least overlap of a set of n with any set it links to."""
     return -(-percent * n // 100)
@@ -74,12 +93,12 @@ def overlap_needed(a, b, percent: int):
 
 
 def summaries(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, t1, t2 (text), k1, k2 (set), n, sketch; on one row of a batch, tokens frequent in it with their counts."""
+    """doc_id, t1, t2 (text), k1, k2 (set), n, sketch, wide; on one row of a batch, tokens frequent in it with their counts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            k1, k2, size, sketch = [], [], [], []
+            k1, k2, size, sketch, wide = [], [], [], [], []
             first: dict[tuple[int, int], None] = {}
             seen: list[np.ndarray] = []
             for _, _, buf, offs in text_chunks(batch.column("text")):
@@ -89,6 +108,7 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
                     k2.append(key[1])
                     size.append(len(s))
                     sketch.append(parity(s))
+                    wide.append(wide_parity(s))
                     if key not in first:
                         first[key] = None
                         seen.append(s)
@@ -99,12 +119,12 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("t1"), batch.column("t2"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(size, pa.int64()),
-                    pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(u[often].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(c[often].astype(np.int64))),
+                    pa.array(sketch, pa.binary()), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(u[often].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(c[often].astype(np.int64))),
                 ],
-                names=["doc_id", "t1", "t2", "k1", "k2", "n", "sketch", "tokens", "counts"],
+                names=["doc_id", "t1", "t2", "k1", "k2", "n", "sketch", "wide", "tokens", "counts"],
             )
 
-    schema = f"doc_id {kind}, t1 long, t2 long, k1 long, k2 long, n long, sketch binary, tokens array<long>, counts array<long>"
+    schema = f"doc_id {kind}, t1 long, t2 long, k1 long, k2 long, n long, sketch binary, wide binary, tokens array<long>, counts array<long>"
     return docs.mapInArrow(run, schema)
 
 
@@ -183,34 +203,53 @@ def _lists(percent: int):
     return work
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """x, y, both: the pairs of class ids with their exact intersection, written."""
-    ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
-    needed = written(classes.join(ids, "id", "left_semi").select("id", "t1", "t2"), "needed")
-    texts = Bloom.of(needed, "t1", "t2").filtered(docs.select("t1", "t2", "text"), "t1", "t2")
-    one = texts.dropDuplicates(["t1", "t2"]).join(needed, ["t1", "t2"]).select("id", "text")
+def _of(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of ``table`` whose id is among ``ids``; only those and a few more are shuffled."""
+    return Bloom.of(ids, "id", "id").filtered(table, key, key).join(ids.withColumnRenamed("id", key), key, "left_semi")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
+
 
-    def make(batches):
+def _sifted(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose wide sketches don't rule a link out, written."""
+    w = written(_of(classes.select("id", "n", "wide"), _ends(pairs)), "wide")
+
+    def run(batches):
         for batch in batches:
-            sets = [s.tobytes() for _, _, buf, offs in text_chunks(batch.column("text")) for s in sets_of(buf, offs, n)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "tokens"])
+            nx, ny = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("nx", "ny"))
+            bits = np.array([apart(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)], dtype=np.int64)
+            ok = bits <= nx + ny - 2 * overlap_needed(nx, ny, percent)
+            yield batch.select(["x", "y"]).filter(pa.array(ok))
+
+    j = pairs.join(w.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("wide").alias("a")), "x").join(w.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("wide").alias("b")), "y")
+    return written(j.select("x", "y", "nx", "ny", "a", "b").mapInArrow(run, "x long, y long"), "sifted")
+
 
-    sets = written(one.mapInArrow(make, "id long, tokens binary"), "sets")
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """x, y, both: the pairs of class ids with their exact intersection, written.  One text of each class is fetched; sets are
+    made where a pair meets, since texts are smaller than their sets."""
+    needed = written(_of(classes.select("id", "d1", "t1"), _ends(pairs)), "needed")
+    texts = Bloom.of(needed, "d1", "t1").filtered(docs.select("d1", "t1", "text"), "d1", "t1")
+    texts = written(texts.join(needed, ["d1", "t1"]).dropDuplicates(["id"]).select("id", "text"), "texts")
 
     def count(batches):
         for batch in batches:
-            both = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                u, v = np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)
-                if len(u) > len(v):
-                    u, v = v, u
-                at = np.searchsorted(v, u)
-                at[at == len(v)] = 0
-                both.append(int((v[at] == u).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(both, pa.int64())], names=["x", "y", "both"])
-
-    left = pairs.join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("a")), "x")
-    full = left.join(sets.select(F.col("id").alias("y"), F.col("tokens").alias("b")), "y").select("x", "y", "a", "b")
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                both = []
+                a, b = ([s for _, _, buf, offs in text_chunks(part.column(c)) for s in sets_of(buf, offs, n)] for c in ("a", "b"))
+                for u, v in zip(a, b, strict=True):
+                    if len(u) > len(v):
+                        u, v = v, u
+                    at = np.searchsorted(v, u)
+                    at[at == len(v)] = 0
+                    both.append(int((v[at] == u).sum()))
+                yield pa.RecordBatch.from_arrays([part.column("x"), part.column("y"), pa.array(both, pa.int64())], names=["x", "y", "both"])
+
+    left = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("a")), "x")
+    full = left.join(texts.select(F.col("id").alias("y"), F.col("text").alias("b")), "y").select("x", "y", "a", "b")
     return written(full.mapInArrow(count, "x long, y long, both long"), "verified")
 
 
@@ -220,75 +259,138 @@ def _different_bits(a: str, b: str) -> str:
     return " + ".join(f"bit_count(cast({part(a, i)} AS BIGINT) ^ cast({part(b, i)} AS BIGINT))" for i in range(SKETCH // 64))
 
 
-def cross_pairs(rows: list[np.ndarray], percent: int) -> set[tuple[int, int]]:
-    """Pairs of one list that may link: of different components, and through every filter.
-    rows: id, comp, n, pos, hub, distance to hub, sketch (k, SKETCH / 64)."""
-    ids, comp, n, pos, hub, dist, bits = rows
-    order = np.lexsort((pos, n))
-    ids, comp, n, pos, hub, dist, bits = (x[order] for x in (ids, comp, n, pos, hub, dist, bits))
-    m = len(ids)
-    out: set[tuple[int, int]] = set()
-    starts = range(0, m, BLOCK)
-    head = np.array([n[a] for a in starts])
-    last = np.array([n[min(m, a + BLOCK) - 1] for a in starts])
-    left = np.array([(n[a : a + BLOCK] - pos[a : a + BLOCK]).max() for a in starts])  # tokens from the common one on
-    only = np.array([comp[a] if (comp[a : a + BLOCK] == comp[a]).all() else -1 for a in starts])
-    for i in range(m):
+class _List:
+    """One inverted list by size, in blocks.  rows: id, comp, n, pos, hub, distance to hub, sketch (k, SKETCH / 64)."""
+
+    def __init__(self, rows: list[np.ndarray], percent: int) -> None:
+        order = np.lexsort((rows[3], rows[2]))
+        self.order, self.percent = order, percent
+        self.ids, self.comp, self.n, self.pos, self.hub, self.dist, self.bits = (x[order] for x in rows)
+        m = len(order)
+        self.starts = range(0, m, BLOCK)
+        self.head = np.array([self.n[a] for a in self.starts])
+        self.last = np.array([self.n[min(m, a + BLOCK) - 1] for a in self.starts])
+        self.left = np.array([(self.n[a : a + BLOCK] - self.pos[a : a + BLOCK]).max() for a in self.starts])  # tokens from the common one on
+        self.only = np.array([self.comp[a] if (self.comp[a : a + BLOCK] == self.comp[a]).all() else -1 for a in self.starts])
+
+    def partners(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places after i, of other components, that may link with it, and the bits in which they differ."""
+        n, pos, percent, m = self.n, self.pos, self.percent, len(self.ids)
         ahead = n[i] - pos[i]
-        for k, a in enumerate(starts):
+        found, bits = [], []
+        for k, a in enumerate(self.starts):
             if a + BLOCK <= i + 1:
                 continue
-            if need(int(last[k]), percent) > n[i] and need(int(head[k]), percent) > n[i]:
+            if need(int(self.head[k]), percent) > n[i]:
                 break  # too large, and so is all that follows
-            if only[k] == comp[i] or min(int(ahead), int(left[k])) < overlap_needed(int(n[i]), int(head[k]), percent):
+            if self.only[k] == self.comp[i] or min(int(ahead), int(self.left[k])) < overlap_needed(int(n[i]), int(self.head[k]), percent):
                 continue
             j = np.arange(max(a, i + 1), min(m, a + BLOCK))
-            lap = overlap_needed(n[i] + 0, n[j], percent)
-            ok = (comp[j] != comp[i]) & (np.minimum(ahead, n[j] - pos[j]) >= lap) & (need(n[j], percent) <= n[i])
-            ok &= (hub[j] != hub[i]) | (np.abs(dist[j] - dist[i]) <= 1 - percent / 100 + 1e-9)
+            lap = overlap_needed(n[i], n[j], percent)
+            ok = (self.comp[j] != self.comp[i]) & (np.minimum(ahead, n[j] - pos[j]) >= lap) & (need(n[j], percent) <= n[i])
+            ok &= (self.hub[j] != self.hub[i]) | (np.abs(self.dist[j] - self.dist[i]) <= 1 - percent / 100 + 1e-9)
             j, lap = j[ok], lap[ok]
             if len(j):
-                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
-                for x in ids[j[apart <= n[i] + n[j] - 2 * lap]].tolist():
-                    y = int(ids[i])
-                    out.add((min(x, y), max(x, y)))
+                apart = np.bitwise_count(self.bits[j] ^ self.bits[i]).sum(axis=1).astype(np.int64)
+                near = apart <= n[i] + n[j] - 2 * lap
+                found.append(j[near])
+                bits.append(apart[near])
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(found), np.concatenate(bits)
+
+
+def cross_pairs(rows: list[np.ndarray], percent: int) -> set[tuple[int, int]]:
+    """Pairs of one list that may link: of different components, and through every filter."""
+    own = _List(rows, percent)
+    out: set[tuple[int, int]] = set()
+    for i in range(len(own.ids)):
+        x = int(own.ids[i])
+        out.update((min(x, y), max(x, y)) for y in own.ids[own.partners(i)[0]].tolist())
+    return out
+
+
+def likeliest(rows: list[np.ndarray], met: list[list[int]], percent: int) -> list[tuple[int, int, int]]:
+    """(id, partner, bits) of each entry of a list with the partner of another component whose sketch differs least and that
+    it hasn't met; entries without one are left out."""
+    own = _List(rows, percent)
+    m = len(own.ids)
+    best, who = np.full(m, 1 << 40), np.full(m, -1, dtype=np.int64)
+    met_ = [set(met[k]) for k in own.order]
+    for i in range(m):
+        j, bits = own.partners(i)
+        if not len(j):
+            continue
+        mine, theirs = int(own.ids[i]), own.ids[j]
+        fresh = np.array([mine not in met_[k] and y not in met_[i] for k, y in zip(j.tolist(), theirs.tolist(), strict=True)])
+        j, bits, theirs = j[fresh], bits[fresh], theirs[fresh]
+        if not len(j):
+            continue
+        better = bits < best[j]
+        best[j[better]], who[j[better]] = bits[better], mine
+        k = bits.argmin()
+        if bits[k] < best[i]:
+            best[i], who[i] = bits[k], theirs[k]
+    return [(int(own.ids[i]), int(who[i]), int(best[i])) for i in np.flatnonzero(who >= 0)]
+
+
+def with_partners(rows: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which entries of a list have a partner of another component that may link."""
+    own = _List(rows, percent)
+    out = np.zeros(len(own.ids), dtype=bool)
+    for i in range(len(own.ids)):
+        j = own.partners(i)[0]
+        if len(j):
+            out[own.order[j]] = out[own.order[i]] = True
     return out
 
 
-def _second(lists: DataFrame, percent: int, targets: int) -> DataFrame:
-    """x, y: pairs of different components that may link.  lists: token, id, comp, n, pos, hub, dist, sketch."""
+def _scan(lists: DataFrame, percent: int, targets: int, what: str) -> DataFrame:
+    """lists: token, id, comp, n, pos, hub, dist, sketch, met.  Gives token, x, y, bits:
+    ``entries``: token, id and pos of the entries with a partner that may link;
+    ``nearest``: each x with its likeliest partner of each task, and the bits in which they differ;
+    ``pairs``: all x < y that may link."""
 
     def run(batches):
         held: list[tuple] = []
-        found: set[tuple[int, int]] = set()
+        found: set = set()
+        best: dict[int, tuple[int, int]] = {}
         now = None
 
         def done():
+            if len(held) < 2 or all(r[1] == held[0][1] for r in held):
+                return
             cols = list(zip(*held, strict=True))
             nums = [np.array(c, dtype=np.int64) for c in cols[:5]] + [np.array(cols[5], dtype=np.float64)]
-            bits = np.frombuffer(b"".join(cols[6]), dtype=np.uint64).reshape(len(held), SKETCH // 64)
-            return cross_pairs([*nums, bits], percent)
-
-        def told(pairs):
-            x, y = zip(*sorted(pairs), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
+            rows = [*nums, np.frombuffer(b"".join(cols[6]), dtype=np.uint64).reshape(len(held), SKETCH // 64)]
+            if what == "entries":
+                ok = np.flatnonzero(with_partners(rows, percent))
+                found.update((now, int(nums[0][k]), int(nums[3][k])) for k in ok)
+            elif what == "pairs":
+                found.update((0, *p) for p in cross_pairs(rows, percent))
+            else:
+                for x, y, bits in likeliest(rows, cols[7], percent):
+                    if x not in best or (bits, y) < best[x]:
+                        best[x] = (bits, y)
+
+        def told():
+            rows = [(0, x, y, b) for x, (b, y) in best.items()] if what == "nearest" else [(*f, 0) for f in found]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["token", "x", "y", "bits"])
 
         for batch in batches:
-            for token, *row in zip(*(batch.column(c).to_pylist() for c in ("token", "id", "comp", "n", "pos", "hub", "dist", "sketch")), strict=True):
+            for token, *row in zip(*(batch.column(c).to_pylist() for c in ("token", "id", "comp", "n", "pos", "hub", "dist", "sketch", "met")), strict=True):
                 if token != now:
-                    if len(held) > 1:
-                        found |= done()
-                    if len(found) > 100_000:
-                        yield told(found)
-                        found = set()
+                    done()
+                    if len(found) + len(best) > 100_000:
+                        yield told()
+                        found, best = set(), {}
                     held, now = [], token
                 held.append(tuple(row))
-        if len(held) > 1:
-            found |= done()
-        if found:
-            yield told(found)
+        done()
+        yield told()
 
-    return lists.repartition(targets, "token").sortWithinPartitions("token").mapInArrow(run, "x long, y long").distinct()
+    return lists.repartition(targets, "token").sortWithinPartitions("token").mapInArrow(run, "token long, x long, y long, bits long")
 
 
 def row_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -296,7 +398,7 @@ def row_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> D
     targets = partitions_for(docs)
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     t1, t2 = text_key("text")
-    docs = text.select("doc_id", t1.alias("t1"), t2.alias("t2"), "text")
+    docs = text.select("doc_id", t1.alias("t1"), t2.alias("t2"), "text").withColumn("d1", F.xxhash64("doc_id", "t2"))
     rows = written(summaries(docs, n), "summaries")
     frequent = (
         rows.where("size(tokens) > 0")
@@ -311,8 +413,8 @@ def row_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> D
     classes = (
         rows.where("n > 0")
         .groupBy("k1", "k2", "n")
-        .agg(F.min("doc_id").alias("low"), F.min(F.struct("t1", "t2")).alias("t"), F.any_value("sketch").alias("sketch"))
-        .select("k1", "k2", "n", "low", "t.t1", "t.t2", "sketch")
+        .agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "t1", "t2")).alias("t"), F.any_value("sketch").alias("sketch"), F.any_value("wide").alias("wide"))
+        .select("k1", "k2", "n", "low", "t.t1", F.xxhash64("t.doc_id", "t.t2").alias("d1"), "sketch", "wide")
     )
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     lists = written(reduced(_entries(docs, order, n, percent, targets), targets, {0: ENTRY}, _lists(percent), LISTS), "lists")
@@ -324,42 +426,54 @@ def row_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> D
     h = classes.select(F.col("k1").alias("hub"), F.col("n").alias("hub_n"), F.col("id").alias("y"), F.col("sketch").alias("sy"))
     first = best.join(c, ["k", "n"]).join(h, ["hub", "hub_n"])
     lap = f"cast(ceil({percent} * (n + hub_n) / {100 + percent}.0D) AS BIGINT)"
-    first = written(first.where(f"{_different_bits('sx', 'sy')} <= n + hub_n - 2 * ({lap} - 1)").select("x", "y"), "first")
-    tested = _verified(docs, classes, first, n)
+    asked = written(first.where(f"{_different_bits('sx', 'sy')} <= n + hub_n - 2 * ({lap} - 1)").select("x", "y"), "first")
     size = classes.select("id", "n")
-    tested = tested.join(size.select(F.col("id").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("id").alias("y"), F.col("n").alias("ny")), "y")
     linked = F.expr(f"100 * both >= {percent} * (nx + ny - both)")
-    tested = written(tested.withColumn("linked", linked).withColumn("dist", F.expr("1D - both / cast(nx + ny - both AS DOUBLE)")), "tested")
-    edges = tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    comp = written(components(edges).select(F.col("node").alias("id"), "root"), "comp")
-
-    # then: what different components have in common
-    known = (
-        classes.select(F.col("k1").alias("k"), "n", "id", "sketch")
-        .join(comp, "id", "left")
-        .join(tested.select(F.col("x").alias("id"), F.col("y").alias("hub"), "dist"), "id", "left")
-        .select("k", "n", "id", "sketch", F.coalesce("root", "id").alias("comp"), F.coalesce("hub", "id").alias("hub"), F.coalesce("dist", F.lit(0.0)).alias("dist"))
-    )
+
+    def tried(pairs: DataFrame) -> DataFrame:
+        t = _verified(docs, classes, _sifted(classes, pairs, percent), n)
+        t = t.join(size.select(F.col("id").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("id").alias("y"), F.col("n").alias("ny")), "y")
+        return written(t.select("x", "y", linked.alias("linked"), F.expr("1D - both / cast(nx + ny - both AS DOUBLE)").alias("dist")), "tried")
+
+    def components_with(comp: DataFrame | None, new: DataFrame) -> DataFrame:
+        """id, root after more links: only their ends' roots are joined anew."""
+        edges = new.where("linked").select("x", "y")
+        if comp is None:
+            return written(components(edges, "x", "y").select(F.col("node").alias("id"), "root"), "comp")
+        r = comp.select("id", "root")
+        ends = edges.join(r.select(F.col("id").alias("x"), F.col("root").alias("a")), "x", "left").join(r.select(F.col("id").alias("y"), F.col("root").alias("b")), "y", "left")
+        top = components(ends.select(F.coalesce("a", "x").alias("a"), F.coalesce("b", "y").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        old = r.join(top, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+        return written(old.union(top.select("root", "top").join(r.select(F.col("id").alias("root")), "root", "left_anti")), "comp")
+
     # a class that was compared with none is its own hub; its members then measure from it
-    placed = written(lists.select("token", "k", "n", "pos").join(known, ["k", "n"]), "placed")
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
-    pairs = written(_second(placed.join(mixed, "token", "left_semi"), percent, targets), "second")
-    more = _verified(docs, classes, pairs, n)
-    more = more.join(size.select(F.col("id").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("id").alias("y"), F.col("n").alias("ny")), "y").where(linked)
-    root = comp.select("id", "root")
-    joined = (
-        more.join(root.select(F.col("id").alias("x"), F.col("root").alias("rx")), "x", "left")
-        .join(root.select(F.col("id").alias("y"), F.col("root").alias("ry")), "y", "left")
-        .select(F.coalesce("rx", "x").alias("a"), F.coalesce("ry", "y").alias("b"))
-    )
-    over = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    of = (
-        classes.select("k1", "k2", "n", "id", "low")
-        .join(comp, "id", "left")
-        .withColumn("root", F.coalesce("root", "id"))
-        .join(over, "root", "left")
-        .select("k1", "k2", "n", "low", F.coalesce("top", "root").alias("top"))
-    )
+    seen = tried(asked)
+    hubs = seen.select(F.col("x").alias("id"), F.col("y").alias("hub"), "dist")
+    comp = components_with(None, seen)
+    slim = written(lists.join(classes.select(F.col("k1").alias("k"), "n", "id"), ["k", "n"]).select("token", "id", "pos"), "slim")
+    base = classes.join(slim.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch").join(hubs, "id", "left")
+    base = written(base.select("id", "n", "sketch", F.coalesce("hub", "id").alias("hub"), F.coalesce("dist", F.lit(0.0)).alias("dist")), "base")
+
+    def scan(entries: DataFrame, what: str) -> DataFrame:
+        met = asked.groupBy(F.col("x").alias("id")).agg(F.collect_set("y").alias("met"))  # one for each round
+        known = base.join(comp, "id", "left").join(met, "id", "left").select("id", "n", "sketch", "hub", "dist", F.coalesce("root", "id").alias("comp"), F.coalesce("met", F.array().cast("array<bigint>")).alias("met"))
+        return _scan(entries.join(known, "id"), percent, targets, what)
+
+    entries = written(scan(slim, "entries").select("token", F.col("x").alias("id"), F.col("y").alias("pos")), "entries")
+    for step in range(ROUNDS + 1):
+        if step < ROUNDS:
+            new = scan(entries, "nearest").groupBy("x").agg(F.min(F.struct("bits", "y")).alias("b")).select("x", F.col("b.y").alias("y"))
+        else:
+            new = scan(entries, "pairs").select("x", "y").distinct()
+        new = written(new, "asked")
+        if new.isEmpty():
+            break
+        asked = written(asked.union(new), "asked") if step < ROUNDS else asked
+        both = lambda t: t.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        fresh = tried(both(new).distinct().join(both(seen), ["x", "y"], "left_anti"))
+        seen = written(seen.union(fresh), "seen")
+        comp = components_with(comp, fresh)
+    of = classes.select("k1", "k2", "n", "id", "low").join(comp, "id", "left").select("k1", "k2", "n", "low", F.coalesce("root", "id").alias("top"))
     lows = of.groupBy("top").agg(F.min("low").alias("component_id"))
     of = of.join(lows, "top").select("k1", "k2", "n", "component_id")
     out = rows.select("doc_id", "t1", "t2", "k1", "k2", "n").join(of, ["k1", "k2", "n"], "left")
