@@ -276,6 +276,43 @@ def trace_processes(edges: DataFrame, entries: DataFrame, branching: int = 4, ma
     return done.withColumn("rank", F.row_number().over(q)).where(F.col("rank") <= per_entry).select("entry", "rank", "path")
 
 
+def trace_members(edges: DataFrame, entries: DataFrame, branching: int = 4, max_depth: int = 10) -> DataFrame:
+    """entries(id) -> entry, id, depth: breadth-first members, each node taking at most ``branching`` callees that no node
+    before it in the queue took.  Inside a level that is a matching: a callee asks the first node that hasn't
+    refused it, and a node keeps its first ``branching`` by edge_seq, until none is refused."""
+    arcs = cut(edges.where("src <> dst").groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.min("edge_seq").cast("bigint").alias("e")))
+    seen = cut(entries.select(F.col("id").alias("entry"), "id", F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("o")))
+    front = seen
+    for depth in range(1, max_depth + 1):
+        old = seen.select("entry", F.col("id").alias("b"))
+        cand = cut(front.join(arcs, F.col("id") == F.col("a")).select("entry", F.col("o").alias("p"), "e", "b").join(old, ["entry", "b"], "left_anti"))
+        if cand.isEmpty():
+            break
+        while True:
+            ask = cand.groupBy("entry", "b").agg(F.min(F.struct("p", "e")).alias("m")).select("entry", "b", "m.p", "m.e")
+            w = Window.partitionBy("entry", "p").orderBy("e", "b")
+            ask = cut(ask.withColumn("k", F.row_number().over(w)))
+            refused = ask.where(F.col("k") > branching).select("entry", "p", "b")
+            if refused.isEmpty():
+                break
+            cand = cut(cand.join(refused, ["entry", "p", "b"], "left_anti"))
+        front = cut(ask.select("entry", F.col("b").alias("id"), F.lit(depth).alias("depth"), F.concat("p", F.array("e")).alias("o")))
+        seen = cut(seen.unionByName(front))
+    return seen.select("entry", "id", "depth")
+
+
+def drop_subsets(members: DataFrame, scores: DataFrame) -> DataFrame:
+    """members(entry, id), scores(id, score): entries of at least two members whose set is in no set of a better entry (by falling
+    score, then id).  A set can only be inside one that holds its own entry."""
+    g = members.groupBy("entry").agg(F.collect_set("id").alias("m")).where(F.size("m") >= 2)
+    g = g.join(scores.select(F.col("id").alias("entry"), "score"), "entry")
+    big = members.select(F.col("entry").alias("e2"), F.col("id").alias("entry")).where("e2 <> entry")
+    j = big.join(g, "entry").join(g.select(F.col("entry").alias("e2"), F.col("m").alias("m2"), F.col("score").alias("s2")), "e2")
+    better = (F.col("s2") > F.col("score")) | ((F.col("s2") == F.col("score")) & (F.col("e2") < F.col("entry")))
+    gone = j.where(better & (F.size(F.array_except("m", "m2")) == 0)).select("entry").distinct()
+    return g.join(gone, "entry", "left_anti").select("entry", F.sort_array("m").alias("members"), "score")
+
+
 def drop_contained(traces: DataFrame) -> DataFrame:
     """Without traces whose joined key stands inside another's; of equal ones the least (entry, rank) stays."""
     t = traces.withColumns({"key": F.concat(F.lit(">"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">"), F.lit(">")), "len": F.size("path")})

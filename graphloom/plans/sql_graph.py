@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import graph as G
 from ..operators import modules as M
+from ..operators import project as P
 from ..operators import resolve as R
 from .projections import cte, frame, table
 from .registry import Registry
@@ -399,3 +400,46 @@ def _(s, d):
     st = s.createDataFrame(reg, "strategy_id string, tier int, weight double, traits array<string>")
     traits = F.when(F.col("start_line") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("language", "label"))
     return M.rank_strategies(st, frame(s, d, "nodes").select(F.col("id").alias("problem_id"), traits.alias("traits")))
+
+
+@q("a20_process_cap", cte("nodes") + "SELECT CAST(greatest(20, least(300, round(sum(CASE WHEN label = 'File' THEN 0 ELSE 1 END) / 10.0))) AS INTEGER) AS cap FROM nodes")
+def _(s, d):
+    return P.process_cap(frame(s, d, "nodes"))
+
+
+@q("a35_commits_behind", "SELECT count(*) AS behind, count(*) > 0 AS stale FROM orders WHERE o_orderkey > 500")
+def _(s, d):
+    return P.commits_behind(table(s, d, "orders"), 500, "o_orderkey")
+
+
+@q("g38_project_framework", cte("nodes") + """SELECT community, CASE WHEN sum(CASE WHEN file_path LIKE '%manage.py' THEN 1 ELSE 0 END) >= 1 THEN 'django' WHEN sum(CASE WHEN contains(file_path || community, 'flask') THEN 1 ELSE 0 END) >= 1 THEN 'flask' ELSE 'unknown' END AS framework, 0.0 AS confidence FROM nodes GROUP BY community""")
+def _(s, d):
+    return P.project_framework(frame(s, d, "nodes").withColumnRenamed("file_path", "path"), "community")
+
+
+@q("u6_missing_keys", "SELECT event_id, len(list_filter(['k', 'v'], lambda x: NOT list_contains(json_keys(props), x))) AS missing FROM events")
+def _(s, d):
+    return table(s, d, "events").select("event_id", F.size(P.missing_keys(F.col("props"), ["k", "v"])).alias("missing"))
+
+
+@q("g30_overall_score", STRONG + ", deg AS (SELECT dst, count(*) AS n FROM g GROUP BY dst) SELECT round(avg(least(1.0, n / 3.0)), 4) AS overall FROM deg")
+def _(s, d):
+    n = frame(s, d, "calls").where("n >= 2").groupBy("dst").agg(F.count("*").alias("n"))
+    return n.agg(F.round(F.avg(F.least(F.lit(1.0), F.col("n") / 3)) + 1e-9, 4).alias("overall"))
+
+
+@q("a14_framework_of_text", "SELECT doc_id, CASE WHEN contains(lower(substr(text, 1, 300)), '@app.get') THEN 'fastapi' END AS framework FROM documents")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", P.framework_of_text(F.lit("python"), F.col("text"))["framework"].alias("framework"))
+
+
+@q("a34_augment")
+def _(s, d):
+    return P.augment(frame(s, d, "nodes"), frame(s, d, "calls"), _steps(s, d), "red bolt")
+
+
+@q("a21_member_traces")
+def _(s, d):
+    e = frame(s, d, "best_calls")
+    n = G.entry_points(frame(s, d, "nodes"), e, T.is_test_v1(F.col("file_path")))
+    return G.drop_subsets(G.trace_members(e, n.select("id")), n)

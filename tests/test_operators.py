@@ -122,6 +122,32 @@ def test_dead_code_and_traces(spark):
     assert [tuple(r["path"]) for r in G.drop_contained(t).collect()] == [("main", "process", "save")]
 
 
+def test_member_traces(spark):
+    for seed in (5, 6):
+        pairs = _random_graph(seed, 25, 90)
+        rnd = random.Random(seed)
+        seq = rnd.sample(range(1000), len(pairs))
+        e = spark.createDataFrame([(a, b, i) for (a, b), i in zip(pairs, seq, strict=True)], "src int, dst int, edge_seq int")
+        adj = {}
+        for i, (a, b) in sorted(zip(seq, pairs, strict=True)):
+            adj.setdefault(a, []).append(b)
+        want = set()
+        for start in (0, 1, 2):
+            seen, todo = {start}, deque([(start, 0)])
+            while todo:
+                x, d = todo.popleft()
+                want.add((start, x, d))
+                new = [y for y in dict.fromkeys(adj.get(x, [])) if y not in seen][:2] if d < 3 else []
+                seen.update(new)
+                todo += [(y, d + 1) for y in new]
+        got = G.trace_members(e, spark.createDataFrame([(0,), (1,), (2,)], "id int"), branching=2, max_depth=3)
+        assert {tuple(r) for r in got.collect()} == want
+    m = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (4, 4), (4, 5)], "entry int, id int")
+    s = spark.createDataFrame([(1, 9.0), (2, 8.0), (3, 7.0), (4, 6.0)], "id int, score double")
+    m = m.union(spark.createDataFrame([(1, 3)], m.schema))
+    assert sorted(r["entry"] for r in G.drop_subsets(m, s).collect()) == [1, 4]
+
+
 def test_communities_beat_one_group(spark):
     pairs = [(a + k * 10, b + k * 10) for k in range(3) for a in range(5) for b in range(a)] + [(0, 10), (10, 20)]
     e = spark.createDataFrame(pairs, "src int, dst int")
