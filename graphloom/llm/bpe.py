@@ -27,6 +27,7 @@ from .langid import _Table
 from .pieces import PieceCoder, batches_of
 
 NONE = np.int64(1) << np.int64(62)
+TEXTS = 1 << 21  # characters that are coded at a time
 
 
 class Bpe:
@@ -49,7 +50,7 @@ class Bpe:
         self.pairs = _Table(key)
         self.pair_rank = np.array(out + [0], dtype=np.int64)  # the last stands for no pair
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
-        self.coder = PieceCoder(self._encode_pieces)
+        self.coder = PieceCoder(self._encode_pieces, most=200_000)
 
     # -------------------------------------------------------------- merging
 
@@ -179,11 +180,12 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
         bpe = load(path, pattern)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
-            for lo, hi in batches_of(texts):
+            for lo, hi in batches_of(texts, TEXTS):
                 ids, at = bpe.encode(texts[lo:hi])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(list(part.columns) + [lists], names=list(batch.schema.names) + ["token_ids"])
+        bpe.coder.release()
 
     schema = T.StructType(list(docs.schema.fields) + [T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(run, schema)
@@ -217,7 +219,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             count, one, two = [], [], []
-            for lo, hi in batches_of(texts):
+            for lo, hi in batches_of(texts, TEXTS):
                 ids, at = bpe.encode(texts[lo:hi])
                 for i in range(hi - lo):
                     own = ids[at[i] : at[i + 1]].tolist()
@@ -228,6 +230,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                 [batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        bpe.coder.release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,6 +8,8 @@ pieces in order.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Callable
 
@@ -41,6 +43,13 @@ class PieceCoder:
         self.start = np.zeros(0, dtype=np.int64)
         self.count = np.zeros(0, dtype=np.int32)
 
+    def release(self) -> None:
+        """Give the memory back at the end of a task: the worker process goes on to other work."""
+        self._clear()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
     def _learn(self, first: list[str], later: list[str]) -> None:
         """Code those pieces (each list without repeats) that aren't known yet."""
         new = [[p for p in some if p not in known] for some, known in zip((first, later), self.known, strict=True)]
