@@ -11,31 +11,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, decontam, jaccard, langid, suffixes
-from graphloom.llm.common import table, written
+from graphloom.llm.common import small_batches, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a language (null text, no letter) go."""
+    small_batches(spark)
     return langid.accepted(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group linked by five-word shingles at 0.8 or more stays."""
+    small_batches(spark)
     return jaccard.representatives(docs, n=5, percent=80)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of 200-byte strings that also start elsewhere are cut out of the texts."""
+    small_batches(spark)
     return suffixes.dedup_text(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a copy of a benchmark item, edited or not, go."""
+    small_batches(spark)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row that is left."""
+    small_batches(spark)
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text")).drop("text")
     return coded.withColumn("n_tokens", F.size("token_ids").cast("long"))
 

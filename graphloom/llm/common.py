@@ -9,6 +9,8 @@ made per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -49,6 +51,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """At the end of a task: return freed memory to the system, for the worker process goes on to other work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are long: fewer rows in an Arrow batch than the default of 10,000, unless the session has fewer still."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def partitions_for(df: DataFrame, least: int = 1) -> int:
     spark = df.sparkSession
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, components, mix, partitions_for, shingles, text_chunks, words, written
+from .common import LOWER, NOT_SPACE, components, give_back, mix, partitions_for, shingles, text_chunks, words, written
 from .packed import PACKED, Bloom, blobs, reduced, text_key
 
 WORDS, PERCENT = 5, 80
@@ -112,17 +112,24 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
                     if key not in first:
                         first[key] = None
                         seen.append(s)
-            u, c = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = c >= OFTEN
+            every = np.concatenate(seen) if seen else np.zeros(0, np.uint64)
+            del seen
+            every.sort()
+            new = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+            c = np.diff(np.append(new, len(every)))
+            u = every[new[c >= OFTEN]]
+            c = c[c >= OFTEN]
+            del every, new
             rows = batch.num_rows
-            ends = pa.array([0] + [int(often.sum())] * rows, pa.int32())  # all on the first row
+            ends = pa.array([0] + [len(u)] * rows, pa.int32())  # all on the first row
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("t1"), batch.column("t2"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(size, pa.int64()),
-                    pa.array(sketch, pa.binary()), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(u[often].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(c[often].astype(np.int64))),
+                    pa.array(sketch, pa.binary()), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(u.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(c.astype(np.int64))),
                 ],
                 names=["doc_id", "t1", "t2", "k1", "k2", "n", "sketch", "wide", "tokens", "counts"],
             )
+        give_back()
 
     schema = f"doc_id {kind}, t1 long, t2 long, k1 long, k2 long, n long, sketch binary, wide binary, tokens array<long>, counts array<long>"
     return docs.mapInArrow(run, schema)
@@ -173,6 +180,7 @@ def _entries(docs: DataFrame, frequent: list[int], n: int, percent: int, targets
             if held:
                 e = np.concatenate(held)
                 yield blobs(0, e["token"] % np.uint64(targets), e)
+        give_back()
 
     return docs.select("text").mapInArrow(run, PACKED)
 
@@ -389,6 +397,7 @@ def _scan(lists: DataFrame, percent: int, targets: int, what: str) -> DataFrame:
                 held.append(tuple(row))
         done()
         yield told()
+        give_back()
 
     return lists.repartition(targets, "token").sortWithinPartitions("token").mapInArrow(run, "token long, x long, y long, bits long")
 

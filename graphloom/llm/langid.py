@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_chunks
+from .common import give_back, text_chunks
 
 UND = "und"
 ORDER = 4  # bytes of the longest context
@@ -51,7 +51,7 @@ def _grams(buf: np.ndarray, offs: np.ndarray, k: int) -> np.ndarray:
     return key
 
 
-def train_counts(docs: DataFrame, order: int = ORDER, train_bytes: int = 4_000_000) -> DataFrame:
+def train_counts(docs: DataFrame, order: int = ORDER, train_bytes: int = 2_000_000) -> DataFrame:
     """lang, k, key, n: how often each (context of k bytes, byte) stands in the sampled training text."""
     part = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     part = part.select("doc_id", "lang", "text")
@@ -149,7 +149,7 @@ class _Table:
 
     def __init__(self, keys: np.ndarray) -> None:
         self.keys = keys
-        bits = max(8, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
+        bits = max(8, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
         self.shift = np.uint64(64 - bits)
         self.slot = np.full(1 << bits, -1, dtype=np.int32)
         self.rounds = 0
@@ -184,7 +184,7 @@ class _Table:
         return out
 
 
-def fit(docs: DataFrame, order: int = ORDER, train_bytes: int = 4_000_000) -> Ppm:
+def fit(docs: DataFrame, order: int = ORDER, train_bytes: int = 2_000_000) -> Ppm:
     return Ppm(train_counts(docs, order, train_bytes).toPandas(), order)
 
 
@@ -222,6 +222,7 @@ def predict(docs: DataFrame, model: Ppm, text: str = "text") -> DataFrame:
                 list(batch.columns) + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())],
                 names=list(batch.schema.names) + ["lang_pred", "score", "bits"],
             )
+        give_back()
 
     return docs.mapInArrow(run, spark_schema)
 
@@ -233,7 +234,7 @@ def _has_letter(raw: bytes) -> bool:
     return bool(_ASCII_LETTER.search(raw) or _LETTER.search(raw.decode("utf-8", "replace")))
 
 
-def identify(docs: DataFrame, order: int = ORDER, train_bytes: int = 4_000_000) -> DataFrame:
+def identify(docs: DataFrame, order: int = ORDER, train_bytes: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits for every row."""
     model = fit(docs, order, train_bytes)
     return predict(docs.select("doc_id", "text"), model).select(
@@ -241,7 +242,7 @@ def identify(docs: DataFrame, order: int = ORDER, train_bytes: int = 4_000_000)
     )
 
 
-def accepted(docs: DataFrame, order: int = ORDER, train_bytes: int = 4_000_000) -> DataFrame:
+def accepted(docs: DataFrame, order: int = ORDER, train_bytes: int = 2_000_000) -> DataFrame:
     """The rows of ``docs`` that get a language; those with null text or without a letter go."""
     model = fit(docs, order, train_bytes)
     if not model.langs:  # nothing to learn from: only the letters decide

@@ -8,8 +8,6 @@ pieces in order.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import re
 from collections.abc import Callable
 
@@ -17,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back
+
 _NEAR = re.compile(r"\s\s")
 #: The same for RE2, over all characters that Python's \s takes.
 _NEAR_ALL = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
@@ -46,9 +46,7 @@ class PieceCoder:
     def release(self) -> None:
         """Give the memory back at the end of a task: the worker process goes on to other work."""
         self._clear()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
 
     def _learn(self, first: list[str], later: list[str]) -> None:
         """Code those pieces (each list without repeats) that aren't known yet."""

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE, mix, partitions_for, powers, text_chunks, written
+from .common import _BYTE, give_back, mix, partitions_for, powers, text_chunks, written
 from .packed import PACKED, Bloom, blobs, reduced, text_key
 
 LENGTH = 200
@@ -199,6 +199,7 @@ def _sent(docs: DataFrame, hot: np.ndarray, targets: int, length: int, gram: int
                     held, size = [], 0
         if held:
             yield from _send(held, targets)
+        give_back()
 
     return docs.select("k1", "k2", "text").mapInArrow(run, PACKED)
 
@@ -397,6 +398,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 size += len(row[-1])
         if held:
             yield done()
+        give_back()
 
     edge = segments.repartition(targets, "anchor").sortWithinPartitions("anchor").mapInArrow(sort, "k1 long, k2 long, a long, b long")
     return written(whole.union(edge), "spans")
