@@ -185,7 +185,9 @@ class _Table:
 
 
 def fit(docs: DataFrame, order: int = ORDER, train_bytes: int = 2_000_000) -> Ppm:
-    return Ppm(train_counts(docs, order, train_bytes).toPandas(), order)
+    model = Ppm(train_counts(docs, order, train_bytes).toPandas(), order)
+    give_back()  # the table of counts, on the driver
+    return model
 
 
 def predict(docs: DataFrame, model: Ppm, text: str = "text") -> DataFrame:
