@@ -1,18 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Texts are runs of words (letters, digits and all non-ASCII, A-Z lower-cased), so case and punctuation
-don't matter.  The document frequency of each word n-gram of the test items is counted over the whole
-corpus; an item's seeds are its rarer half, and any n-gram that at most one in ``RARE`` documents
-holds.  Wherever a document holds a seed, the window around it is aligned with the item (match 2,
-mismatch and gap -1), and the best local score over twice the item's words is the score, 0 to 1.  A
-document leaks an item when the score is at least ``THRESHOLD``: a copy with a third of its words
-changed still passes, a phrase in common doesn't.
+don't matter.  Every word n-gram of a test item is a seed, however often the corpus holds it.  Wherever a
+document holds a seed, the window around it, wide enough for any alignment that passes, is aligned with
+the item (match 2, mismatch and gap -1), and the best local score over twice the item's words is the
+score, 0 to 1.  A document leaks an item when the score is at least ``THRESHOLD``; a phrase in common
+isn't enough.
+
+A window is left unaligned only where it can't pass: each match takes a word of the window that the item
+holds, and a passing score needs ``threshold`` times the item's words of them.
 
 Items are searched in blocks of a bounded number of words, each a pass over the documents; only such a
-block is ever broadcast.  Nothing is shuffled but counts for each n-gram and the leaks themselves.
+block is ever broadcast.  Nothing is shuffled but the leaks themselves.
 
 Defined cases: null or empty texts on either side leak nothing; an item with fewer words than a seed has
-none and is never found; repeated rows on either side are each reported; extra columns are ignored.
+none and is never found, nor is a copy without ``SEED`` words of the item in a row; repeated rows on
+either side are each reported; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ from pyspark.sql import functions as F
 from .common import ALNUM, LOWER, shingles, text_chunks, words
 
 SEED = 3  # words of a seed
-RARE = 100_000  # an n-gram in at most one of so many documents is rare
 THRESHOLD = 0.5
 BLOCK_WORDS = 1_000_000  # of the items that are searched in one pass
 MATCH, MISS, GAP = 2, -1, -1
@@ -88,20 +90,24 @@ def _aligned(jobs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int,
 
 
 class Seeds:
-    """n-grams of a block of items: sorted hashes with, for each, the places (item, offset) that hold it."""
+    """All n-grams of a block of items: sorted hashes with the places (item, offset) that hold each, and the items' words."""
 
-    def __init__(self, items: list[np.ndarray], keep: dict[int, set[int]] | None = None) -> None:
-        where: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, w in enumerate(items):
-            if len(w) < SEED:
-                continue
-            g, _ = shingles(w, np.array([0, len(w)]), SEED)
-            for o, x in enumerate(g.tolist()):
-                if keep is None or x in keep[k]:
-                    where[x].append((k, o))
-        self.keys = np.array(sorted(where), dtype=np.uint64)
-        self.places = [where[int(x)] for x in self.keys]
+    def __init__(self, items: list[np.ndarray]) -> None:
         self.items = items
+        self.sizes = np.array([len(w) for w in items], dtype=np.int64)
+        every = np.concatenate([*items, np.zeros(0, dtype=np.uint64)])
+        item = np.repeat(np.arange(len(items)), self.sizes)
+        self.words, which = np.unique(every, return_inverse=True)
+        self.holds = np.unique(item * len(self.words) + which)  # (item, word) as one number
+        g, at = shingles(every, np.concatenate([[0], np.cumsum(self.sizes)]), SEED)
+        long = self.sizes >= SEED  # a shorter text counts as one gram
+        item = np.repeat(np.arange(len(items)), np.diff(at))
+        offset = np.arange(len(g)) - np.repeat(at[:-1], np.diff(at))
+        g, item, offset = g[long[item]], item[long[item]], offset[long[item]]
+        order = np.argsort(g, kind="stable")
+        self.keys, self.first = np.unique(g[order], return_index=True)
+        self.first = np.append(self.first, len(g))
+        self.item, self.offset = item[order], offset[order]
         self.seen = np.zeros(1 << 16, dtype=bool)
         self.seen[(self.keys >> np.uint64(48)).astype(np.int64)] = True
 
@@ -116,53 +122,45 @@ class Seeds:
         return hit[ok], at[ok]
 
 
-def gram_frequency(docs: DataFrame, seeds: Seeds) -> np.ndarray:
-    """Number of documents that hold each n-gram; as many numbers as the block has n-grams."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(seeds)
-
-    def count(batches):
-        s = shared.value
-        total = np.zeros(len(s.keys), dtype=np.int64)
-        for batch in batches:
-            for _, _, buf, offs in text_chunks(batch.column("text")):
-                h, _, _, counts = words(LOWER[buf], offs, ALNUM)
-                g, at = shingles(h, counts, SEED)
-                hit, which = s.find(g)
-                if len(hit):
-                    d = np.searchsorted(at, hit, side="right") - 1
-                    pairs = np.unique(d * len(s.keys) + which)
-                    total += np.bincount(pairs % len(s.keys), minlength=len(s.keys))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["i", "n"])
-
-    out = np.zeros(len(seeds.keys), dtype=np.int64)
-    for r in docs.select("text").mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        out[r["i"]] = r["n"]
-    return out
-
-
-def rare_seeds(items: list[np.ndarray], every: Seeds, frequency: np.ndarray, n_docs: int) -> Seeds:
-    df = dict(zip(every.keys.tolist(), frequency.tolist(), strict=True))
-    keep: dict[int, set[int]] = {}
-    for k, w in enumerate(items):
-        if len(w) < SEED:
-            continue
-        own = sorted(set(shingles(w, np.array([0, len(w)]), SEED)[0].tolist()), key=lambda x: (df[x], x))
-        keep[k] = set(own[: (len(own) + 1) // 2]) | {x for x in own if df[x] * RARE <= n_docs}
-    return Seeds(items, keep)
-
-
-def _windows(hits: list[tuple[int, int]], length: int, n: int) -> list[tuple[int, int]]:
-    """Word ranges of a document to align with an item, from (place, offset in the item) of its seeds."""
-    out: list[tuple[int, int]] = []
-    slack = length // 2 + 2
-    for p, o in sorted((p - o, o) for p, o in hits):
-        a, b = max(0, p - slack), min(n, p + length + slack)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... counts[0] of them, then those of starts[1], ..."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+def _windows(row: np.ndarray, item: np.ndarray, slope: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """(row, item, first word, word after the last) of the ranges to align, from the seeds' places in the document less those
+    in the item.  A passing score bears ``slack`` words more than the item has; ranges that touch are one."""
+    order = np.lexsort((slope, item, row))
+    row, item, slope = row[order], item[order], slope[order]
+    length = sizes[item]
+    slack = np.ceil(MATCH * (1 - threshold) * length / -GAP).astype(np.int64) + 2
+    a, b = np.maximum(0, slope - slack), np.minimum(lengths[row], slope + length + slack)
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (a[1:] > b[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(a)) - 1 if len(a) else first
+    return row[first], item[first], a[first], b[last]
+
+
+def _can_pass(seeds: Seeds, h: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which ranges a..b of the words h hold as many words of the item as a passing score has matches."""
+    if not len(a):
+        return np.zeros(0, dtype=bool)
+    at = np.searchsorted(seeds.words, h)
+    at[at == len(seeds.words)] = 0
+    word = np.where(seeds.words[at] == h, at, -1)
+    out = np.zeros(len(a), dtype=bool)
+    step = max(1, (1 << 21) // max(1, int((b - a).max(initial=1))))
+    for lo in range(0, len(a), step):
+        part = slice(lo, lo + step)
+        n = b[part] - a[part]
+        w, job = word[_spread(a[part], n)], np.repeat(np.arange(len(n)), n)
+        w, job = w[w >= 0], job[w >= 0]
+        key = item[part][job] * len(seeds.words) + w
+        at = np.searchsorted(seeds.holds, key)
+        at[at == len(seeds.holds)] = 0
+        matches = np.bincount(job[seeds.holds[at] == key], minlength=len(n))
+        out[part] = matches >= threshold * seeds.sizes[item[part]]
     return out
 
 
@@ -174,17 +172,13 @@ def _search(batch, seeds: Seeds, threshold: float):
         g, at = shingles(h, counts, SEED)
         hit, which = seeds.find(g)
         d = np.searchsorted(at, hit, side="right") - 1
-        by: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for row, place, k in zip(d.tolist(), (hit - at[d]).tolist(), which.tolist(), strict=True):
-            for item, offset in seeds.places[k]:
-                by[(row, item)].append((place, offset))
-        jobs, of = [], []
-        for (row, item), hits in by.items():
-            text = h[counts[row] : counts[row + 1]]
-            own = seeds.items[item]
-            for a, b in _windows(hits, len(own), len(text)):
-                jobs.append((own, text[a:b]))
-                of.append((row, item, a))
+        n = seeds.first[which + 1] - seeds.first[which]
+        place = _spread(seeds.first[which], n)
+        item, slope = seeds.item[place], np.repeat(hit - at[d], n) - seeds.offset[place]
+        row, item, a, b = _windows(np.repeat(d, n), item, slope, seeds.sizes, np.diff(counts), threshold)
+        ok = _can_pass(seeds, h, item, a + counts[row], b + counts[row], threshold)
+        of = list(zip(row[ok].tolist(), item[ok].tolist(), a[ok].tolist(), strict=True))
+        jobs = [(seeds.items[k], h[counts[r] + x : counts[r] + y]) for (r, k, x), y in zip(of, b[ok].tolist(), strict=True)]
         found: dict[tuple[int, int], tuple] = {}
         for (row, item, a), (own, window), (score, i, j) in zip(of, jobs, _aligned(jobs), strict=True):
             if score < threshold * MATCH * len(own):
@@ -200,15 +194,13 @@ def _search(batch, seeds: Seeds, threshold: float):
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, block_words: int):
-    """(item ids, rare seeds) of each block of items, broadcast; each costs a pass that counts n-grams."""
+    """(item ids, seeds) of each block of items, broadcast."""
     spark = docs.sparkSession
-    n_docs, total = docs.count(), benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (2 * block_words)))  # a word and what parts it from the next are two characters at least
     for k in range(blocks):
         rows = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        items = item_words([r["text"] for r in rows])
-        every = Seeds(items)
-        yield spark.sparkContext.broadcast(([r["item_id"] for r in rows], rare_seeds(items, every, gram_frequency(docs, every), n_docs)))
+        yield spark.sparkContext.broadcast(([r["item_id"] for r in rows], Seeds(item_words([r["text"] for r in rows]))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:

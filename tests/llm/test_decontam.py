@@ -64,3 +64,37 @@ def test_repeated_rows_are_each_reported(spark):
     docs = documents(spark, [item, item, None], ids=[7, 7, None])
     got = decontam.leaks(docs, bench).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(7, 1), (7, 1), (7, 2), (7, 2)] and got[0]["score"] == 1.0
+
+
+def _edited(rnd, words, share):
+    """One in 1 / share words changed, at random places."""
+    gone = set(rnd.sample(range(len(words)), round(share * len(words))))
+    return [f"z{rnd.randrange(10**6)}" if i in gone else w for i, w in enumerate(words)]
+
+
+def test_edited_copies_alone_and_in_mass(spark):
+    rnd = random.Random(8)
+    items = [[f"q{k}x{j}" for j in range(30)] for k in range(12)]
+    docs, want = [], set()
+    for k, own in enumerate(items):  # every other item stands in one document, the rest in 40
+        for _ in range(1 if k % 2 else 40):
+            body = [f"b{rnd.randrange(500)}" for _ in range(50)]
+            body[20:20] = _edited(rnd, own, rnd.choice([0.2, 0.25, 0.3]))
+            if _plain_score(own, body) >= 30 and any(body[i : i + 3] == own[j : j + 3] for i in range(len(body)) for j in range(28)):
+                want.add((len(docs), k))
+            docs.append(" ".join(body))
+    assert len(want) > 200 and {k for _, k in want} == set(range(12))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    d = documents(spark, docs)
+    got = decontam.leaks(d, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    left = {r["doc_id"] for r in decontam.clean(d, bench).select("doc_id").collect()}
+    assert left == set(range(len(docs))) - {i for i, _ in want}
+
+
+def test_words_put_in_on_one_side_of_the_seed(spark):
+    own = [f"q{j}" for j in range(30)]
+    far = own[:3] + [x for j, w in enumerate(own[3:]) for x in ([f"y{j}", w] if j else [w])]
+    bench = spark.createDataFrame([(1, " ".join(own))], "item_id long, text string")
+    (r,) = decontam.leaks(documents(spark, [" ".join(far)]), bench).collect()
+    assert abs(r["score"] - _plain_score(own, far) / 60) < 1e-9
