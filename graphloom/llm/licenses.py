@@ -1,14 +1,14 @@
-"""License scans: phrases by place, and an exact set-similarity join of text blocks with license templates.
+"""License scans: phrases by place, and an exact set-similarity join of stretches of text with license templates.
 
-Blocks are windows of one to ``SPAN`` consecutive non-empty lines.  A block meets a template when it
-holds at least ``THRESHOLD`` of the template's distinct words.  The join is exact:
+A stretch is any run of at most ``STRETCH`` times a template's number of words, wherever its lines are
+broken.  It meets the template when it holds at least ``THRESHOLD`` of the template's distinct words.
+The join is exact:
 
 * the words of all templates are ordered by their frequency over the whole corpus, rarest first;
-* prefix filter: a template of n words that needs o = ceil(threshold * n) of them must share one of its
-  n - o + 1 rarest words with the block, so only lines that hold such a word are looked at;
-* length filter: a block with fewer than o distinct words can't meet it;
-* positional filter: a block whose first shared template word stands at place i of the order can share
-  at most n - i words.
+* prefix filter: a template of n distinct words that needs o = ceil(threshold * n) of them must share one
+  of its n - o + 1 rarest words with the stretch, so only the surroundings of such a word are looked at;
+* count filter: surroundings that hold fewer than o words of the template, repeated ones counted, can't
+  meet it.
 
 What passes is counted exactly.  The templates are a few opening sentences of public license texts, so
 their table is small by construction; the join never pairs texts with texts.
@@ -56,7 +56,8 @@ TEMPLATES = (
 )
 
 THRESHOLD = 0.85
-SPAN = 3
+STRETCH = 1.5  # words of a stretch for each word of the template
+SPAN = 3  # lines of a block in the tests' comparison on short texts; the scan doesn't look at lines
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -64,70 +65,72 @@ def word_list(raw: bytes) -> list[bytes]:
     return _WORD.findall(raw.lower())  # bytes.lower() changes A-Z only
 
 
+def _most(at: list[int], kinds: list[int], width: int) -> int:
+    """Greatest number of distinct kinds at places that lie within ``width``."""
+    held: dict[int, int] = {}
+    best = left = 0
+    for p, k in zip(at, kinds, strict=True):
+        held[k] = held.get(k, 0) + 1
+        while p - at[left] >= width:
+            out = kinds[left]
+            held[out] -= 1
+            if not held[out]:
+                del held[out]
+            left += 1
+        best = max(best, len(held))
+    return best
+
+
 class Scanner:
-    def __init__(self, frequency: dict[bytes, int], phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD, span: int = SPAN) -> None:
-        self.span = span
+    def __init__(self, frequency: dict[bytes, int], phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD, stretch: float = STRETCH) -> None:
         self.phrases = [(word_list(p.encode()), label) for p, label in phrases]
         self.phrase_hash = [([np.uint64(hash_bytes(w)) for w in p], label) for p, label in self.phrases]
-        order = sorted({w for _, t in templates for w in word_list(t.encode())}, key=lambda w: (frequency.get(w, 0), w))
-        self.rank = {w: i for i, w in enumerate(order)}
+        self.order = sorted({w for _, t in templates for w in word_list(t.encode())}, key=lambda w: (frequency.get(w, 0), w))
+        rank = {w: i for i, w in enumerate(self.order)}
+        hashes = np.array([hash_bytes(w) for w in self.order], dtype=np.uint64)
+        self.by_hash = np.argsort(hashes)
+        self.hashes = hashes[self.by_hash]
         self.templates = []
-        self.index: dict[int, list[tuple[int, int]]] = {}  # prefix word -> (template, place)
         for label, t in templates:
-            own = sorted(self.rank[w] for w in set(word_list(t.encode())))
+            every = word_list(t.encode())
+            own = sorted({rank[w] for w in every})
             need = math.ceil(threshold * len(own) - 1e-9)
-            self.templates.append((label, own, need))
-            for place in range(len(own) - need + 1):
-                self.index.setdefault(own[place], []).append((len(self.templates) - 1, place))
-        self.prefix_hash = np.sort(np.array([hash_bytes(order[r]) for r in self.index], dtype=np.uint64))
-
-    def has_prefix(self, h: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.prefix_hash, h)
-        at[at == len(self.prefix_hash)] = 0
-        return self.prefix_hash[at] == h
-
-    def best(self, raw: bytes, spots: list[int]) -> dict[str, float]:
-        """Label -> greatest containment over the blocks that hold a byte in ``spots``."""
-        lines, at = [], 0
-        for line in raw.split(b"\n"):
-            if line.strip():
-                lines.append((at, at + len(line), line))
-            at += len(line) + 1
-        hot = set()
-        i = 0
-        for s in sorted(spots):
-            while i < len(lines) and lines[i][1] <= s:
-                i += 1
-            if i < len(lines):
-                hot.add(i)
-        sets: dict[int, tuple[set[int], int]] = {}
-
-        def of(k: int) -> tuple[set[int], set[bytes]]:
-            if k not in sets:
-                w = set(word_list(lines[k][2]))
-                sets[k] = ({self.rank[x] for x in w if x in self.rank}, w)
-            return sets[k]
-
-        blocks = {(a, b) for k in hot for a in range(max(0, k - self.span + 1), k + 1) for b in range(k, min(len(lines), a + self.span))}
-        found: dict[str, float] = {}
-        for a, b in blocks:
-            known: set[int] = set()
-            whole: set[bytes] = set()
-            for k in range(a, b + 1):
-                known |= of(k)[0]
-                whole |= of(k)[1]
-            seen = set()
-            for r in sorted(known):
-                for t, place in self.index.get(r, ()):
-                    if t in seen:
-                        continue
-                    seen.add(t)
-                    label, own, need = self.templates[t]
-                    if len(whole) < need or len(own) - place < need:
-                        continue
-                    share = len(known.intersection(own))
-                    if share >= need:
-                        found[label] = max(found.get(label, 0.0), share / len(own))
+            inside, prefix = np.zeros((2, len(self.order) + 1), dtype=bool)  # the last place is for all other words
+            inside[own] = True
+            prefix[own[: len(own) - need + 1]] = True
+            self.templates.append((label, len(own), need, math.floor(stretch * len(every)), inside, prefix))
+
+    def ranks(self, h: np.ndarray) -> np.ndarray:
+        """Place of each word in the order of template words, or -1."""
+        at = np.searchsorted(self.hashes, h)
+        at[at == len(self.hashes)] = 0
+        return np.where(self.hashes[at] == h, self.by_hash[at], -1)
+
+    def best(self, low: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray, counts: np.ndarray) -> list[dict[str, float]]:
+        """For each text: label -> greatest containment over its stretches, where a template is met."""
+        found: list[dict[str, float]] = [{} for _ in range(len(counts) - 1)]
+        if not self.templates or not len(h):
+            return found
+        word = self.ranks(h)
+        for label, size, need, width, inside, prefix in self.templates:
+            hit = np.flatnonzero(prefix[word])
+            if not len(hit):
+                continue
+            d = np.searchsorted(counts, hit, side="right") - 1
+            a, b = np.maximum(counts[d], hit - width + 1), np.minimum(counts[d + 1], hit + width)
+            before = np.concatenate(([0], np.cumsum(inside[word])))
+            ok = before[b] - before[a] >= need
+            if not ok.any():
+                continue
+            d, a, b = d[ok], a[ok], b[ok]
+            new = np.ones(len(a), dtype=bool)
+            new[1:] = (d[1:] != d[:-1]) | (a[1:] > b[:-1])  # surroundings that touch are one
+            first = np.flatnonzero(new)
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(a)], strict=True):
+                at = [k for k in (np.flatnonzero(inside[word[a[i] : b[j - 1]]]) + a[i]).tolist() if low[s[k] : e[k]].tobytes() == self.order[word[k]]]
+                most = _most(at, word[at].tolist(), width)
+                if most >= need:
+                    found[d[i]][label] = max(found[d[i]].get(label, 0.0), most / size)
         return found
 
     def scan(self, buf: np.ndarray, offs: np.ndarray) -> list[tuple]:
@@ -146,14 +149,10 @@ class Scanner:
                 d = int(np.searchsorted(counts, i, side="right")) - 1
                 if i + k <= counts[d + 1] and all(low[s[i + j] : e[i + j]].tobytes() == ws[j] for j in range(k)):
                     places[d].append((int(i - counts[d]), label))
-        spots: dict[int, list[int]] = {}
-        if len(h):
-            hit = np.flatnonzero(self.has_prefix(h))
-            for i, d in zip(hit, np.searchsorted(counts, hit, side="right") - 1, strict=True):
-                spots.setdefault(int(d), []).append(int(s[i] - offs[d]))
+        found = self.best(low, h, s, e, counts)
         out = []
         for d in range(n):
-            more = self.best(low[offs[d] : offs[d + 1]].tobytes(), spots[d]) if d in spots else {}
+            more = found[d]
             own = sorted({x for _, x in places[d]})
             starts = [p for p, _ in places[d]]
             out.append(
@@ -186,9 +185,9 @@ def template_frequency(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]
     return {vocabulary[r["i"]]: r["n"] for r in rows}
 
 
-def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD, span: int = SPAN) -> DataFrame:
+def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD, stretch: float = STRETCH) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row."""
-    scanner = Scanner(template_frequency(docs, templates), phrases, templates, threshold, span)
+    scanner = Scanner(template_frequency(docs, templates), phrases, templates, threshold, stretch)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

@@ -72,3 +72,35 @@ def test_op8_against_brute_force(spark):
                         labels.add(lab)
         assert r["labels"] == ",".join(sorted(labels)), (t, r["labels"], labels)
         assert 0 <= r["score"] <= 1 and (r["score"] > 0) == bool(labels)
+
+
+def test_op8_stretches_of_words_whatever_the_lines(spark):
+    rng = np.random.default_rng(2)
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+    filler = lambda n: " ".join(rng.choice(["wir", "haus", "the", "license", "of", "software", "und", "baum"], size=n))
+    texts = [
+        "Das Programm kommt mit Quelltext und steht hier.\nLicensed under the Apache License, Version 2.0",
+        f"Ein Haus mit Garten. {filler(30)} Licensed under the GNU General Public License",
+        filler(50) + "\n" + "\n".join(" ".join(gpl.split()[i : i + 5]) for i in range(0, 31, 5)) + "\n" + filler(50),
+        "Licensed\nunder\nthe\nMIT\n\nLicense",
+        "mit " * 400 + "Licensed under the MIT License " + "license " * 400,
+    ]
+    for _ in range(60):  # templates with words dropped and put in, between other words
+        w = list(rng.choice([t for _, t in licenses.TEMPLATES]).split())
+        for _ in range(rng.integers(0, 6)):
+            w[rng.integers(len(w))] = rng.choice(["x", "x y z", "", "the"])
+        texts.append(filler(rng.integers(0, 40)) + " " + rng.choice([" ", "\n"]).join(w) + " " + filler(rng.integers(0, 40)))
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, texts)).collect()}
+    words = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    for i, t in enumerate(texts):
+        w, want, score = words(t), set(), 0.0
+        for label, tpl in licenses.TEMPLATES:
+            own, n = set(words(tpl)), len(words(tpl)) * 3 // 2
+            share = max(len(own & set(w[a : a + n])) for a in range(len(w))) / len(own)
+            if share >= licenses.THRESHOLD - 1e-9:
+                want.add(label)
+                score = max(score, share)
+        base = set(filter(None, got[i]["base_labels"].split(",")))
+        assert set(filter(None, got[i]["labels"].split(","))) == want | base, t
+        assert abs(got[i]["score"] - (1.0 if base else score)) < 1e-9
+    assert [got[i]["labels"] for i in range(4)] == ["apache-2", "gpl", "gpl,lgpl", "mit"]
