@@ -8,8 +8,11 @@ all languages are flattened into one table from (context, byte) to one code leng
 text is scored exactly (in 1/1024 bit, as integers) by array look-ups over all its bytes.
 
 Training reads a bounded sample: about ``train_bytes`` of text over all languages together, shared
-evenly among them, whole documents chosen by a hash of their id.  Counting is distributed; only the
-table of contexts, bounded by that number times the orders, goes to the driver.
+evenly among them.  Texts are drawn in pieces of at most ``PIECE`` bytes, by a hash of the row and the
+piece's number, so a language's share doesn't hang on how long its texts are or how its bytes are dealt
+over them; a language that the draw misses is learned from a piece of its first row by hash.  A piece is
+counted in the context of the bytes before it.  Counting is distributed; only the table of contexts,
+bounded by that number times the orders, goes to the driver.
 
 Defined cases: null text, or text without a letter, gives ``und`` and score 0; with no training rows all
 rows get ``und``; null languages are never learned; repeated rows are predicted each by itself; columns
@@ -30,6 +33,7 @@ from .common import give_back, text_chunks
 
 UND = "und"
 ORDER = 4  # bytes of the longest context
+PIECE = 1024  # bytes of text that are drawn for training together, at most
 UNIT = 1024  # code lengths are integers in 1/1024 bit
 _LETTER = regex.compile(r"\p{L}")
 
@@ -51,36 +55,54 @@ def _grams(buf: np.ndarray, offs: np.ndarray, k: int) -> np.ndarray:
     return key
 
 
-def train_counts(docs: DataFrame, order: int = ORDER, train_bytes: int = 2_000_000) -> DataFrame:
+def _count(lang: np.ndarray, skip: np.ndarray, column: pa.Array, order: int):
+    """Batches of lang, k, key, n over texts; the first ``skip`` bytes of each are context only."""
+    for lo, hi, buf, offs in text_chunks(column):
+        who = np.repeat(np.arange(hi - lo), np.diff(offs))
+        told = np.arange(len(buf)) - np.repeat(offs[:-1], np.diff(offs)) >= skip[lo:hi][who]
+        names, inv = np.unique(lang[lo:hi].astype(str), return_inverse=True)
+        for k in range(order + 1):
+            g = _grams(buf, offs, k)
+            for i, name in enumerate(names):
+                u, n = np.unique(g[told & (inv[who] == i)], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(u), pa.string()), pa.array(np.full(len(u), k, np.int32)), pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))],
+                    names=["lang", "k", "key", "n"],
+                )
+
+
+def train_counts(docs: DataFrame, order: int = ORDER, train_bytes: int = 2_000_000) -> pd.DataFrame:
     """lang, k, key, n: how often each (context of k bytes, byte) stands in the sampled training text."""
     part = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    part = part.select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["b"] for r in part.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
+    part = part.where(F.octet_length("text") > 0).select("lang", "text", F.xxhash64(F.lit("ppm"), F.col("doc_id").cast("string"), "text").alias("row"))
+    sizes = {r["lang"]: (r["b"], r["first"]) for r in part.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b"), F.min("row").alias("first")).collect()}
     share = train_bytes / max(1, len(sizes))
-    # of a language's rows that part whose hash is under its share; whole texts
-    cut = F.lit(0.0)
-    for lang, b in sizes.items():
-        cut = F.when(F.col("lang") == lang, F.lit(min(1.0, share / max(1, b)))).otherwise(cut)
-    even = F.pmod(F.xxhash64(F.lit("ppm"), F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    sample = part.where(even < cut).select("lang", "text")
+    piece = max(1, min(PIECE, int(share / 16)))
+
+    def of(values: dict, kind: str):
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("lang")] if values else F.lit(None).cast(kind)
+
+    # of a language's pieces that part whose hash is under its share
+    cut = of({lang: min(1.0, share / b) for lang, (b, _) in sizes.items()}, "double")
+    every = F.sequence(F.lit(0), ((F.octet_length("text") - 1) / piece).cast("int"))
+    drawn = F.filter(every, lambda i: F.pmod(F.xxhash64("row", i), F.lit(1 << 52)) / float(1 << 52) < F.col("cut"))
+    sample = part.withColumn("cut", cut).withColumn("drawn", drawn).where(F.size("drawn") > 0).select("lang", "text", F.explode("drawn").alias("i"))
+    skip = F.least(F.lit(order), F.col("i") * piece)
+    sample = sample.select("lang", skip.alias("skip"), F.substring(F.col("text").cast("binary"), F.col("i") * piece - skip + 1, piece + skip).alias("text"))
 
     def count(batches):
         for batch in batches:
-            lang = np.array(batch.column("lang").to_pylist(), dtype=object)
-            for lo, hi, buf, offs in text_chunks(batch.column("text")):
-                who = np.repeat(np.arange(hi - lo), np.diff(offs))
-                names, inv = np.unique(lang[lo:hi].astype(str), return_inverse=True)
-                for k in range(order + 1):
-                    g = _grams(buf, offs, k)
-                    for i, name in enumerate(names):
-                        u, n = np.unique(g[inv[who] == i], return_counts=True)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([name] * len(u), pa.string()), pa.array(np.full(len(u), k, np.int32)), pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))],
-                            names=["lang", "k", "key", "n"],
-                        )
-
-    out = sample.mapInArrow(count, "lang string, k int, key long, n long")
-    return out.groupBy("lang", "k", "key").agg(F.sum("n").alias("n"))
+            yield from _count(np.array(batch.column("lang").to_pylist(), dtype=object), batch.column("skip").to_numpy(), batch.column("text"), order)
+
+    out = sample.mapInArrow(count, "lang string, k int, key long, n long").groupBy("lang", "k", "key").agg(F.sum("n").alias("n")).toPandas()
+    missed = {lang: first for lang, (_, first) in sizes.items() if lang not in set(out["lang"].unique())}
+    if missed:
+        rows = part.where(F.col("row") == of(missed, "long")).select("lang", F.substring(F.col("text").cast("binary"), 1, piece).alias("text"))
+        rows = rows.groupBy("lang").agg(F.min("text").alias("text")).collect()  # as many as there are such languages
+        more = _count(np.array([r["lang"] for r in rows], dtype=object), np.zeros(len(rows), np.int32), pa.array([bytes(r["text"]) for r in rows], pa.large_binary()), order)
+        more = pa.Table.from_batches(more).to_pandas().groupby(["lang", "k", "key"], as_index=False)["n"].sum()
+        out = pd.concat([out, more], ignore_index=True)
+    return out
 
 
 class Ppm:
@@ -185,7 +207,7 @@ class _Table:
 
 
 def fit(docs: DataFrame, order: int = ORDER, train_bytes: int = 2_000_000) -> Ppm:
-    model = Ppm(train_counts(docs, order, train_bytes).toPandas(), order)
+    model = Ppm(train_counts(docs, order, train_bytes), order)
     give_back()  # the table of counts, on the driver
     return model
 

@@ -87,6 +87,35 @@ def test_langid_defined_cases(spark):
     assert langid.identify(d.where("false")).collect() == []
 
 
+def test_no_language_is_lost_with_long_or_skewed_texts(spark):
+    rng = random.Random(1)
+    made = {x: ["".join(rng.choice(x * 3 + "etaoin") for _ in range(rng.randint(3, 9))) for _ in range(400)] for x in "bdfghjkl"}
+    text = lambda x, n: " ".join(rng.choice(made[x]) for _ in range(n // 7))
+    ids = [i for i in range(10**6, 10**6 + 400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(x, text(x, 30_000)) for x in "bdfghjk" for _ in range(3)] + [("l", text("l", 300)) for _ in range(20)] + [("l", text("l", 600_000))]
+    docs = documents(spark, [t for _, t in rows], langs=[x for x, _ in rows], ids=ids[: len(rows)])
+    for train_bytes in (16_000, 400):  # the first is 2 KB a language, under a tenth of any text
+        counts = langid.train_counts(docs, train_bytes=train_bytes)
+        assert set(counts["lang"]) == set(made)
+        told = counts[counts["k"] == 0].groupby("lang")["n"].sum()
+        assert told.sum() < 2 * train_bytes and (train_bytes < 1000 or told.min() > 500)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, train_bytes=16_000).collect()}
+    assert [got[i] for i in ids[: len(rows)]] == [x for x, _ in rows]
+    one = langid.train_counts(docs, train_bytes=1)  # of each language no more than a byte, but that
+    assert set(one["lang"]) == set(made) and one[one["k"] == 0]["n"].sum() <= 2 * len(made)
+
+
+def test_pieces_are_counted_in_context(spark):
+    t = "abcdé" * 1000
+    docs = documents(spark, [t], langs=["x"], ids=[next(i for i in range(99) if zlib.crc32(str(i).encode()) % 4 != 2)])
+    got = {(k, key): n for k, key, n in langid.train_counts(docs)[["k", "key", "n"]].itertuples(index=False)}  # all of it is drawn
+    raw, want = t.encode(), {}
+    for k in range(langid.ORDER + 1):
+        u, n = np.unique(langid._grams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), k), return_counts=True)
+        want |= {(k, a): b for a, b in zip(u.view(np.int64).tolist(), n.tolist(), strict=True)}
+    assert got == want
+
+
 def _brute_chat(rows):
     conv = {}
     for c, turn, role, text in rows:
