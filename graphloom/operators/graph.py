@@ -249,29 +249,30 @@ def context(nodes: DataFrame, edges: DataFrame, steps: DataFrame, ids: DataFrame
 
 def trace_processes(edges: DataFrame, entries: DataFrame, branching: int = 4, max_depth: int = 10, min_steps: int = 3, per_entry: int = 12) -> DataFrame:
     """Simple paths from entries(id): at most ``branching`` callees of a node (by edge_seq, cut before the cycle test), paths
-    end where nothing is left or at ``max_depth`` nodes; the first ``per_entry`` of an entry in queue order stay."""
+    end where nothing is left or at ``max_depth`` nodes; the first ``per_entry`` of an entry in queue order stay.  No live path is
+    dropped before its entry has that many ended ones: a later path may end sooner than an earlier one."""
     w = Window.partitionBy("src").orderBy("edge_seq", "dst")
-    arcs = cut(edges.withColumn("k", F.row_number().over(w)).where(F.col("k") <= branching).select(F.col("src").alias("a"), F.col("dst").alias("b"), "k"))
-    front = cut(entries.select(F.col("id").alias("entry"), F.array("id").alias("path"), F.array().cast("array<int>").alias("o")))
+    arcs = edges.withColumn("k", F.row_number().over(w)).where(F.col("k") <= branching)
+    arcs = cut(arcs.groupBy(F.col("src").alias("a")).agg(F.sort_array(F.collect_list(F.struct("k", F.col("dst").alias("b")))).alias("bs")))
+    front = entries.select(F.col("id").alias("entry"), F.array("id").alias("path"), F.array().cast("array<int>").alias("o"))
+    first = F.row_number().over(Window.partitionBy("entry").orderBy("o"))
     done = None
     for depth in range(1, max_depth + 1):
-        last = F.element_at("path", -1)
-        grown = front.join(arcs, last == F.col("a"), "left")
-        ok = grown.where("b IS NOT NULL").where(~F.array_contains("path", F.col("b")))
-        nxt = ok.select("entry", F.concat("path", F.array("b")).alias("path"), F.concat("o", F.array("k")).alias("o")) if depth < max_depth else None
-        if nxt is not None:
-            nxt = cut(nxt)
-            alive = nxt.select("entry", F.slice("path", 1, F.size("path") - 1).alias("path")).distinct()
-            ended = front.join(alive, ["entry", "path"], "left_anti")
-        else:
-            ended = front
-        ended = ended.where(F.size("path") >= min_steps)
+        grown = front.join(arcs, F.element_at("path", -1) == F.col("a"), "left")
+        grown = cut(grown.select("entry", "path", "o", F.filter("bs", lambda x: ~F.array_contains("path", x["b"])).alias("new")))
+        live = F.coalesce(F.size("new"), F.lit(0)) > 0
+        ended = grown.where(F.size("path") >= min_steps) if depth == max_depth else grown.where(~live & (F.size("path") >= min_steps))
+        ended = ended.select("entry", "path", "o").withColumn("r", first).where(F.col("r") <= per_entry).drop("r")
         done = cut(ended if done is None else done.union(ended))
-        if nxt is None or nxt.isEmpty():
+        if depth == max_depth:
+            break
+        full = done.groupBy("entry").count().where(F.col("count") >= per_entry)
+        nxt = grown.where(live).join(full, "entry", "left_anti").select("entry", "path", "o", F.explode("new").alias("n"))
+        front = nxt.select("entry", F.concat("path", F.array("n.b")).alias("path"), F.concat("o", F.array("n.k")).alias("o"))
+        if depth == max_depth - 1:  # all of the next level end there
+            front = front.withColumn("r", first).where(F.col("r") <= per_entry).drop("r")
+        if front.isEmpty():
             break
-        # at most per_entry live paths of each entry can still end up among its first
-        q = Window.partitionBy("entry").orderBy("o")
-        front = cut(nxt.withColumn("r", F.row_number().over(q)).where(F.col("r") <= per_entry * branching).drop("r"))
     q = Window.partitionBy("entry").orderBy(F.size("path"), "o")
     return done.withColumn("rank", F.row_number().over(q)).where(F.col("rank") <= per_entry).select("entry", "rank", "path")
 

@@ -122,6 +122,26 @@ def test_dead_code_and_traces(spark):
     assert [tuple(r["path"]) for r in G.drop_contained(t).collect()] == [("main", "process", "save")]
 
 
+def test_traces_of_a_branching_graph(spark):
+    rnd = random.Random(11)
+    adj = {x: [rnd.randrange(400) for _ in range(rnd.randint(3, 6))] for x in range(400) if rnd.random() > 0.12}
+    edges = [(a, b, a * 10 + i) for a, bs in adj.items() for i, b in enumerate(bs)]
+    want = {}
+    for start in range(40):
+        traces, queue = [], deque([[start]])
+        while queue and len(traces) < 12:
+            path = queue.popleft()
+            new = [[*path, b] for b in adj.get(path[-1], [])[:4] if b not in path] if len(path) < 6 else []
+            queue.extend(new)
+            if not new and len(path) >= 3:
+                traces.append(path)
+        want |= {(start, i + 1): t for i, t in enumerate(traces)}
+    rnd.shuffle(edges)
+    e = spark.createDataFrame(edges, "src int, dst int, edge_seq int")
+    got = G.trace_processes(e, spark.createDataFrame([(x,) for x in range(40)], "id int"), max_depth=6).collect()
+    assert {(r["entry"], r["rank"]): r["path"] for r in got} == want and len(got) == len(want)
+
+
 def test_member_traces(spark):
     for seed in (5, 6):
         pairs = _random_graph(seed, 25, 90)
