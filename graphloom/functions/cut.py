@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once and read back.  The folder is spark.checkpoint.dir; one is made only where none is set."""
+    """``df`` written once and read back.  The folder is spark.checkpoint.dir; one is made only where none is set and driver
+    and executors are one process."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base}/graphloom/loop-{uuid.uuid4().hex}"
