@@ -12,16 +12,19 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-CHUNK = 1 << 20  # bytes of text that are hashed at a time
+CHUNK = 1 << 18  # bytes of text that are hashed at a time: the work arrays are some twenty times as large
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is made only where none is named (tests)."""
+    """The folder that all executors share.  Where none is named, one is made if driver and executors are one process
+    (tests); on a cluster that is an error, for a folder of one machine would lose data silently."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -58,11 +64,12 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Texts are long: fewer rows in an Arrow batch than the default of 10,000, unless the session has fewer still."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Texts are long: fewer rows at a time than the defaults (10,000 in an Arrow batch, 4,096 of a Parquet reader, whose
+    arrays for texts are large), unless the session has fewer still.  For a session that works on texts."""
+    for key, least in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"), ("spark.sql.parquet.columnarReaderBatchSize", "4096")):
+        if not 0 < int(spark.conf.get(key, least)) <= rows:
+            spark.conf.set(key, str(rows))
 
 
 def partitions_for(df: DataFrame, least: int = 1) -> int:
@@ -163,6 +170,11 @@ def words(buf: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.nda
     return h, s, e, np.searchsorted(s, offs)
 
 
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... counts[0] of them, then those of starts[1], ..."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
 def shingles(h: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``n`` words inside a text (a text with fewer words has one shingle, its
     whole sequence; one without words has none), in order of place, and the number before each text."""
@@ -202,7 +214,18 @@ def as_signed(a: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- order
 
 
-def id_buckets(ids: DataFrame, key: str, n: int) -> list[int]:
+def order_key(docs: DataFrame, key: str) -> Column:
+    """A long that rises with the key (not strictly): the number itself, or of a string the seven bytes after what all
+    values begin with."""
+    kind = docs.schema[key].dataType
+    if isinstance(kind, T.NumericType):
+        return F.col(key).cast("long")
+    ends = docs.agg(F.min(key), F.max(key)).first()
+    same = len(os.path.commonprefix([str(x or "").encode() for x in ends]))
+    return F.conv(F.rpad(F.hex(F.substring(F.col(key).cast("string").cast("binary"), same + 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
+def id_buckets(ids: DataFrame, key: Column, n: int) -> list[int]:
     """At most n - 1 cut values (n is the caller's number of partitions) that deal the rows out evenly
     by ``key``; reads that column only."""
     if n <= 1:
@@ -212,33 +235,57 @@ def id_buckets(ids: DataFrame, key: str, n: int) -> list[int]:
     return sorted(set(cuts or []))
 
 
-def bucket_of(column: str, cuts: list[int]):
+def bucket_of(key: Column, cuts: list[int]) -> Column:
     """The number of cuts below or at the value, by the JVM; null goes to bucket 0."""
-    if not cuts:
-        return F.lit(0)
+
     def search(lo: int, hi: int):
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col(column) >= F.lit(cuts[mid]).cast("long"), search(mid + 1, hi)).otherwise(search(lo, mid))
+        return F.when(key >= F.lit(cuts[mid]).cast("long"), search(mid + 1, hi)).otherwise(search(lo, mid))
 
     return search(0, len(cuts))
 
 
+def _murmur3(x: int) -> int:
+    """Spark's hash of one int (Murmur3, 32 bits, seed 42)."""
+    word = 0xFFFFFFFF
+
+    def turn(v: int, by: int) -> int:
+        return (v << by | v >> 32 - by) & word
+
+    h = 42 ^ turn(x * 0xCC9E2D51 & word, 15) * 0x1B873593 & word
+    h = (turn(h, 13) * 5 + 0xE6546B64 & word) ^ 4
+    h = (h ^ h >> 16) * 0x85EBCA6B & word
+    h = (h ^ h >> 13) * 0xC2B2AE35 & word
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+@functools.lru_cache(maxsize=8)
+def dealers(n: int) -> tuple[int, ...]:
+    """For each bucket below n an int that repartition(n, int) sends to a partition of its own."""
+    found: dict[int, int] = {}
+    x = 0
+    while len(found) < n:
+        found.setdefault(_murmur3(x) % n, x)
+        x += 1
+    return tuple(found[b] for b in range(n))
+
+
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for each node of an undirected edge table; root is the least node reachable.
     Alternates large-star and small-star steps, each an aggregation with map-side combine; what is
-    collected per node is a minimum, never a neighbour list.  Self loops and repeated edges are allowed."""
+    collected per node is a minimum, never a neighbour list.  Ends when every node hangs on one root, however many rounds that takes.  Self loops and repeated edges are allowed."""
     e = written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc"
     )
     if e.isEmpty():
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    last = None
-    for _ in range(rounds):
+    while True:
         # large star: every larger neighbour of u is linked to the least of u and its neighbours
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -247,8 +294,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         e = written(small.where("u <> v").distinct(), "cc")
-        mark = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if mark == last:
+        # settled when each node hangs on one root: then no node is linked twice and no root is linked itself
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("links")).union(e.select(F.col("v").alias("x"), F.lit(0).alias("links")).distinct())
+        held = ends.groupBy("x").agg(F.sum("links").alias("links"), F.count("*").alias("rows"))
+        if held.where("links > 1 OR links = 1 AND rows > 1").isEmpty():
             break
-        last = mark
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))

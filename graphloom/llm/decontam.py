@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, shingles, text_chunks, words
+from .common import ALNUM, LOWER, shingles, spread, text_chunks, words
 
 SEED = 3  # words of a seed
 THRESHOLD = 0.5
@@ -122,11 +122,6 @@ class Seeds:
         return hit[ok], at[ok]
 
 
-def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... counts[0] of them, then those of starts[1], ..."""
-    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-
-
 def _windows(row: np.ndarray, item: np.ndarray, slope: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
     """(row, item, first word, word after the last) of the ranges to align, from the seeds' places in the document less those
     in the item.  A passing score bears ``slack`` words more than the item has; ranges that touch are one."""
@@ -154,7 +149,7 @@ def _can_pass(seeds: Seeds, h: np.ndarray, item: np.ndarray, a: np.ndarray, b: n
     for lo in range(0, len(a), step):
         part = slice(lo, lo + step)
         n = b[part] - a[part]
-        w, job = word[_spread(a[part], n)], np.repeat(np.arange(len(n)), n)
+        w, job = word[spread(a[part], n)], np.repeat(np.arange(len(n)), n)
         w, job = w[w >= 0], job[w >= 0]
         key = item[part][job] * len(seeds.words) + w
         at = np.searchsorted(seeds.holds, key)
@@ -173,7 +168,7 @@ def _search(batch, seeds: Seeds, threshold: float):
         hit, which = seeds.find(g)
         d = np.searchsorted(at, hit, side="right") - 1
         n = seeds.first[which + 1] - seeds.first[which]
-        place = _spread(seeds.first[which], n)
+        place = spread(seeds.first[which], n)
         item, slope = seeds.item[place], np.repeat(hit - at[d], n) - seeds.offset[place]
         row, item, a, b = _windows(np.repeat(d, n), item, slope, seeds.sizes, np.diff(counts), threshold)
         ok = _can_pass(seeds, h, item, a + counts[row], b + counts[row], threshold)

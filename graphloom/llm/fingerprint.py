@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, bucket_of, id_buckets, partitions_for, shingles, text_chunks, words
+from .common import LOWER, NOT_SPACE, bucket_of, dealers, id_buckets, order_key, partitions_for, shingles, text_chunks, words
 from .pieces import batches_of
 
 BINS, BITS, WORDS = 512, 4, 5
@@ -115,16 +115,17 @@ def with_successors(docs: DataFrame) -> DataFrame:
     bucket's last.  The text is shuffled once; what is collected is the cut values and, for each bucket, its
     greatest doc_id."""
     n = partitions_for(docs)
-    cuts = id_buckets(docs, "doc_id", n)
-    at = docs.select((F.lit(len(cuts)) - bucket_of("doc_id", cuts)).alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    key = order_key(docs, "doc_id")
+    cuts = id_buckets(docs, key, n)
+    at = docs.select((F.lit(len(cuts)) - bucket_of(key, cuts)).alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     tops = at.groupBy("bucket").agg(F.max("doc_id").alias("top")).orderBy("bucket").collect()
     heads = {r["top"]: tops[i - 1]["bucket"] for i, r in enumerate(tops)}
     target = F.lit(None).cast("int")
     if None in heads:  # a bucket of null ids only
         target = F.when(F.col("doc_id").isNull(), F.lit(heads.pop(None)))
     if heads:
-        named = F.create_map(*[F.lit(x).cast("long") for kv in heads.items() for x in kv])
-        target = F.when(F.col("doc_id").isin(list(heads)), F.try_element_at(named, F.col("doc_id").cast("long")).cast("int")).otherwise(target)
+        named = F.create_map(*[x for k, v in heads.items() for x in (F.lit(k).cast(docs.schema["doc_id"].dataType), F.lit(v))])
+        target = F.when(F.col("doc_id").isin(list(heads)), F.try_element_at(named, F.col("doc_id"))).otherwise(target)
     both = at.withColumn("h", target)
     own_row = F.struct(F.col("bucket").alias("b"), F.lit(0).alias("tail"))
     tail_row = F.struct(F.col("h").alias("b"), F.lit(1).alias("tail"))
@@ -133,7 +134,8 @@ def with_successors(docs: DataFrame) -> DataFrame:
     ).select("x.b", "x.tail", "doc_id", "text")
     return (
         dealt.withColumn("tie", F.xxhash64("text"))
-        .repartition(max(1, len(tops)), "b")
+        .withColumn("to", F.element_at(F.array(*[F.lit(x) for x in dealers(len(cuts) + 1)]), F.col("b") + 1))
+        .repartition(len(cuts) + 1, "to")
         .sortWithinPartitions("b", "tail", F.desc_nulls_last("doc_id"), "tie")
         .select("b", "tail", "doc_id", "text")
     )

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import give_back
+from .common import give_back, spread
 
 _NEAR = re.compile(r"\s\s")
 #: The same for RE2, over all characters that Python's \s takes.
@@ -42,10 +42,27 @@ class PieceCoder:
         self.flat = np.zeros(0, dtype=np.int32)
         self.start = np.zeros(0, dtype=np.int64)
         self.count = np.zeros(0, dtype=np.int32)
+        self.used = np.zeros(0, dtype=np.int32)  # calls of encode that a piece stood in
+
+    def _trim(self) -> None:
+        """Bounded memory: pieces that stood in one call only go, for most words of a corpus occur once; if too many are left, those of
+        most calls stay."""
+        keep = self.used > 1
+        if 2 * int(keep.sum()) > self.most:
+            keep = self.used > np.sort(self.used)[-(self.most // 2)]
+        place = np.cumsum(keep) - 1
+        stay, to = keep.tolist(), place.tolist()
+        self.known = tuple({p: to[k] for p, k in known.items() if stay[k]} for known in self.known)
+        count = self.count[keep]
+        self.flat = self.flat[spread(self.start[keep], count.astype(np.int64))]
+        self.start = np.concatenate(([0], np.cumsum(count)[:-1])).astype(np.int64) if len(count) else np.zeros(0, np.int64)
+        self.count, self.used = count, np.ones(len(count), dtype=np.int32)
+        self.size = len(count)
 
     def release(self) -> None:
-        """Give the memory back at the end of a task: the worker process goes on to other work."""
-        self._clear()
+        """Give memory back at the end of a task, but for the pieces that stood in several calls: the worker process goes on to
+        other work, and the next task needs those again."""
+        self._trim()
         give_back()
 
     def _learn(self, first: list[str], later: list[str]) -> None:
@@ -61,13 +78,14 @@ class PieceCoder:
         self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
         self.start = np.concatenate((self.start, start))
         self.count = np.concatenate((self.count, count.astype(np.int32)))
+        self.used = np.concatenate((self.used, np.zeros(len(count), dtype=np.int32)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin (one more value than texts)."""
         if not texts:
             return np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
         if self.size > self.most:
-            self._clear()  # bounded memory; pieces are simply coded again
+            self._trim()
         whole = pa.array(texts, pa.large_string())
         plain = pc.invert(pc.match_substring_regex(whole, _NEAR_ALL))
         lists = pc.split_pattern(pc.if_else(plain, whole, ""), " ")
@@ -89,6 +107,7 @@ class PieceCoder:
         at = np.zeros((2, len(names)), dtype=np.int32)
         for row, known in enumerate(self.known):
             at[row, some[row]] = list(map(known.__getitem__, told[row]))
+            self.used[at[row, some[row]]] += 1
         r = at[1][code]
         r[heads] = at[0][code[heads]]
         if odd:

@@ -50,13 +50,13 @@ def test_op9_columns_kept_and_empty(spark):
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))  # as the library gives it
 
 
 def test_op7_equals_library(spark, library):
-    texts = awkward() + ["<|endoftext|> x", "tail"]
+    e = "<|endoftext|>"
+    special = [f"{e} x", f"a {e} b", f"a{e}b", f" {e}", f"{e}  {e}", f"x {e}{e} y {e[:-1]} é{e} 日 {e}.", f"same words {e} same words"]
+    texts = awkward() + special + [f"{e} x", "tail"]
     ids = [*range(len(texts) - 3), 90, 90, None]
     docs = documents(spark, texts, ids=ids)
     got = tokens.store_and_read(docs, shard_tokens=500).collect()
@@ -86,3 +86,45 @@ def test_op7_wavelet_answers():
         assert w.count(1 << 20) == 0
         with pytest.raises(IndexError):
             w.access(n)
+
+
+def test_op7_reads_few_blocks_of_a_file():
+    rng = np.random.default_rng(4)
+    ids = rng.integers(0, 50_000, 700_000)
+    w, _, _ = tokens.from_file(tokens.to_file(ids, [1], [len(ids)]))
+    i = 333_333
+    assert w.access(i) == ids[i] and w.block.cache_info().currsize <= 2 * w.bits
+    where = np.flatnonzero(ids == ids[i])
+    assert w.count(int(ids[i])) == len(where) and w.places(int(ids[i])) == where.tolist()
+    assert (w.decode() == ids).all()
+
+
+def test_op7_string_ids(spark):
+    d = documents(spark, ["b text", "a text", None, "c"]).selectExpr("concat('doc-', doc_id % 3) AS doc_id", "text")
+    got = sorted(map(tuple, tokens.store_and_read(d).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == ["doc-0", "doc-0", "doc-1", "doc-2"] and [r[1] for r in got] == np.cumsum([0, *[r[2] for r in got[:-1]]]).tolist()
+
+
+def test_dealers_part_all_buckets(spark):
+    from graphloom.llm.common import dealers
+
+    for n in (1, 7, 51):
+        d = spark.createDataFrame([(x,) for x in dealers(n)], "x int").repartition(n, "x").selectExpr("spark_partition_id() AS p")
+        assert d.distinct().count() == n
+
+
+def test_op9_replaces_a_column_of_its_name(spark):
+    d = documents(spark, ["a b"]).selectExpr("*", "'mine' AS token_ids")
+    r = bpe.encode(d).first()
+    assert r.asDict().keys() == set(d.columns) and list(r["token_ids"]) == bpe.load(*bpe.default_vocabulary()).encode(["a b"])[0].tolist()
+
+
+def test_op7_lines_and_spaces_of_all_kinds(library):
+    rng = np.random.default_rng(7)
+    coder = tokens._coder(P.path("byte_bpe_50k.json"))
+    bits = ["a", "the", "'s", "x1", ".", ",\n", "\n", "\n\n", " ", "  ", "\t", "\r\n", "\xa0", " ", "é", "漢", "<|endoftext|>", "!", "\x1c", "😀"]
+    for _ in range(400):
+        texts = ["".join(rng.choice(bits, size=rng.integers(0, 14))) for _ in range(30)]
+        ids, at = coder.encode(texts)
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
