@@ -29,15 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, components, give_back, mix, partitions_for, shingles, text_chunks, words, written
+from .common import LOWER, NOT_SPACE, components, give_back, mix, partitions_for, shingles, spread, text_chunks, words, written
 from .packed import PACKED, Bloom, blobs, reduced, text_key
 
 WORDS, PERCENT = 5, 80
 ORDERED = 1 << 17  # frequent tokens that are ordered by frequency; the others by hash
-OFTEN = 3  # classes of one batch that make a token worth counting
+OFTEN = 3  # classes among HELD tokens that make a token worth counting
 SKETCH = 512  # bits
 BLOCK = 64  # entries of a block of a list
-ROUNDS = 3  # of comparisons with the likeliest set of another component
+PART = 2048  # entries of a list that meet in one task
+PAIRS = 1 << 17  # that are looked at together
+ROUNDS = 1  # of comparisons with the likeliest set of another component
+LISTED = np.dtype([(c, "<i8") for c in ("token", "s1", "s2", "part", "id", "comp", "n", "pos", "hub")] + [("dist", "<f8"), ("sketch", "<u8", (SKETCH // 64,))])
+HELD = 1 << 20  # tokens among which a task looks for frequent ones
+SENT = 1 << 18  # entries that a task holds before it sends them
 ENTRY = np.dtype([("token", "<u8"), ("k", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
 
@@ -92,43 +97,54 @@ def overlap_needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def _often(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of at least ``OFTEN`` of the sets, and in how many."""
+    every = np.sort(np.concatenate([*sets, np.zeros(0, np.uint64)]))
+    new = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+    c = np.diff(np.append(new, len(every)))
+    return every[new[c >= OFTEN]], c[c >= OFTEN]
+
+
 def summaries(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, t1, t2 (text), k1, k2 (set), n, sketch, wide; on one row of a batch, tokens frequent in it with their counts."""
+    """doc_id, t1, t2 (text), k1, k2 (set), n, sketch, wide; on a row now and then the tokens frequent in the ``HELD`` tokens
+    of distinct sets before it, with their counts.  What a task holds is bounded by that and one batch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def told(batch, rows: list[tuple], often: tuple[np.ndarray, np.ndarray]):
+        k1, k2, size, sketch, wide = zip(*rows, strict=True)
+        u, c = often
+        ends = pa.array([0] + [len(u)] * len(rows), pa.int32())  # all on the first row
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"), batch.column("t1"), batch.column("t2"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(size, pa.int64()),
+                pa.array(sketch, pa.binary()), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(u.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(c.astype(np.int64))),
+            ],
+            names=["doc_id", "t1", "t2", "k1", "k2", "n", "sketch", "wide", "tokens", "counts"],
+        )
+
     def run(batches):
+        seen: dict[tuple[int, int], np.ndarray] = {}  # equal sets count once
+        size = 0
+        last = None
         for batch in batches:
-            k1, k2, size, sketch, wide = [], [], [], [], []
-            first: dict[tuple[int, int], None] = {}
-            seen: list[np.ndarray] = []
+            if not batch.num_rows:
+                continue
+            if last is not None:
+                often = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                if size >= HELD:
+                    often, seen, size = _often(list(seen.values())), {}, 0
+                yield told(*last, often)
+            rows = []
             for _, _, buf, offs in text_chunks(batch.column("text")):
-                for s in sets_of(buf, offs, n):
-                    key = class_keys(s)
-                    k1.append(key[0])
-                    k2.append(key[1])
-                    size.append(len(s))
-                    sketch.append(parity(s))
-                    wide.append(wide_parity(s))
-                    if key not in first:
-                        first[key] = None
-                        seen.append(s)
-            every = np.concatenate(seen) if seen else np.zeros(0, np.uint64)
-            del seen
-            every.sort()
-            new = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
-            c = np.diff(np.append(new, len(every)))
-            u = every[new[c >= OFTEN]]
-            c = c[c >= OFTEN]
-            del every, new
-            rows = batch.num_rows
-            ends = pa.array([0] + [len(u)] * rows, pa.int32())  # all on the first row
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("t1"), batch.column("t2"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(size, pa.int64()),
-                    pa.array(sketch, pa.binary()), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(u.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(c.astype(np.int64))),
-                ],
-                names=["doc_id", "t1", "t2", "k1", "k2", "n", "sketch", "wide", "tokens", "counts"],
-            )
+                for x in sets_of(buf, offs, n):
+                    key = class_keys(x)
+                    rows.append((*key, len(x), parity(x), wide_parity(x)))
+                    if key not in seen:
+                        seen[key] = x
+                        size += len(x)
+            last = (batch.select(["doc_id", "t1", "t2"]), rows)
+        if last is not None:
+            yield told(*last, _often(list(seen.values())))
         give_back()
 
     schema = f"doc_id {kind}, t1 long, t2 long, k1 long, k2 long, n long, sketch binary, wide binary, tokens array<long>, counts array<long>"
@@ -138,8 +154,8 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
 class Order:
     """Global token order: (frequency rank or 0, hash)."""
 
-    def __init__(self, frequent: list[int]) -> None:
-        a = np.array(frequent, dtype=np.int64).view(np.uint64)  # rarest first
+    def __init__(self, frequent: np.ndarray) -> None:
+        a = np.asarray(frequent, dtype=np.int64).view(np.uint64)  # rarest first
         by = np.argsort(a)
         self.keys, self.rank = a[by], by.astype(np.int64) + 1
 
@@ -157,29 +173,34 @@ class Order:
         return np.concatenate((s[~known], often))[:size]
 
 
-def _entries(docs: DataFrame, frequent: list[int], n: int, percent: int, targets: int) -> DataFrame:
+def _entries(docs: DataFrame, frequent: np.ndarray, n: int, percent: int, targets: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Order(frequent))
 
     def run(batches):
         order = shared.value
+        held: dict[tuple[int, int], np.ndarray] = {}  # equal sets of a portion send one set of entries
+        size = 0
+
+        def sent():
+            e = np.concatenate(list(held.values()))
+            return blobs(0, e["token"] % np.uint64(targets), e)
+
         for batch in batches:
-            done: set[tuple[int, int]] = set()
-            held: list[np.ndarray] = []
             for _, _, buf, offs in text_chunks(batch.column("text")):
-                for s in sets_of(buf, offs, n):
-                    if not len(s):
-                        continue
-                    key = class_keys(s)
-                    if key in done:  # equal sets of a batch send one set of entries
+                for x in sets_of(buf, offs, n):
+                    key = class_keys(x)
+                    if not len(x) or key in held:
                         continue
-                    done.add(key)
-                    p = order.prefix(s, len(s) - need(len(s), percent) + 1)
+                    p = order.prefix(x, len(x) - need(len(x), percent) + 1)
                     e = np.empty(len(p), dtype=ENTRY)
-                    e["token"], e["k"], e["n"], e["pos"] = p, key[0], len(s), np.arange(len(p))
-                    held.append(e)
-            if held:
-                e = np.concatenate(held)
-                yield blobs(0, e["token"] % np.uint64(targets), e)
+                    e["token"], e["k"], e["n"], e["pos"] = p, key[0], len(x), np.arange(len(p))
+                    held[key] = e
+                    size += len(e)
+                if size >= SENT:
+                    yield sent()
+                    held, size = {}, 0
+        if held:
+            yield sent()
         give_back()
 
     return docs.select("text").mapInArrow(run, PACKED)
@@ -308,98 +329,121 @@ class _List:
         return np.concatenate(found), np.concatenate(bits)
 
 
-def cross_pairs(rows: list[np.ndarray], percent: int) -> set[tuple[int, int]]:
-    """Pairs of one list that may link: of different components, and through every filter."""
-    own = _List(rows, percent)
-    out: set[tuple[int, int]] = set()
-    for i in range(len(own.ids)):
-        x = int(own.ids[i])
-        out.update((min(x, y), max(x, y)) for y in own.ids[own.partners(i)[0]].tolist())
-    return out
+def _candidates(r: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, bits) of all pairs of records that may link, over whole groups.  Groups are runs of equal (token, s1, s2); those
+    of up to a block are paired together in array operations, larger ones walk their blocks."""
+    new = np.ones(len(r), dtype=bool)
+    for c in ("token", "s1", "s2"):
+        new[1:] &= r[c][1:] == r[c][:-1]
+    new[1:] = ~new[1:]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(r)))
+    found = []
+    small = (size > 1) & (size <= BLOCK)
+    # each record of a small group with those after it
+    left = np.repeat(size[small], size[small]) - 1 - spread(np.zeros(small.sum(), np.int64), size[small])
+    at = spread(first[small], size[small])
+    step = 0
+    while step < len(at):  # a bounded number of pairs at a time
+        end = max(step + 1, int(np.searchsorted(np.cumsum(left[step:]), PAIRS, side="right")) + step)
+        i, j = np.repeat(at[step:end], left[step:end]), spread(at[step:end] + 1, left[step:end])
+        own = {c: (r[c][i], r[c][j]) for c in ("comp", "n", "pos", "part", "hub", "dist")}
+        n, most = sum(own["n"]), np.maximum(*own["n"])
+        lap = overlap_needed(n, 0, percent)
+        behind = np.minimum(*(m - p for m, p in zip(own["n"], own["pos"], strict=True)))
+        ok = np.not_equal(*own["comp"]) & (behind >= lap) & (need(most, percent) <= n - most)
+        ok &= np.not_equal(*own["hub"]) | (np.abs(np.subtract(*own["dist"])) <= 1 - percent / 100 + 1e-9)
+        ok &= np.not_equal(*own["part"]) | (r["s1"][i] == r["s2"][i])
+        i, j, lap, n = i[ok], j[ok], lap[ok], n[ok]
+        bits = np.bitwise_count(r["sketch"][i] ^ r["sketch"][j]).sum(axis=1).astype(np.int64)
+        near = bits <= n - 2 * lap
+        found.append((i[near], j[near], bits[near]))
+        step = end
+    for a, m in zip(first[size > BLOCK].tolist(), size[size > BLOCK].tolist(), strict=True):
+        own = r[a : a + m]
+        if (own["comp"] == own["comp"][0]).all():
+            continue
+        walk = _List([own[c] for c in ("id", "comp", "n", "pos", "hub", "dist", "sketch")], percent)
+        sides = own["part"][walk.order] if own["s1"][0] != own["s2"][0] else None
+        for i in range(m):
+            j, bits = walk.partners(i)
+            if sides is not None and len(j):
+                other = sides[j] != sides[i]
+                j, bits = j[other], bits[other]
+            if len(j):
+                found.append((np.full(len(j), a + walk.order[i]), a + walk.order[j], bits))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def likeliest(rows: list[np.ndarray], met: list[list[int]], percent: int) -> list[tuple[int, int, int]]:
-    """(id, partner, bits) of each entry of a list with the partner of another component whose sketch differs least and that
-    it hasn't met; entries without one are left out."""
-    own = _List(rows, percent)
-    m = len(own.ids)
-    best, who = np.full(m, 1 << 40), np.full(m, -1, dtype=np.int64)
-    met_ = [set(met[k]) for k in own.order]
-    for i in range(m):
-        j, bits = own.partners(i)
-        if not len(j):
-            continue
-        mine, theirs = int(own.ids[i]), own.ids[j]
-        fresh = np.array([mine not in met_[k] and y not in met_[i] for k, y in zip(j.tolist(), theirs.tolist(), strict=True)])
-        j, bits, theirs = j[fresh], bits[fresh], theirs[fresh]
-        if not len(j):
-            continue
-        better = bits < best[j]
-        best[j[better]], who[j[better]] = bits[better], mine
-        k = bits.argmin()
-        if bits[k] < best[i]:
-            best[i], who[i] = bits[k], theirs[k]
-    return [(int(own.ids[i]), int(who[i]), int(best[i])) for i in np.flatnonzero(who >= 0)]
-
-
-def with_partners(rows: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which entries of a list have a partner of another component that may link."""
-    own = _List(rows, percent)
-    out = np.zeros(len(own.ids), dtype=bool)
-    for i in range(len(own.ids)):
-        j = own.partners(i)[0]
-        if len(j):
-            out[own.order[j]] = out[own.order[i]] = True
-    return out
+def _least(x: np.ndarray, bits: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each x its k distinct y of least (bits, y)."""
+    order = np.lexsort((y, bits, x))
+    x, y, bits = x[order], y[order], bits[order]
+    same = np.zeros(len(x), dtype=bool)
+    same[1:] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])  # a pair has the same bits wherever it meets
+    x, y, bits = x[~same], y[~same], bits[~same]
+    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(x)))
+    few = spread(np.zeros(len(first), np.int64), size) < k
+    return x[few], y[few], bits[few]
 
 
 def _scan(lists: DataFrame, percent: int, targets: int, what: str) -> DataFrame:
-    """lists: token, id, comp, n, pos, hub, dist, sketch, met.  Gives token, x, y, bits:
+    """lists: token, s1, s2, part, id, comp, n, pos, hub, dist, sketch.  Gives token, x, y, bits:
     ``entries``: token, id and pos of the entries with a partner that may link;
-    ``nearest``: each x with its likeliest partner of each task, and the bits in which they differ;
+    ``nearest``: each x with its likeliest partners of each portion, more than it can have met, and the bits in which they differ;
     ``pairs``: all x < y that may link."""
 
-    def run(batches):
-        held: list[tuple] = []
-        found: set = set()
-        best: dict[int, tuple[int, int]] = {}
-        now = None
-
-        def done():
-            if len(held) < 2 or all(r[1] == held[0][1] for r in held):
-                return
-            cols = list(zip(*held, strict=True))
-            nums = [np.array(c, dtype=np.int64) for c in cols[:5]] + [np.array(cols[5], dtype=np.float64)]
-            rows = [*nums, np.frombuffer(b"".join(cols[6]), dtype=np.uint64).reshape(len(held), SKETCH // 64)]
-            if what == "entries":
-                ok = np.flatnonzero(with_partners(rows, percent))
-                found.update((now, int(nums[0][k]), int(nums[3][k])) for k in ok)
-            elif what == "pairs":
-                found.update((0, *p) for p in cross_pairs(rows, percent))
+    def told(r: np.ndarray):
+        i, j, bits = _candidates(r, percent)
+        if what == "entries":
+            k = np.unique(np.concatenate((i, j)))
+            out = (r["token"][k], r["id"][k], r["pos"][k], np.zeros(len(k), np.int64))
+        else:
+            x, y = r["id"][i], r["id"][j]
+            if what == "nearest":
+                x, y, bits = _least(np.concatenate((x, y)), np.concatenate((bits, bits)), np.concatenate((y, x)), ROUNDS + 1)
+                out = (np.zeros(len(x), np.int64), x, y, bits)
             else:
-                for x, y, bits in likeliest(rows, cols[7], percent):
-                    if x not in best or (bits, y) < best[x]:
-                        best[x] = (bits, y)
-
-        def told():
-            rows = [(0, x, y, b) for x, (b, y) in best.items()] if what == "nearest" else [(*f, 0) for f in found]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["token", "x", "y", "bits"])
+                both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0)
+                out = (np.zeros(len(both), np.int64), both[:, 0], both[:, 1], np.zeros(len(both), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, dtype=np.int64)) for c in out], names=["token", "x", "y", "bits"])
 
+    def run(batches):
+        kept = np.zeros(0, dtype=LISTED)  # the last group, which may go on
         for batch in batches:
-            for token, *row in zip(*(batch.column(c).to_pylist() for c in ("token", "id", "comp", "n", "pos", "hub", "dist", "sketch", "met")), strict=True):
-                if token != now:
-                    done()
-                    if len(found) + len(best) > 100_000:
-                        yield told()
-                        found, best = set(), {}
-                    held, now = [], token
-                held.append(tuple(row))
-        done()
-        yield told()
+            r = np.empty(batch.num_rows, dtype=LISTED)
+            for c in ("token", "s1", "s2", "part", "id", "comp", "n", "pos", "hub", "dist"):
+                r[c] = batch.column(c).to_numpy(zero_copy_only=False)
+            r["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(r), SKETCH // 64)
+            r = np.concatenate((kept, r))
+            if not len(r):
+                continue
+            differs = np.flatnonzero((r["token"] != r["token"][-1]) | (r["s1"] != r["s1"][-1]) | (r["s2"] != r["s2"][-1]))
+            cut = int(differs[-1]) + 1 if len(differs) else 0
+            kept = r[cut:].copy()
+            if cut:
+                yield told(r[:cut])
+        if len(kept):
+            yield told(kept)
         give_back()
 
-    return lists.repartition(targets, "token").sortWithinPartitions("token").mapInArrow(run, "token long, x long, y long, bits long")
+    keys = ("token", "s1", "s2")
+    return lists.repartition(targets, *keys).sortWithinPartitions(*keys).mapInArrow(run, "token long, x long, y long, bits long")
+
+
+def _dealt(entries: DataFrame, comp: DataFrame) -> DataFrame:
+    """entries: token, id, pos -> token, s1, s2, part, id, comp, pos: only of lists that hold two components, counted with
+    map-side combine before any list is gathered.  A list of more than ``PART`` entries is parted by id; each two parts meet in
+    a group of their own, so no task holds a whole hot list."""
+    placed = entries.join(comp.select("id", "root"), "id", "left").select("token", "id", "pos", F.coalesce("root", "id").alias("comp"))
+    per = placed.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
+    parts = per.select("token", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
+    own = placed.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    met = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met.select("token", F.least("part", "with").alias("s1"), F.greatest("part", "with").alias("s2"), "part", "id", "comp", "pos")
 
 
 def row_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -416,9 +460,10 @@ def row_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> D
         .agg(F.sum("z.counts").alias("c"))
         .orderBy(F.desc("c"), "token")
         .limit(ORDERED)
-        .collect()
+        .select("token")
+        .toArrow()
     )
-    order = [r["token"] for r in reversed(frequent)]
+    order = frequent.column("token").to_numpy()[::-1]
     classes = (
         rows.where("n > 0")
         .groupBy("k1", "k2", "n")
@@ -464,14 +509,14 @@ def row_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> D
     base = written(base.select("id", "n", "sketch", F.coalesce("hub", "id").alias("hub"), F.coalesce("dist", F.lit(0.0)).alias("dist")), "base")
 
     def scan(entries: DataFrame, what: str) -> DataFrame:
-        met = asked.groupBy(F.col("x").alias("id")).agg(F.collect_set("y").alias("met"))  # one for each round
-        known = base.join(comp, "id", "left").join(met, "id", "left").select("id", "n", "sketch", "hub", "dist", F.coalesce("root", "id").alias("comp"), F.coalesce("met", F.array().cast("array<bigint>")).alias("met"))
-        return _scan(entries.join(known, "id"), percent, targets, what)
+        known = base.select("id", "n", "sketch", "hub", "dist")
+        return _scan(_dealt(entries, comp).join(known, "id"), percent, targets, what)
 
     entries = written(scan(slim, "entries").select("token", F.col("x").alias("id"), F.col("y").alias("pos")), "entries")
     for step in range(ROUNDS + 1):
         if step < ROUNDS:
-            new = scan(entries, "nearest").groupBy("x").agg(F.min(F.struct("bits", "y")).alias("b")).select("x", F.col("b.y").alias("y"))
+            known = asked.union(asked.select("y", "x"))
+            new = scan(entries, "nearest").join(known, ["x", "y"], "left_anti").groupBy("x").agg(F.min(F.struct("bits", "y")).alias("b")).select("x", F.col("b.y").alias("y"))
         else:
             new = scan(entries, "pairs").select("x", "y").distinct()
         new = written(new, "asked")
@@ -496,19 +541,20 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
 
 def representatives(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, one of each component: that of the component's id (of repeated rows one).  Rows with
-    empty sets all stay.  Only rows whose key may be that of a dropped or repeated row are shuffled."""
+    empty sets all stay.  All columns stay, whatever their names.  Only rows whose key may be that of a
+    dropped or repeated row are shuffled."""
     rows = written(row_components(docs, n, percent), "components")
     same = rows.where("n_shingles > 0").groupBy("doc_id", "t1", "t2", "component_id").agg(F.count("*").alias("times"))
     heads = same.groupBy(F.col("component_id").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "t1", "t2")).alias("h"))
     stays = F.col("doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("t1") == F.col("h.t1")) & (F.col("t2") == F.col("h.t2"))
     odd = same.join(heads, F.col("component_id").eqNullSafe(F.col("c"))).withColumn("stays", stays).where("NOT stays OR times > 1")
     odd = written(odd.select(F.col("doc_id").alias("d_"), F.col("t1").alias("t1_"), F.col("t2").alias("t2_"), "stays"), "odd")
-    t1, t2 = text_key("t_")
-    keyed = docs.withColumn("t_", F.coalesce("text", F.lit(""))).withColumns({"t1_": t1, "t2_": t2}).drop("t_")
+    t1, t2 = text_key("t")
+    keyed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("t")).select("row", t1.alias("t1_"), t2.alias("t2_"))
     bloom = Bloom.of(odd, "t1_", "t2_")
-    sure = bloom.filtered(keyed, "t1_", "t2_", among=False).select(*[f"`{c}`" for c in docs.columns])
+    sure = bloom.filtered(keyed, "t1_", "t2_", among=False).select("row")
     some = bloom.filtered(keyed, "t1_", "t2_").alias("k")
-    met = some.join(odd.alias("o"), F.expr("k.t1_ = o.t1_ AND k.t2_ = o.t2_ AND k.doc_id <=> o.d_"), "left").where("o.stays IS NULL OR o.stays")
-    once = met.where("o.stays").select("k.*").dropDuplicates(["doc_id", "t1_", "t2_"])
-    rest = met.where("o.stays IS NULL").select("k.*")
-    return sure.unionAll(once.unionAll(rest).select(*[f"`{c}`" for c in docs.columns]))
+    met = some.join(odd.alias("o"), F.expr("k.t1_ = o.t1_ AND k.t2_ = o.t2_ AND k.row.doc_id <=> o.d_"), "left").where("o.stays IS NULL OR o.stays")
+    once = met.where("o.stays").select("k.row", F.col("k.row.doc_id").alias("d"), "k.t1_", "k.t2_").dropDuplicates(["d", "t1_", "t2_"])
+    rest = met.where("o.stays IS NULL").select("k.row")
+    return sure.unionAll(once.select("row").unionAll(rest)).select("row.*")

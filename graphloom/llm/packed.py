@@ -10,14 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
+MOST = 1 << 16  # bytes of a value: larger ones are awkward for the JVM's heap
 PACKED = "part int, kind int, blob binary"
 
 
 def blobs(kind: int, target: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
-    """A row for each target that has records."""
+    """A row for each target that has records, or several of about ``MOST`` bytes."""
     order = np.argsort(target, kind="stable")
     t, r = target[order], records[order]
     cut = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
+    each = max(1, MOST // records.dtype.itemsize)
+    more = -(-np.diff(np.append(cut, len(t))) // each)
+    cut = spread(np.zeros(len(cut), np.int64), more) * each + np.repeat(cut, more)
     ends = np.append(cut[1:], len(t))[: len(cut)]
     return pa.RecordBatch.from_arrays(
         [
@@ -89,16 +95,15 @@ class Bloom:
         return ok
 
     def filtered(self, df: DataFrame, k1: str = "k1", k2: str = "k2", among: bool = True) -> DataFrame:
-        """Rows whose key may be a member (or, with ``among`` false, surely is none)."""
+        """Rows whose key may be a member (or, with ``among`` false, surely is none).  Only the keys go to Python."""
         shared = df.sparkSession.sparkContext.broadcast(self.words)
 
-        def run(batches):
-            own = Bloom(shared.value)
-            for batch in batches:
-                ok = own.holds(batch.column(k1).to_numpy(zero_copy_only=False), batch.column(k2).to_numpy(zero_copy_only=False))
-                yield batch.filter(pa.array(ok if among else ~ok))
+        @F.arrow_udf("boolean")
+        def member(a: pa.Array, b: pa.Array) -> pa.Array:
+            return pa.array(Bloom(shared.value).holds(a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False)))
 
-        return df.mapInArrow(run, df.schema)
+        ok = member(F.col(k1), F.col(k2))
+        return df.where(ok if among else ~ok)
 
 
 def text_key(column: str) -> tuple:

@@ -90,3 +90,16 @@ def test_filters_lose_nothing():
             assert linked == (both >= jaccard.overlap_needed(len(a), len(b), percent))
             if linked:
                 assert min(len(a), len(b)) >= jaccard.need(max(len(a), len(b)), percent)
+
+
+def test_hot_lists_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "PAIRS", 16)
+    monkeypatch.setattr(jaccard, "HELD", 64)
+    passage = " ".join(f"p{i}" for i in range(20))
+    rnd = random.Random(5)
+    texts = [f"{passage} " + " ".join(f"u{k}x{rnd.randrange(3)}" for k in range(j % 7)) for j in range(60)] + corpus(9, 4, 8)
+    for n, percent in ((2, 80), (3, 60)):
+        got = jaccard.jaccard_components(documents(spark, texts).repartition(5), n, percent).collect()
+        assert sorted((tuple(r) for r in got), key=str) == _brute(texts, n, percent)
