@@ -28,6 +28,7 @@ from .pieces import PieceCoder, batches_of
 
 NONE = np.int64(1) << np.int64(62)
 TEXTS = 1 << 21  # characters that are coded at a time
+PIECES = 20_000  # new pieces that are merged together
 
 
 class Bpe:
@@ -50,7 +51,7 @@ class Bpe:
         self.pairs = _Table(key)
         self.pair_rank = np.array(out + [0], dtype=np.int64)  # the last stands for no pair
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
-        self.coder = PieceCoder(self._encode_pieces, most=200_000)
+        self.coder = PieceCoder(self._encode_pieces, most=100_000)
 
     # -------------------------------------------------------------- merging
 
@@ -132,7 +133,7 @@ class Bpe:
             else:
                 by.setdefault(1 << (len(p) - 1).bit_length(), []).append(i)
         for width, at in by.items():
-            step = max(1, (1 << 19) // width)
+            step = max(1, (1 << 17) // width)
             for lo in range(0, len(at), step):
                 some = at[lo : lo + step]
                 for i, ids in zip(some, self._merge([parts[i] for i in some], width), strict=True):
@@ -140,16 +141,19 @@ class Bpe:
         return out
 
     def _encode_pieces(self, first: list[str], later: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, count = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)]
         pieces = first + later
-        found = [self.pattern.findall(p) for p in pieces]
-        distinct = list({m: None for f in found for m in f})
-        ids = dict(zip(distinct, self.encode_bytes([m.encode("utf-8", "replace") for m in distinct]), strict=True))
-        each = [ids[m] for f in found for m in f]
-        flat = np.concatenate(each) if each else np.zeros(0, dtype=np.int64)
-        per = np.array([len(x) for x in each] + [0], dtype=np.int64)
-        ends = np.cumsum([len(f) for f in found])
-        total = np.concatenate(([0], np.cumsum(per[:-1])))
-        return flat, np.diff(np.concatenate(([0], total[ends])))
+        for lo in range(0, len(pieces), PIECES):
+            found = [self.pattern.findall(p) for p in pieces[lo : lo + PIECES]]
+            distinct = list({m: None for f in found for m in f})
+            ids = dict(zip(distinct, self.encode_bytes([m.encode("utf-8", "replace") for m in distinct]), strict=True))
+            each = [ids[m] for f in found for m in f]
+            if each:
+                flat.append(np.concatenate(each).astype(np.int32))
+            ends = np.concatenate(([0], np.cumsum([len(f) for f in found])))
+            total = np.concatenate(([0], np.cumsum(np.array([len(x) for x in each], dtype=np.int64))))
+            count.append(np.diff(total[ends]).astype(np.int32))
+        return np.concatenate(flat), np.concatenate(count)
 
     # -------------------------------------------------------------- texts
 
@@ -172,10 +176,12 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with token_ids array<int> added at the end."""
+    """``docs`` with token_ids array<int> added at the end; a column of that name is replaced."""
     if path is None or pattern is None:
         path, pattern = default_vocabulary()
 
+    docs = docs.drop("token_ids")
+
     def run(batches):
         bpe = load(path, pattern)
         for batch in batches:
@@ -192,7 +198,9 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
 
 def decode(coded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``coded`` with decoded binary, the bytes of token_ids, added at the end; null ids give null."""
+    """``coded`` with decoded binary, the bytes of token_ids, added at the end (a column of that name is replaced); null
+    ids give null."""
+    coded = coded.drop("decoded")
     if path is None or pattern is None:
         path, pattern = default_vocabulary()
 

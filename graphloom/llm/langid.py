@@ -21,8 +21,9 @@ other than doc_id, text and lang are ignored, and lang only ever trains.
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,6 +32,9 @@ from pyspark.sql import types as T
 
 from .common import give_back, text_chunks
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 UND = "und"
 ORDER = 4  # bytes of the longest context
 PIECE = 1024  # bytes of text that are drawn for training together, at most
@@ -56,69 +60,79 @@ def _grams(buf: np.ndarray, offs: np.ndarray, k: int) -> np.ndarray:
 
 
 def _count(lang: np.ndarray, skip: np.ndarray, column: pa.Array, order: int):
-    """Batches of lang, k, key, n over texts; the first ``skip`` bytes of each are context only."""
+    """Batches of lang (a number), k, key, n over texts; the first ``skip`` bytes of each are context only."""
     for lo, hi, buf, offs in text_chunks(column):
         who = np.repeat(np.arange(hi - lo), np.diff(offs))
         told = np.arange(len(buf)) - np.repeat(offs[:-1], np.diff(offs)) >= skip[lo:hi][who]
-        names, inv = np.unique(lang[lo:hi].astype(str), return_inverse=True)
+        own = lang[lo:hi][who]
         for k in range(order + 1):
             g = _grams(buf, offs, k)
-            for i, name in enumerate(names):
-                u, n = np.unique(g[told & (inv[who] == i)], return_counts=True)
+            for i in np.unique(lang[lo:hi]):
+                u, n = np.unique(g[told & (own == i)], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(u), pa.string()), pa.array(np.full(len(u), k, np.int32)), pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))],
+                    [pa.array(np.full(len(u), i, np.int32)), pa.array(np.full(len(u), k, np.int32)), pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))],
                     names=["lang", "k", "key", "n"],
                 )
 
 
-def train_counts(docs: DataFrame, order: int = ORDER, train_bytes: int = 2_000_000) -> pd.DataFrame:
-    """lang, k, key, n: how often each (context of k bytes, byte) stands in the sampled training text."""
+def train_counts(docs: DataFrame, order: int = ORDER, train_bytes: int = 2_000_000) -> "pd.DataFrame":
+    """lang (categorical), k, key, n: how often each (context of k bytes, byte) stands in the sampled training text."""
+    import pandas as pd  # on the driver only: workers keep what they import
+
     part = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     part = part.where(F.octet_length("text") > 0).select("lang", "text", F.xxhash64(F.lit("ppm"), F.col("doc_id").cast("string"), "text").alias("row"))
     sizes = {r["lang"]: (r["b"], r["first"]) for r in part.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b"), F.min("row").alias("first")).collect()}
-    share = train_bytes / max(1, len(sizes))
+    langs = sorted(sizes)
+    if not langs:
+        return pd.DataFrame({"lang": pd.Categorical([]), "k": [], "key": [], "n": []})
+    number = {lang: i for i, lang in enumerate(langs)}
+    share = train_bytes / len(sizes)
     piece = max(1, min(PIECE, int(share / 16)))
 
     def of(values: dict, kind: str):
-        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("lang")] if values else F.lit(None).cast(kind)
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("lang")].cast(kind)
 
     # of a language's pieces that part whose hash is under its share
     cut = of({lang: min(1.0, share / b) for lang, (b, _) in sizes.items()}, "double")
     every = F.sequence(F.lit(0), ((F.octet_length("text") - 1) / piece).cast("int"))
     drawn = F.filter(every, lambda i: F.pmod(F.xxhash64("row", i), F.lit(1 << 52)) / float(1 << 52) < F.col("cut"))
-    sample = part.withColumn("cut", cut).withColumn("drawn", drawn).where(F.size("drawn") > 0).select("lang", "text", F.explode("drawn").alias("i"))
+    sample = part.withColumn("cut", cut).withColumn("drawn", drawn).where(F.size("drawn") > 0).select(of(number, "int").alias("lang"), "text", F.explode("drawn").alias("i"))
     skip = F.least(F.lit(order), F.col("i") * piece)
     sample = sample.select("lang", skip.alias("skip"), F.substring(F.col("text").cast("binary"), F.col("i") * piece - skip + 1, piece + skip).alias("text"))
 
     def count(batches):
         for batch in batches:
-            yield from _count(np.array(batch.column("lang").to_pylist(), dtype=object), batch.column("skip").to_numpy(), batch.column("text"), order)
+            yield from _count(batch.column("lang").to_numpy(), batch.column("skip").to_numpy(), batch.column("text"), order)
 
-    out = sample.mapInArrow(count, "lang string, k int, key long, n long").groupBy("lang", "k", "key").agg(F.sum("n").alias("n")).toPandas()
-    missed = {lang: first for lang, (_, first) in sizes.items() if lang not in set(out["lang"].unique())}
+    rows = sample.mapInArrow(count, "lang int, k int, key long, n long").groupBy("lang", "k", "key").agg(F.sum("n").alias("n"))
+    out = rows.select(F.col("lang").cast("smallint"), F.col("k").cast("tinyint"), "key", F.col("n").cast("int")).toArrow().combine_chunks()
+    told = set(out.column("lang").unique().to_pylist())
+    missed = {lang: first for lang, (_, first) in sizes.items() if number[lang] not in told}
     if missed:
         rows = part.where(F.col("row") == of(missed, "long")).select("lang", F.substring(F.col("text").cast("binary"), 1, piece).alias("text"))
         rows = rows.groupBy("lang").agg(F.min("text").alias("text")).collect()  # as many as there are such languages
-        more = _count(np.array([r["lang"] for r in rows], dtype=object), np.zeros(len(rows), np.int32), pa.array([bytes(r["text"]) for r in rows], pa.large_binary()), order)
-        more = pa.Table.from_batches(more).to_pandas().groupby(["lang", "k", "key"], as_index=False)["n"].sum()
-        out = pd.concat([out, more], ignore_index=True)
-    return out
+        more = _count(np.array([number[r["lang"]] for r in rows]), np.zeros(len(rows), np.int32), pa.array([bytes(r["text"]) for r in rows], pa.large_binary()), order)
+        more = pa.Table.from_batches(more).group_by(["lang", "k", "key"]).aggregate([("n", "sum")]).rename_columns(["lang", "k", "key", "n"])
+        out = pa.concat_tables([out, more.cast(out.schema)])
+    kept = {c: out.column(c).to_numpy() for c in ("lang", "k", "key", "n")}
+    return pd.DataFrame(kept | {"lang": pd.Categorical.from_codes(kept["lang"], langs)})
 
 
 class Ppm:
     """Frozen statistics of all languages as one hash table per order."""
 
-    def __init__(self, counts: pd.DataFrame, order: int = ORDER) -> None:
+    def __init__(self, counts: "pd.DataFrame", order: int = ORDER) -> None:
         self.order = order
-        self.langs = sorted(counts["lang"].unique()) if len(counts) else []
+        told = counts["lang"].astype("category").cat.remove_unused_categories().cat
+        self.langs = sorted(told.categories)
+        code = np.array([self.langs.index(x) for x in told.categories], dtype=np.int64)[told.codes] if len(counts) else np.zeros(0, np.int64)
         m = len(self.langs)
         self.levels: list[tuple] = []
         uniform = np.full((1, m), 8 * UNIT, dtype=np.int32)  # order -1: 256 bytes alike
         self.base = uniform
-        which = {x: i for i, x in enumerate(self.langs)}
         for k in range(order + 1):
-            c = counts[counts["k"] == k]
-            lang = c["lang"].map(which).to_numpy(dtype=np.int64)
+            at = (counts["k"] == k).to_numpy()
+            c, lang = counts[at], code[at]
             key = c["key"].to_numpy(dtype=np.int64).view(np.uint64)
             n = c["n"].to_numpy(dtype=np.float64)
             ctx = key >> np.uint64(8)
@@ -212,9 +226,32 @@ def fit(docs: DataFrame, order: int = ORDER, train_bytes: int = 2_000_000) -> Pp
     return model
 
 
+def _told(ppm: Ppm, column: pa.Array) -> tuple[list[str], list[float], list[float]]:
+    """lang_pred, score and bits of each text."""
+    pred, score, bits = [], [], []
+    for lo, hi, buf, offs in text_chunks(column):
+        if not ppm.langs:
+            pred += [UND] * (hi - lo)
+            score += [0.0] * (hi - lo)
+            bits += [0.0] * (hi - lo)
+            continue
+        cost = ppm.score(buf, offs) / UNIT
+        best = cost.argmin(axis=1)
+        least = cost.min(axis=1)
+        post = 1.0 / np.exp2(np.maximum(least[:, None] - cost, -1000)).sum(axis=1)
+        raw = buf.tobytes()
+        for i in range(hi - lo):
+            ok = _has_letter(raw[offs[i] : offs[i + 1]])
+            pred.append(ppm.langs[best[i]] if ok else UND)
+            score.append(float(post[i]) if ok else 0.0)
+            bits.append(float(least[i]) if ok else 0.0)
+    return pred, score, bits
+
+
 def predict(docs: DataFrame, model: Ppm, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score (posterior of the prediction under equal priors) and bits (its
-    code length); the columns are added at the end."""
+    code length) added at the end; columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score", "bits")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     spark_schema = T.StructType(
         list(docs.schema.fields)
@@ -224,24 +261,7 @@ def predict(docs: DataFrame, model: Ppm, text: str = "text") -> DataFrame:
     def run(batches):
         ppm = shared.value
         for batch in batches:
-            column = batch.column(text)
-            pred, score, bits = [], [], []
-            for lo, hi, buf, offs in text_chunks(column):
-                if not ppm.langs:
-                    pred += [UND] * (hi - lo)
-                    score += [0.0] * (hi - lo)
-                    bits += [0.0] * (hi - lo)
-                    continue
-                cost = ppm.score(buf, offs) / UNIT
-                best = cost.argmin(axis=1)
-                least = cost.min(axis=1)
-                post = 1.0 / np.exp2(np.maximum(least[:, None] - cost, -1000)).sum(axis=1)
-                raw = buf.tobytes()
-                for i in range(hi - lo):
-                    ok = _has_letter(raw[offs[i] : offs[i + 1]])
-                    pred.append(ppm.langs[best[i]] if ok else UND)
-                    score.append(float(post[i]) if ok else 0.0)
-                    bits.append(float(least[i]) if ok else 0.0)
+            pred, score, bits = _told(ppm, batch.column(text))
             yield pa.RecordBatch.from_arrays(
                 list(batch.columns) + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())],
                 names=list(batch.schema.names) + ["lang_pred", "score", "bits"],
@@ -267,8 +287,18 @@ def identify(docs: DataFrame, order: int = ORDER, train_bytes: int = 2_000_000)
 
 
 def accepted(docs: DataFrame, order: int = ORDER, train_bytes: int = 2_000_000) -> DataFrame:
-    """The rows of ``docs`` that get a language; those with null text or without a letter go."""
+    """The rows of ``docs``, with their columns whatever their names, that get a language; those with null text or without a
+    letter go."""
     model = fit(docs, order, train_bytes)
     if not model.langs:  # nothing to learn from: only the letters decide
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return predict(docs, model).where(F.col("lang_pred") != UND).select(*[f"`{c}`" for c in docs.columns])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    del model
+
+    def run(batches):
+        for batch in batches:
+            pred, _, _ = _told(shared.value, batch.column("text"))
+            yield batch.filter(pa.array([p != UND for p in pred]))
+        give_back()
+
+    return docs.mapInArrow(run, docs.schema)

@@ -26,6 +26,7 @@ null ids are documents like any other; extra columns are ignored or kept.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ LENGTH = 200
 GRAM = 64  # bytes of an anchor
 SAMPLE_DOCS = 4_000  # at which hot anchors are looked for
 HOT = 0.004  # share of the sample's documents that makes an anchor hot
-FLUSH = 1 << 19  # runs that a task holds before it sends them
-BLOCK = 1 << 20  # bytes that are sorted at a time
+FLUSH = 1 << 18  # runs that a task holds before it sends them
+BLOCK = 1 << 18  # bytes that are sorted at a time; the work arrays are over a hundred times as large
 V = 32
 
 RUN = np.dtype([("anchor", "<u8"), ("seg", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("a", "<u4"), ("n", "u1"), ("off", "u1"), ("many", "u1")])
@@ -91,9 +92,16 @@ def runs_of(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int =
     return first, last, place, h[place], seg, (c, inv)
 
 
-def window_hashes(c: np.ndarray, inv: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    v = (c[starts + length] - c[starts]) * inv[starts]
-    return mix(v ^ np.uint64(0xA5A5A5A5A5A5A5A5)), mix(v * np.uint64(0x9E3779B97F4A7C15) + np.uint64(length))
+_OTHER = mix(_BYTE + np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+
+
+def window_hashes(buf: np.ndarray, c: np.ndarray, inv: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the window at each start, from two tables of byte values."""
+    p, _ = powers(len(buf) + 1)
+    c2 = np.zeros(len(buf) + 1, dtype=np.uint64)
+    np.cumsum(_OTHER[buf] * p[: len(buf)], out=c2[1:])
+    one, two = ((x[starts + length] - x[starts]) * inv[starts] for x in (c, c2))
+    return mix(one ^ np.uint64(0xA5A5A5A5A5A5A5A5)), mix(two + np.uint64(length))
 
 
 def hot_anchors(docs: DataFrame, length: int, gram: int, sample: int = SAMPLE_DOCS, share: float = HOT) -> np.ndarray:
@@ -190,7 +198,7 @@ def _sent(docs: DataFrame, hot: np.ndarray, targets: int, length: int, gram: int
                     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     each["a"] += step.astype(np.uint32)
                     each["n"] = each["off"] = 0
-                    each["anchor"], each["seg"] = window_hashes(c, inv, np.repeat(first[out], n) + step, length)
+                    each["anchor"], each["seg"] = window_hashes(buf, c, inv, np.repeat(first[out], n) + step, length)
                     r = np.concatenate((r[~out], each))
                 held.append(r)
                 size += len(r)
@@ -429,41 +437,52 @@ def cut_out(raw: bytes, ranges: list, length: int) -> tuple[bytes, int, int]:
     return b"".join(parts), sum(b - a for a, b in spans), len(spans)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` (all columns) with kept binary, n_bytes, n_removed, n_spans added at the end."""
-    keyed = docs.withColumn("_t", F.coalesce("text", F.lit("")))
-    k1, k2 = text_key("_t")
-    keyed = keyed.withColumns({"k1_": k1, "k2_": k2})
-    base = keyed.select(F.col("k1_").alias("k1"), F.col("k2_").alias("k2"), "doc_id", F.col("_t").alias("text"))
-    spans = repeated_windows(base, length, gram)
-    per = spans.groupBy(F.col("k1").alias("k1_"), F.col("k2").alias("k2_")).agg(F.collect_set(F.struct("a", "b")).alias("ranges_"))
+def _with_ranges(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(rows without repeats: row, text), (other rows: row, text, ranges): row is the struct of all columns of ``docs``, so
+    that no name clashes; ranges may be null."""
+    keyed = docs.select(F.struct(*[f"`{x}`" for x in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    k1, k2 = text_key("text")
+    keyed = keyed.withColumns({"k1": k1, "k2": k2})
+    spans = repeated_windows(keyed.select("k1", "k2", F.col("row.doc_id").alias("doc_id"), "text"), length, gram)
+    per = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
     bloom = Bloom.of(spans)
-    extra = [T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]
-    schema = T.StructType(list(docs.schema.fields) + extra)
-    names = [f"`{x}`" for x in docs.columns]
-    clean = bloom.filtered(keyed, "k1_", "k2_", among=False).select(
-        *names, F.col("_t").cast("binary").alias("kept"), F.octet_length("_t").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans")
-    )
-    touched = bloom.filtered(keyed, "k1_", "k2_").join(per, ["k1_", "k2_"], "left").drop("k1_", "k2_")
+    clean = bloom.filtered(keyed.drop("text"), among=False).select("row", F.coalesce("row.text", F.lit("")).alias("text"))
+    some = bloom.filtered(keyed.drop("text")).join(per, ["k1", "k2"], "left")
+    return clean, some.select("row", F.coalesce("row.text", F.lit("")).alias("text"), "ranges")
+
+
+def _cut_rows(touched: DataFrame, length: int, made: Callable[[bytes, list, int], tuple], columns: list[tuple[str, T.DataType, pa.DataType]]) -> DataFrame:
+    """``row`` with the columns that ``made`` gives for (bytes, ranges, length)."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                kept, size, gone, count = [], [], [], []
-                for text, ranges in zip(part.column("_t").to_pylist(), part.column("ranges_").to_pylist(), strict=True):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    k, r, s = cut_out(raw, [(x["a"], x["b"]) for x in ranges or ()], length)
-                    kept.append(k)
-                    size.append(len(raw))
-                    gone.append(r)
-                    count.append(s)
-                yield pa.RecordBatch.from_arrays(
-                    list(part.columns)[: len(names)] + [pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64())],
-                    names=schema.names,
-                )
-
-    return clean.unionAll(touched.mapInArrow(run, schema))
+                rows = [
+                    made(text.encode("utf-8", "surrogatepass"), [(x["a"], x["b"]) for x in ranges or ()], length)
+                    for text, ranges in zip(part.column("text").to_pylist(), part.column("ranges").to_pylist(), strict=True)
+                ]
+                cols = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("row"), *[pa.array(c, t) for c, (_, _, t) in zip(cols, columns, strict=True)]], names=["row", *[n for n, _, _ in columns]])
+
+    return touched.mapInArrow(run, T.StructType([touched.schema["row"], *[T.StructField(n, t) for n, t, _ in columns]]))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``docs`` (all columns) with kept binary, n_bytes, n_removed, n_spans added at the end; columns of these names
+    are replaced."""
+    added = ("kept", "n_bytes", "n_removed", "n_spans")
+    docs = docs.drop(*added)
+    clean, touched = _with_ranges(docs, length, gram)
+    clean = clean.select("row.*", F.col("text").cast("binary").alias("kept"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
+
+    def made(raw: bytes, ranges: list, length: int) -> tuple:
+        kept, gone, spans = cut_out(raw, ranges, length)
+        return kept, len(raw), gone, spans
+
+    long = (T.LongType(), pa.int64())
+    cut = _cut_rows(touched, length, made, [("kept", T.BinaryType(), pa.binary()), *[(n, *long) for n in added[1:]]])
+    return clean.unionAll(cut.select("row.*", *added))
 
 
 def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -471,14 +490,22 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     return remove_repeats(docs.select("doc_id", "text"), length, gram).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def dedup_text(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` with repeated bytes taken out of text (what is left of a cut character goes too); n_chars, where it is
-    a column, follows."""
-    out = remove_repeats(docs, length, gram)
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[f"`{x}`" for x in docs.columns])
+def kept_text(raw: bytes, ranges: list, length: int) -> str:
+    """The text without its repeated bytes; what is left of a cut character goes too, other characters all stay."""
+    at, parts = 0, []
+    for a, b in [*merge(ranges, length), (len(raw), len(raw))]:
+        parts.append(raw[at:a].decode("utf-8", "ignore"))  # broken only where it was cut: at its ends
+        at = b
+    return "".join(parts)
 
 
+def dedup_text(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``docs`` with repeated bytes taken out of text (what is left of a cut character goes too); n_chars, where it is
+    a column, follows.  All other columns stay, whatever their names."""
+    clean, touched = _with_ranges(docs, length, gram)
+    rest = touched.where("ranges IS NULL").select("row.*")  # let through by the filter's size
+    cut = _cut_rows(touched.where("ranges IS NOT NULL"), length, lambda raw, ranges, n: (kept_text(raw, ranges, n),), [("kept", T.StringType(), pa.string())])
+    n_chars = lambda x: F.length("kept").cast(docs.schema[x].dataType)
+    new = {"text": lambda x: F.col("kept"), "n_chars": n_chars}
+    cut = cut.select(*[(new[x](x) if x in new else F.col("row")[x]).alias(x) for x in docs.columns])
+    return clean.select("row.*").unionAll(rest).unionAll(cut)

@@ -57,3 +57,18 @@ def test_run_and_odd_rows(spark, tmp_path):
     d.where("false").write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
     assert cp.run(spark, empty).collect() == []
+
+
+def test_clashing_columns_come_through_unchanged(spark, tmp_path):
+    names = ["score", "lang_pred", "bits", "kept", "n_bytes", "n_removed", "n_spans", "t1_", "t2_", "_t", "k1", "k2", "row", "ranges", "a", "b", "text_", "token", "item_id"]
+    texts = [*corpus(3, groups=2, members=4), "solo words here", None]
+    plain = documents(spark, texts, langs=["en"] * len(texts))
+    docs = plain.selectExpr("*", *[f"{i} AS `{x}`" for i, x in enumerate(names)])
+    spark.createDataFrame([(1, "solo words here and there")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in cp.STAGES[:-1]:
+        with_, without = stage(spark, docs, str(tmp_path)), stage(spark, plain, str(tmp_path))
+        rows = with_.collect()
+        assert with_.columns == docs.columns and all(r[x] == i for r in rows for i, x in enumerate(names))
+        assert sorted(((r["doc_id"], r["text"]) for r in rows)) == sorted((r["doc_id"], r["text"]) for r in without.collect())
+    last = cp.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert last.columns == ["doc_id", "lang", "source", "n_chars", "token_ids", "n_tokens"] and last.count() == len(texts)
