@@ -15,40 +15,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, decontam, jaccard, langid, suffixes
-from graphloom.llm.common import small_batches, table, written
+from graphloom.llm.common import rest, small_batches, table, written
+
+
+def _prepared(spark: SparkSession) -> None:
+    small_batches(spark)
+    rest(spark)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a language (null or empty text, no letter) go.  Null languages and held-out rows are never learned
     from, but judged like all others; with no language to learn, rows with a letter stay; repeated rows are judged alike."""
-    small_batches(spark)
+    _prepared(spark)
     return langid.accepted(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group linked by five-word shingles at 0.8 or more stays: the one of least doc_id that isn't null (of
     rows with equal id, the one of least hash of text; of repeated rows, any one).  Null and wordless texts all stay."""
-    small_batches(spark)
+    _prepared(spark)
     return jaccard.representatives(docs, n=5, percent=80)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of 200-byte strings that also start elsewhere are cut out of the texts, in all places alike; n_chars follows.
     Null texts and texts under 200 bytes stay as they are; repeated rows are each other's copies; no row goes."""
-    small_batches(spark)
+    _prepared(spark)
     return suffixes.dedup_text(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a copy of a benchmark item, edited or not, go.  Null and empty texts stay; null or empty items, and those
     of under three words, match nothing; repeated items count once."""
-    small_batches(spark)
+    _prepared(spark)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row that is left; a null or empty text has none, repeated rows are coded each by itself."""
-    small_batches(spark)
+    _prepared(spark)
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text")).drop("text")
     return coded.withColumn("n_tokens", F.size("token_ids").cast("long"))
 

@@ -64,6 +64,13 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def rest(spark: SparkSession) -> None:
+    """Between stages: a collection on every core's executor, some tenths of a second each, for a JVM that is never asked
+    keeps the heap of its largest stage, while Python workers beside it need memory in the next."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).selectExpr("java_method('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Texts are long: fewer rows at a time than the defaults (10,000 in an Arrow batch, 4,096 of a Parquet reader, whose
     arrays for texts are large), unless the session has fewer still.  For a session that works on texts."""
