@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cut import cut
+from ..functions.cut import Levels, cut
 
 
 def dedup(df: DataFrame, keys: Sequence[str], seq: str, keep: str = "first") -> DataFrame:
@@ -53,29 +53,30 @@ def degrees(edges: DataFrame) -> DataFrame:
 def fixpoint(seed: DataFrame, step, max_rounds: int | None = None, key: str = "id") -> DataFrame:
     """Semi-naive iteration: ``step(frontier)`` gives candidates with the columns of ``seed``; those with a new ``key`` are
     the next frontier.  Ends when there are none, or after ``max_rounds``."""
-    seen = frontier = cut(seed)
+    seen = Levels(seed)
     done = 0
     while max_rounds is None or done < max_rounds:
-        frontier = cut(step(frontier).join(seen.select(key), key, "left_anti").select(*seed.columns))
+        frontier = seen.add(step(seen.last).join(seen.all().select(key), key, "left_anti").select(*seed.columns))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
         done += 1
-    return seen
+    return seen.all()
 
 
 def bfs(edges: DataFrame, starts: DataFrame, direction: str = "out", types: Sequence[str] | None = None, max_depth: int | None = 3, min_confidence: float | None = None) -> DataFrame:
     """starts(id) -> id, depth, via (the node it was first reached from), ord (place in the order of discovery inside its
-    depth).  The first discoverer is the one met first: by its own place, then by the edge's."""
+    depth: the start, then the edges of the way).  The first discoverer is the one met first: by its own place, then by the
+    edge's.  The place goes with the row, so no level is ever ranked as a whole."""
     e = select_edges(edges, types, min_confidence)
-    arcs = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), "edge_seq")
-    back = e.select(F.col("dst").alias("a"), F.col("src").alias("b"), "edge_seq")
+    arcs = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("edge_seq").cast("bigint").alias("seq"))
+    back = e.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.col("edge_seq").cast("bigint").alias("seq"))
     arcs = cut({"out": arcs, "in": back, "both": arcs.unionByName(back)}[direction])
-    seed = starts.select("id", F.lit(0).alias("depth"), F.lit(None).cast(starts.schema["id"].dataType).alias("via"), F.struct(F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("e")).alias("o"))
+    place = F.struct(F.col("id").alias("s"), F.array().cast("array<bigint>").alias("e"))
+    seed = starts.select("id", F.lit(0).alias("depth"), F.lit(None).cast(starts.schema["id"].dataType).alias("via"), place.alias("o"))
 
     def step(f: DataFrame) -> DataFrame:
-        place = f.withColumn("p", F.dense_rank().over(Window.partitionBy("depth").orderBy("o", "id")).cast("bigint"))
-        met = place.join(arcs, F.col("id") == F.col("a")).select(F.col("b").alias("id"), (F.col("depth") + 1).alias("depth"), F.col("id").alias("via"), F.struct(F.col("p"), F.col("edge_seq").cast("bigint").alias("e")).alias("o"))
+        on = F.struct(F.col("o.s").alias("s"), F.concat("o.e", F.array("seq")).alias("e"))
+        met = f.join(arcs, F.col("id") == F.col("a")).select(F.col("b").alias("id"), (F.col("depth") + 1).alias("depth"), F.col("id").alias("via"), on.alias("o"))
         return met.groupBy("id", "depth").agg(F.min(F.struct("o", "via")).alias("m")).select("id", "depth", F.col("m.via").alias("via"), F.col("m.o").alias("o"))
 
     return fixpoint(seed, step, max_depth).select("id", "depth", "via", F.col("o").alias("ord"))
@@ -83,7 +84,7 @@ def bfs(edges: DataFrame, starts: DataFrame, direction: str = "out", types: Sequ
 
 def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """id of all nodes that the starts lead to, themselves included."""
-    arcs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    arcs = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
     return fixpoint(starts.select("id").distinct(), lambda f: f.join(arcs, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct())
 
 
@@ -118,6 +119,7 @@ def module_hits(hit: DataFrame, membership: DataFrame, top: int = 20) -> DataFra
 
 # ---------------------------------------------------------------- dead code
 
+#: Fixed values.
 DYNAMIC_NAME = r"(?i)(Plugin|Handler|Adapter|Middleware|Factory|Provider|Registry|Hook|Listener|Callback|Decorator|Extension|Interceptor)$"
 DYNAMIC_LANGUAGES = ("python", "javascript", "typescript", "ruby", "php")
 ENTRY_LABELS = ("Function", "Method", "Class", "Constructor")
@@ -367,6 +369,7 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return lab
 
 
+#: Fixed values.
 GENERIC_FOLDERS = ("src", "lib", "core", "utils", "common", "shared", "helpers")
 
 

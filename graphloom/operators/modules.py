@@ -144,10 +144,10 @@ def pack_chunks(files: DataFrame, budget: int, by: str, order: str, size: str) -
 
 def rank_strategies(strategies: DataFrame, problems: DataFrame, alternatives: int = 3) -> DataFrame:
     """strategies(strategy_id, tier, weight, traits), problems(problem_id, traits): weight times the share of the problem's traits
-    that the strategy serves (a tenth of the weight where either has none); best and alternatives.  The strategy table is a
-    fixed registry."""
+    that the strategy serves (a tenth of the weight where either has none); best and alternatives.  Every problem has a score
+    for every strategy, so each row meets the whole registry; the planner sends it by its own size check."""
     s = strategies.withColumnRenamed("traits", "has")
-    j = problems.join(F.broadcast(s))
+    j = problems.crossJoin(s)
     none = (F.size("traits") == 0) | (F.size("has") == 0)
     score = F.when(none, F.col("weight") * 0.1).otherwise(F.col("weight") * F.size(F.filter("traits", lambda t: F.array_contains("has", t))) / F.nullif(F.size("traits"), F.lit(0)))
     w = Window.partitionBy("problem_id").orderBy(F.desc(F.round(score, 9)), "tier", "strategy_id")

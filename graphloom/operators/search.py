@@ -75,9 +75,10 @@ def _plain(query: str) -> list[str]:
 
 
 def like(docs: DataFrame, query: str, name: str, content: str) -> DataFrame:
-    """Substring fallback, name matches first: column place 0 or 1."""
-    by_name = F.col(name).ilike(f"%{query}%")
-    return docs.where(by_name | F.col(content).ilike(f"%{query}%")).withColumn("place", F.when(by_name, 0).otherwise(1))
+    """Substring fallback whatever the case, name matches first: column place 0 or 1.  The query is plain text; % and _ in it
+    stand for themselves."""
+    by_name = F.lower(name).contains(query.lower())
+    return docs.where(by_name | F.lower(content).contains(query.lower())).withColumn("place", F.when(by_name, 0).otherwise(1))
 
 
 def weighted_fields(nodes: DataFrame, query: str, limit: int = 50) -> DataFrame:

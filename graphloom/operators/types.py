@@ -153,7 +153,7 @@ def best_thought_path(thoughts: DataFrame, root: str, threshold: float = 0.7, ma
 def match_templates(prompts: DataFrame, templates: DataFrame, most: int = 3, fallback: int = 2) -> DataFrame:
     """prompts(prompt_id, text), templates(template_id, category, success): those whose category stands in the prompt, else the most
     successful; at most ``most`` of each.  Templates are a small registry."""
-    hit = prompts.join(F.broadcast(templates), F.contains(F.lower("text"), F.lower("category")))
+    hit = prompts.join(templates, F.contains(F.lower("text"), F.lower("category")))
     none = prompts.join(hit.select("prompt_id").distinct(), "prompt_id", "left_anti")
     top = templates.orderBy(F.desc("success"), "template_id").limit(fallback)
     every = hit.select("prompt_id", "template_id", "success").unionByName(none.join(F.broadcast(top)).select("prompt_id", "template_id", "success"))

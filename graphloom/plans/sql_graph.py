@@ -15,7 +15,7 @@ from .registry import Registry
 q = Registry()
 
 TEST1 = "regexp_matches(lower(file_path), '" + T.TEST_1.replace("'", "''") + "')"
-START = "(SELECT src FROM best_calls ORDER BY edge_seq LIMIT 1)"
+START = "(SELECT src FROM calls ORDER BY edge_seq LIMIT 1)"
 
 
 def _start(e):
@@ -30,20 +30,20 @@ def _steps(s, d):
 LSTEPS = "SELECT l_orderkey AS process_id, l_partkey AS node_id, ln AS step FROM lines"
 
 
-@q("j1_out_neighbours", cte("best_calls", "nodes") + "SELECT src AS node, dst AS other, type, round(confidence, 6) AS confidence, 'out' AS direction FROM best_calls JOIN nodes ON id = dst")
+@q("j1_out_neighbours", cte("calls", "nodes") + "SELECT src AS node, dst AS other, type, round(confidence, 6) AS confidence, 'out' AS direction FROM calls JOIN nodes ON id = dst")
 def _(s, d):
-    return G.neighbours(frame(s, d, "best_calls"), frame(s, d, "nodes")).select("node", "other", "type", F.round("confidence", 6).alias("confidence"), "direction")
+    return G.neighbours(frame(s, d, "calls"), frame(s, d, "nodes")).select("node", "other", "type", F.round("confidence", 6).alias("confidence"), "direction")
 
 
-@q("j2_in_neighbours", cte("best_calls", "nodes") + "SELECT dst AS node, src AS other, type, round(confidence, 6) AS confidence, 'in' AS direction FROM best_calls JOIN nodes ON id = src")
+@q("j2_in_neighbours", cte("calls", "nodes") + "SELECT dst AS node, src AS other, type, round(confidence, 6) AS confidence, 'in' AS direction FROM calls JOIN nodes ON id = src")
 def _(s, d):
-    return G.neighbours(frame(s, d, "best_calls"), frame(s, d, "nodes"), "in").select("node", "other", "type", F.round("confidence", 6).alias("confidence"), "direction")
+    return G.neighbours(frame(s, d, "calls"), frame(s, d, "nodes"), "in").select("node", "other", "type", F.round("confidence", 6).alias("confidence"), "direction")
 
 
-@q("j3_both_neighbours", cte("best_calls", "nodes") + """SELECT src AS node, dst AS other, type, round(confidence, 6) AS confidence, 'out' AS direction FROM best_calls JOIN nodes ON id = dst
-UNION ALL SELECT dst, src, type, round(confidence, 6), 'in' FROM best_calls JOIN nodes ON id = src WHERE src <> dst""")
+@q("j3_both_neighbours", cte("calls", "nodes") + """SELECT src AS node, dst AS other, type, round(confidence, 6) AS confidence, 'out' AS direction FROM calls JOIN nodes ON id = dst
+UNION ALL SELECT dst, src, type, round(confidence, 6), 'in' FROM calls JOIN nodes ON id = src WHERE src <> dst""")
 def _(s, d):
-    return G.neighbours(frame(s, d, "best_calls"), frame(s, d, "nodes"), "both", loops_once=True).select("node", "other", "type", F.round("confidence", 6).alias("confidence"), "direction")
+    return G.neighbours(frame(s, d, "calls"), frame(s, d, "nodes"), "both", loops_once=True).select("node", "other", "type", F.round("confidence", 6).alias("confidence"), "direction")
 
 
 @q("p1_p2_label_and_edge_filter", cte("calls", "nodes") + "SELECT src, dst, round(confidence, 6) AS confidence FROM calls JOIN nodes ON id = src WHERE type = 'CALLS' AND confidence >= 0.1 AND label IN ('Function', 'Method')")
@@ -177,9 +177,9 @@ def _(s, d):
     return M.detect_changes(n.where("start_line = 12").select("file_path"), n, _steps(s, d))
 
 
-@q("j19_inter_file_calls", cte("best_calls", "nodes") + 'SELECT DISTINCT a.file_path AS "from", b.file_path AS "to" FROM best_calls JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.file_path <> b.file_path')
+@q("j19_inter_file_calls", cte("calls", "nodes") + 'SELECT DISTINCT a.file_path AS "from", b.file_path AS "to" FROM calls JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.file_path <> b.file_path')
 def _(s, d):
-    return M.inter_file_calls(frame(s, d, "best_calls"), frame(s, d, "nodes"))
+    return M.inter_file_calls(frame(s, d, "calls"), frame(s, d, "nodes"))
 
 
 @q("j20_intra_module_calls", cte("calls", "nodes") + "SELECT src, dst FROM calls WHERE src IN (SELECT id FROM nodes WHERE community = 'Brand#1') AND dst IN (SELECT id FROM nodes WHERE community = 'Brand#1')")
@@ -216,37 +216,37 @@ def _(s, d):
     return M.grep_enrichment(table(s, d, "events").select(F.col("event_id").alias("hit_id"), t.alias("match_text")), frame(s, d, "nodes"))
 
 
-WALK = cte("best_calls", recursive=True)
+WALK = cte("calls", recursive=True)
 
 
-@q("a1_bfs", WALK + f""", w AS (SELECT {START} AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM w JOIN best_calls ON src = id WHERE depth < 6)
+@q("a1_bfs", WALK + f""", w AS (SELECT {START} AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM w JOIN calls ON src = id WHERE depth < 6)
 SELECT id, min(depth) AS depth FROM w GROUP BY id""")
 def _(s, d):
-    e = frame(s, d, "best_calls")
+    e = frame(s, d, "calls")
     return G.bfs(e, _start(e), "out", ["CALLS"], 6).select("id", "depth")
 
 
-@q("a1_bfs_both_ways", WALK + f""", u AS (SELECT src, dst FROM best_calls UNION ALL SELECT dst, src FROM best_calls), w AS (SELECT {START} AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM w JOIN u ON src = id WHERE depth < 4)
+@q("a1_bfs_both_ways", WALK + f""", u AS (SELECT src, dst FROM calls UNION ALL SELECT dst, src FROM calls), w AS (SELECT {START} AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM w JOIN u ON src = id WHERE depth < 4)
 SELECT id, min(depth) AS depth FROM w GROUP BY id""")
 def _(s, d):
-    e = frame(s, d, "best_calls")
+    e = frame(s, d, "calls")
     return G.bfs(e, _start(e), "both", None, 4).select("id", "depth")
 
 
-@q("a2_impact", cte("best_calls", "nodes", "lines", recursive=True) + f""", w AS (SELECT {START} AS id, 0 AS depth UNION SELECT src, depth + 1 FROM w JOIN best_calls ON dst = id WHERE depth < 4),
+@q("a2_impact", cte("calls", "nodes", "lines", recursive=True) + f""", w AS (SELECT {START} AS id, 0 AS depth UNION SELECT src, depth + 1 FROM w JOIN calls ON dst = id WHERE depth < 4),
 h AS (SELECT id, min(depth) AS depth FROM w GROUP BY id HAVING min(depth) > 0), x AS (SELECT (SELECT count(*) FROM h) AS total, (SELECT count(*) FROM h WHERE depth = 1) AS direct,
   least(20, (SELECT count(DISTINCT l_orderkey) FROM lines WHERE l_partkey IN (SELECT id FROM h))) AS processes, least(20, (SELECT count(DISTINCT community) FROM nodes WHERE id IN (SELECT id FROM h))) AS modules)
 SELECT *, CASE WHEN direct >= 30 OR processes >= 5 OR modules >= 5 OR total >= 200 THEN 'CRITICAL' WHEN direct >= 15 OR processes >= 3 OR modules >= 3 OR total >= 100 THEN 'HIGH' WHEN direct >= 5 OR total >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM x""")
 def _(s, d):
-    e = frame(s, d, "best_calls")
+    e = frame(s, d, "calls")
     r = G.bfs(e, _start(e), "in", ["CALLS"], 4)
     return G.impact(r, frame(s, d, "nodes").select("id", "community"), _steps(s, d))
 
 
-DEG = """, deg AS (SELECT id, sum(i) AS callers, sum(o) AS callees FROM (SELECT src AS id, 0 AS i, 1 AS o FROM best_calls UNION ALL SELECT dst, 1, 0 FROM best_calls) x GROUP BY id)"""
-DEAD = DEG + f""", sym AS (SELECT n.*, coalesce(callers, 0) AS callers, coalesce(callees, 0) AS callees FROM nodes n LEFT JOIN deg ON deg.id = n.id WHERE label IN ('Function', 'Method', 'Class', 'Constructor') AND NOT {TEST1}),
+DEG = """, deg AS (SELECT id, sum(i) AS callers, sum(o) AS callees FROM (SELECT src AS id, 0 AS i, 1 AS o FROM calls UNION ALL SELECT dst, 1, 0 FROM calls) x GROUP BY id)"""
+DEAD = (DEG + f""", sym AS (SELECT n.*, coalesce(callers, 0) AS callers, coalesce(callees, 0) AS callees FROM nodes n LEFT JOIN deg ON deg.id = n.id WHERE label IN ('Function', 'Method', 'Class', 'Constructor') AND NOT {TEST1}),
 ent AS (SELECT id, round(callees * 1.0 / (callers + 1) * CASE WHEN is_exported THEN 2 ELSE 1 END, 6) AS score FROM sym WHERE callees * 1.0 / (callers + 1) * CASE WHEN is_exported THEN 2 ELSE 1 END >= 1.5),
-live AS (SELECT id FROM ent UNION SELECT dst FROM live JOIN best_calls ON src = id)"""
+live AS (SELECT id FROM ent UNION SELECT dst FROM live JOIN calls ON src = id)""").replace(" calls", " best_calls")  # over the whole call graph everything is reachable
 
 
 @q("a3_entry_points", cte("best_calls", "nodes", recursive=True) + DEAD + "SELECT id, score FROM ent")
@@ -268,11 +268,11 @@ def _(s, d):
     return G.dead_code(frame(s, d, "nodes"), frame(s, d, "best_calls"), T.is_test_v1(F.col("file_path")))
 
 
-@q("a8_modularity", cte("best_calls", "nodes") + """, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM best_calls WHERE src <> dst), j AS (SELECT x.community AS ca, y.community AS cb FROM u JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b),
+@q("a8_modularity", cte("calls", "nodes") + """, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM calls WHERE src <> dst), j AS (SELECT x.community AS ca, y.community AS cb FROM u JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b),
 m AS (SELECT count(*) AS m FROM j), e AS (SELECT c, count(*) AS d FROM (SELECT ca AS c FROM j UNION ALL SELECT cb FROM j) z GROUP BY c), l AS (SELECT ca AS c, count(*) AS l FROM j WHERE ca = cb GROUP BY ca)
 SELECT round(sum(coalesce(l, 0) * 1.0 / m - power(d / (2.0 * m), 2)), 6) AS modularity, count(*) AS communities FROM e LEFT JOIN l ON l.c = e.c, m""")
 def _(s, d):
-    return G.modularity(frame(s, d, "best_calls"), frame(s, d, "nodes").select("id", "community"))
+    return G.modularity(frame(s, d, "calls"), frame(s, d, "nodes").select("id", "community"))
 
 
 @q("a6_communities")
@@ -288,23 +288,23 @@ def _(s, d):
     return G.community_labels(n.select("id", "community"), n)
 
 
-@q("a10_cohesion", cte("best_calls", "nodes") + """, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM best_calls WHERE src <> dst), j AS (SELECT x.community AS ca, y.community AS cb FROM u JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b),
+@q("a10_cohesion", cte("calls", "nodes") + """, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM calls WHERE src <> dst), j AS (SELECT x.community AS ca, y.community AS cb FROM u JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b),
 e AS (SELECT ca AS c, CASE WHEN ca = cb THEN 1 ELSE 0 END AS i FROM j UNION ALL SELECT cb, CASE WHEN ca = cb THEN 1 ELSE 0 END FROM j), g AS (SELECT c, round(avg(i), 4) AS s FROM e GROUP BY c)
 SELECT n.community, count(*) AS members, 1.0 AS cohesion, coalesce(max(s), 0) AS internal_share FROM nodes n LEFT JOIN g ON g.c = n.community GROUP BY n.community""")
 def _(s, d):
-    return G.cohesion(frame(s, d, "best_calls"), frame(s, d, "nodes").select("id", "community"))
+    return G.cohesion(frame(s, d, "calls"), frame(s, d, "nodes").select("id", "community"))
 
 
 U, E = T.UTILITY_NAME.replace("'", "''"), T.ENTRY_NAME.replace("'", "''")
 SCORE = f"callees * 1.0 / (callers + 1) * CASE WHEN is_exported THEN 2 ELSE 1 END * CASE WHEN regexp_matches(name, '{U}') THEN 0.3 WHEN regexp_matches(name, '{E}') THEN 1.5 ELSE 1 END"
 
 
-@q("a11_a13_entry_score", cte("best_calls", "nodes") + DEG + f"""SELECT n.id, coalesce(callers, 0) AS callers, coalesce(callees, 0) AS callees,
+@q("a11_a13_entry_score", cte("calls", "nodes") + DEG + f"""SELECT n.id, coalesce(callers, 0) AS callers, coalesce(callees, 0) AS callees,
   round(CASE WHEN coalesce(callees, 0) = 0 THEN 0 ELSE {SCORE} * CASE WHEN regexp_matches(file_path, '/api/.*[.]py$') OR file_path LIKE 'app/api/%' THEN 2 ELSE 1 END END, 6) AS score,
   round(CASE WHEN coalesce(callees, 0) = 0 THEN 0 ELSE {SCORE} * CASE WHEN regexp_matches(file_path, '{T.TEST_2}') THEN 0.1 ELSE 1 END END, 6) AS score_v2
 FROM nodes n LEFT JOIN deg ON deg.id = n.id""")
 def _(s, d):
-    n = frame(s, d, "nodes").join(G.degrees(frame(s, d, "best_calls")), "id", "left").na.fill(0, ["callers", "callees"])
+    n = frame(s, d, "nodes").join(G.degrees(frame(s, d, "calls")), "id", "left").na.fill(0, ["callers", "callees"])
     a = (F.col("name"), F.col("is_exported"), F.col("callers"), F.col("callees"), F.col("file_path"))
     return n.select("id", "callers", "callees", T.entry_score(*a).alias("score"), T.entry_score(*a, with_framework=False, test_penalty=True).alias("score_v2"))
 
@@ -331,10 +331,10 @@ def _(s, d):
     return G.claim_node_scores(n.withColumn("node_type", kind), e)
 
 
-@q("a22_a23_propagation", WALK + f""", w AS (SELECT {START} AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM w JOIN best_calls ON src = id WHERE depth < 5),
+@q("a22_a23_propagation", WALK + f""", w AS (SELECT {START} AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM w JOIN calls ON src = id WHERE depth < 5),
 h AS (SELECT id, min(depth) AS depth FROM w GROUP BY id HAVING min(depth) > 0) SELECT count(*) AS paths, coalesce(max(depth), 0) AS max_depth, CASE WHEN count(*) = 0 THEN 0 ELSE 1.0 END AS impact FROM h""")
 def _(s, d):
-    e = frame(s, d, "best_calls")
+    e = frame(s, d, "calls")
     return G.propagation_impact(G.propagation(e, _start(e).first()[0]))
 
 
@@ -344,10 +344,10 @@ def _(s, d):
     return G.folder_tree(frame(s, d, "hierarchy"))
 
 
-@q("a32_context", cte("best_calls", "lines") + f""", s AS (SELECT {START} AS id), e AS (SELECT src AS id, 'out' AS direction, type, dst AS other FROM best_calls UNION ALL SELECT dst, 'in', type, src FROM best_calls)
+@q("a32_context", cte("calls", "lines") + f""", s AS (SELECT {START} AS id), e AS (SELECT src AS id, 'out' AS direction, type, dst AS other FROM calls UNION ALL SELECT dst, 'in', type, src FROM calls)
 SELECT e.id, direction, type, list_sort(list(other)) AS refs, (SELECT count(*) FROM lines WHERE l_partkey = e.id) AS processes FROM e JOIN s ON s.id = e.id GROUP BY e.id, direction, type""")
 def _(s, d):
-    e = frame(s, d, "best_calls")
+    e = frame(s, d, "calls")
     return G.context(frame(s, d, "nodes"), e, _steps(s, d), _start(e))
 
 
