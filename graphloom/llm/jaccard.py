@@ -39,7 +39,7 @@ SKETCH = 512  # bits
 BLOCK = 64  # entries of a block of a list
 PART = 2048  # entries of a list that meet in one task
 PAIRS = 1 << 17  # that are looked at together
-ROUNDS = 1  # of comparisons with the likeliest set of another component
+ROUNDS = 2  # of comparisons with the likeliest set of another component
 LISTED = np.dtype([(c, "<i8") for c in ("token", "s1", "s2", "part", "id", "comp", "n", "pos", "hub")] + [("dist", "<f8"), ("sketch", "<u8", (SKETCH // 64,))])
 HELD = 1 << 20  # tokens among which a task looks for frequent ones
 SENT = 1 << 18  # entries that a task holds before it sends them
