@@ -1,12 +1,13 @@
 """Main-text extraction from HTML by tree scoring.
 
 A page is read into a tree of its block elements.  Each block of text passes points to the elements
-above it: one, one more for each comma and for each hundred characters up to three, the whole to its
-container, half to the next, less above.  An element's points are discounted by its link density.  The best
-element is kept with those siblings that score alike or read like prose; when it stands in the page's only
-``article`` or ``main``, that element is kept instead.  Menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments are left out wherever they stand, told by element,
-role or class.
+above it: one, one more for each comma and for each hundred characters up to three (a block of under 25
+characters only its hundredths), the whole to its container and to ``article`` and ``main`` above it, half to
+the next, less above.  An element's points are discounted by its link density.  The best element is kept with
+those siblings that score alike or read like prose, without the lists in it that are links almost
+throughout.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out
+wherever they stand, told by element, role or class; classes that only hint at such (``related``, ``social``)
+leave out what is short or full of links.  All passes are linear in the page.
 
 Defined cases: null or empty html gives an empty text; a page without markup is its own text; unclosed and
 stray tags are repaired as browsers do for paragraphs, list items and table cells; repeated rows are
@@ -15,6 +16,7 @@ extracted each by itself; other columns than page_id, url and html are ignored.
 
 from __future__ import annotations
 
+import bisect
 import html as _html
 import re
 
@@ -44,10 +46,11 @@ ROLES = _S("navigation banner contentinfo complementary search dialog alert aler
 #: Words of class and id that mark what is not the article.
 WORDS = _S(
     "ad ads adv advert adverts advertisement advertising adbox adslot adsense sponsor sponsored promo promos promotion popup modal overlay "
-    "cookie cookies consent gdpr notice notices notification alert banner disclaimer sidebar sidebars side menu menus nav navbar navigation "
-    "breadcrumb breadcrumbs footer header masthead share sharing social related recommended recommendations widget widgets newsletter "
-    "subscribe subscription signup signin login pagination pager toolbar paywall topbar bottombar skip"
+    "cookie cookies consent gdpr notice notices notification alert banner disclaimer sidebar sidebars menu menus nav navbar navigation "
+    "breadcrumb breadcrumbs footer header masthead newsletter signup signin login pagination pager toolbar paywall topbar bottombar"
 )
+#: Words that only hint at it: prose of the article under them stays.
+HINTS = _S("side share sharing social related recommended recommendations widget widgets subscribe subscription skip")
 COMMENTS = _S("comment comments commentlist disqus respond replies")
 _CLOSES_P = BLOCK - _S("button option optgroup select datalist map object")
 _SAME = {
@@ -57,27 +60,37 @@ _SAME = {
     "tbody": (_S("tr td th tbody thead tfoot"), _S("table")), "tfoot": (_S("tr td th tbody thead tfoot"), _S("table")), "thead": (_S("tr td th tbody thead tfoot"), _S("table")),
 }
 LEVELS = 5  # ancestors that a block passes points to
+LISTS = _S("ul ol dl div section table menu")
 _FENCE = _S("article section div main body html td th table button li")
+_OWN = _S("div section article main body html td")  # containers that keep the points of their own text
+_PARTS = _S("ul ol dl table pre blockquote figure h3 h4 h5 h6")
+_OPEN = (("<!--", "-->"), ("<![CDATA[", "]]>"))
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
 class _Node:
-    __slots__ = ("tag", "up", "off", "soft", "inline", "score", "chars", "links", "holds", "depth")
+    __slots__ = ("tag", "up", "off", "soft", "hint", "score", "chars", "links", "blocks", "prose", "holds", "depth", "around")
 
-    def __init__(self, tag: str, up: "_Node | None", off: bool, soft: bool, inline: bool = False) -> None:
-        self.tag, self.up, self.off, self.soft, self.inline = tag, up, off, soft, inline
+    def __init__(self, tag: str, up: "_Node | None", off: bool, soft: bool, hint: bool) -> None:
+        self.tag, self.up, self.off, self.soft, self.hint = tag, up, off, soft, hint
         self.score = 0.0
-        self.chars = self.links = 0
+        self.chars = self.links = self.blocks = 0
+        self.prose = 0  # characters of its own and of paragraphs right below
         self.holds = False  # an article, main or h1 stands below
         self.depth = up.depth + 1 if up else 0
+        self.around = None if up is None else up if up.tag in ("article", "main") else up.around
 
+    def density(self) -> float:
+        return self.links / max(1, self.chars)
 
-def _marks(tag: str, attrs: str) -> tuple[bool, bool]:
-    """(left out in any case, left out unless it wraps the article)."""
+
+def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
+    """(left out in any case, left out unless it wraps the article, left out unless it is prose of the article)."""
     if tag in DROP:
-        return (tag not in ("form", "fieldset", "aside"), True)
+        return (tag not in ("form", "fieldset", "aside"), True, False)
     if not attrs.strip():
-        return False, tag == "header"
-    off = soft = False
+        return False, tag == "header", False
+    off = soft = hint = False
     for name, value in _ATTR.findall(attrs):
         name = name.lower()
         value = value.strip("\"'")
@@ -87,6 +100,8 @@ def _marks(tag: str, attrs: str) -> tuple[bool, bool]:
                 off = True
             elif w & WORDS:
                 soft = True
+            elif w & HINTS:
+                hint = True
         elif name == "role" and value.lower() in ROLES:
             soft = True
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -94,19 +109,19 @@ def _marks(tag: str, attrs: str) -> tuple[bool, bool]:
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
             off = True
     if tag in ("html", "body", "main"):
-        off = soft = False
+        off = soft = hint = False
     if tag == "article":
-        soft = False
-    return off, soft or tag == "header"
+        soft = hint = False
+    return off, soft or tag == "header", hint
 
 
 def _read(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
     """Blocks of text (element, text, characters in links), in page order, and all elements."""
-    root = _Node("html", None, False, False)
+    root = _Node("html", None, False, False, False)
     stack, nodes, blocks = [root], [root], []
+    places: dict[str, list[int]] = {"html": [0]}  # where each tag stands in the stack
     run: list[tuple[str, bool]] = []
     link = 0
-    inline = 0
     own = root
 
     def flush() -> None:
@@ -118,23 +133,40 @@ def _read(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
                 blocks.append((own, text, min(in_links, len(text))))
             run = []
 
+    def push(node: _Node) -> None:
+        nonlocal own
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+        nodes.append(node)
+        own = node
+
     def pop_to(k: int) -> None:
         nonlocal own
         flush()
-        del stack[k:]
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
         own = stack[-1]
 
-    pos, end = 0, len(page)
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def first_after(tags, k: int) -> int:
+        found = [at[i] for at in (places.get(t) for t in tags) if at and (i := bisect.bisect_right(at, k)) < len(at)]
+        return min(found, default=-1)
+
+    pos, end = 0, page.rfind(">") + 1  # no tag stands behind the last bracket
     while pos < end:
-        m = _TAG.search(page, pos)
+        m = _TAG.search(page, pos, end)
         if m is None:
-            run.append((page[pos:], link > 0))
             break
         if m.start() > pos:
             run.append((page[pos : m.start()], link > 0))
         pos = m.end()
         name = m[2] or m[5]
         if name is None:
+            for head, tail in _OPEN:
+                if page.startswith(head, m.start()) and not page.startswith(tail, max(m.start() + len(head), pos - len(tail))):
+                    pos = len(page)  # never closed
             continue
         tag, closing, attrs = name.lower(), bool(m[1] or m[4]), m[3] if m[2] else m[6]
         if closing:
@@ -142,19 +174,16 @@ def _read(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
                 link = max(0, link - 1)
             elif tag == "br":
                 run.append((" ", False))
-            elif tag in BLOCK or inline and any(n.inline and n.tag == tag for n in stack):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag or tag[0] == "h" and len(tag) == 2 and tag[1].isdigit() and len(stack[k].tag) == 2 and stack[k].tag[1].isdigit():
-                        pop_to(k)
-                        break
-                    if tag in ("p", "li", "dd", "dt") and stack[k].tag in _FENCE and stack[k].tag != tag:
-                        break
+            elif tag in BLOCK or places.get(tag):
+                k = last(_HEADINGS) if tag in _HEADINGS else last((tag,))
+                if k > 0 and not (tag in ("p", "li", "dd", "dt") and last(_FENCE - {tag}) > k):
+                    pop_to(k)
                 if tag == "p":
                     flush()
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, pos)
-            pos = stop.end()
+            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, pos, end)
+            pos = stop.end() if stop[0] else len(page)
             continue
         if tag == "br":
             run.append((" ", False))
@@ -168,38 +197,24 @@ def _read(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
             link = 1
             continue
         if tag not in BLOCK:
-            off, soft = _marks(tag, attrs) if attrs else (False, False)
-            if off or soft:
+            marks = _marks(tag, attrs) if attrs else (False, False, False)
+            if any(marks):
                 flush()
-                stack.append(_Node(tag, stack[-1], off, soft, True))
-                inline += 1
-                nodes.append(stack[-1])
-                own = stack[-1]
+                push(_Node(tag, stack[-1], *marks))
             continue
-        if tag in _CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    pop_to(k)
-                    break
-                if stack[k].tag in _FENCE:
-                    break
+        if tag in _CLOSES_P and last(("p",)) > last(_FENCE):
+            pop_to(last(("p",)))
         if tag in _SAME:
             same, fence = _SAME[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in fence:
-                    break
-                if stack[k].tag in same:
-                    pop_to(k)
+            k = first_after(same, last(fence))
+            if k > 0:
+                pop_to(k)
         flush()
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
-            if tag == "html":
-                continue
-        if tag == "body":
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "head":
-                    pop_to(k)
+        if tag == "html":
+            continue
+        if tag == "body" and places.get("head"):
+            pop_to(places["head"][0])
         node = _Node(tag, stack[-1], *_marks(tag, attrs))
-        nodes.append(node)
         if tag in ("article", "main", "h1"):
             up = node.up
             while up is not None and not up.holds:
@@ -207,73 +222,80 @@ def _read(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
                 up = up.up
         if attrs.rstrip().endswith("/") and tag in ("svg", "object", "canvas"):
             continue
-        stack.append(node)
-        own = node
+        push(node)
         if tag in ("article", "body", "main"):
             link = 0
+    rest = page[pos:]
+    run.append((rest[: min((i for i in (rest.find(head) for head, _ in _OPEN) if i >= 0), default=len(rest))], link > 0))
     flush()
     return blocks, nodes
 
 
+def _weigh(blocks: list[tuple[_Node, str, int]], nodes: list[_Node]) -> None:
+    """Give each element its score and its numbers of characters, characters in links and blocks; parents come before children in
+    ``nodes``."""
+    for n in nodes:
+        n.score, n.chars, n.links, n.blocks, n.prose = 0.0, 0, 0, 0, 0
+    for node, text, links in blocks:
+        node.chars += len(text)
+        node.links += links
+        node.blocks += 1
+        node.prose += len(text)
+        if node.tag == "p" and node.up is not None:
+            node.up.prose += len(text)
+        points = 1 + text.count(",") + min(len(text) / 100, 3) if len(text) >= 25 else len(text) / 100
+        up = first = node if node.tag in _OWN or node.up is None else node.up
+        level = 0
+        while up is not None and level < LEVELS:
+            if level == 0 or up.tag not in ("article", "main"):
+                up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+            up, level = up.up, level + 1
+        up, level = first.around, 0
+        while up is not None and level < LEVELS:
+            up.score += points
+            up, level = up.around, level + 1
+    for n in reversed(nodes):
+        if n.up is not None:
+            n.up.chars += n.chars
+            n.up.links += n.links
+            n.up.blocks += n.blocks
+
+
 def _left_out(nodes: list[_Node], strict: bool) -> set[int]:
     """Elements that are not the article, with all below them; parents come before children in ``nodes``."""
     out: set[int] = set()
     for node in nodes:
         own = node.off or node.soft and strict and not (node.holds and node.tag != "nav")
+        if node.hint and strict and not node.holds:
+            own = own or node.around is None or node.chars < 60 or node.density() >= 0.25
         if node.tag == "header" and node.holds and strict and not node.off:
-            # an article's own header keeps its heading; the page's header goes
-            up = node.up
-            while up is not None and up.tag not in ("article", "main"):
-                up = up.up
-            own = up is None
+            # a header beside the prose of its article keeps its heading; the page's header goes
+            own = node.around is None and (node.up is None or node.up.tag in ("html", "body") or node.up.prose < 25)
         if own or node.up is not None and id(node.up) in out:
             out.add(id(node))
     return out
 
 
 def _choose(blocks: list[tuple[_Node, str, int]], nodes: list[_Node]) -> list[str]:
-    for n in nodes:
-        n.score, n.chars, n.links = 0.0, 0, 0
-    for node, text, links in blocks:
-        node.chars += len(text)
-        node.links += links
-        if len(text) < 25:
-            continue
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
-        up = node if node.tag in ("div", "section", "article", "main", "body", "html", "td") else node.up or node
-        level = 0
-        while up is not None and level < LEVELS:
-            up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            up, level = up.up, level + 1
-    for n in reversed(nodes):  # children before parents
-        if n.up is not None:
-            n.up.chars += n.chars
-            n.up.links += n.links
-    rank = lambda n: n.score * (1 - n.links / max(1, n.chars))
-    best = max(nodes, key=lambda n: (rank(n), n.depth))
-    if rank(best) <= 0:
-        return [t for _, t, _ in blocks]
+    _weigh(blocks, nodes)
+    rank = lambda n: n.score * (1 - n.density())
+    best = max(nodes, key=lambda n: (rank(n), n.tag in ("article", "main"), n.depth))
     keep = {id(best)}
-    whole = [n for n in nodes if n.tag in ("article", "main") and n.chars]
-    up, around = best, None
-    while up is not None:
-        if up.tag in ("article", "main") and sum(n.tag == up.tag for n in whole) == 1:
-            around = up
-            break
-        up = up.up
-    if around is not None:
-        keep = {id(around)}
-    elif best.up is not None:
+    if rank(best) <= 0:
+        keep = {id(n) for n in nodes}
+    elif best.up is not None and best.tag not in ("article", "main"):
         bar = 0.2 * rank(best)
         for n in nodes:
             if n.up is not best.up or n is best or not n.chars:
                 continue
-            density = n.links / n.chars
-            if rank(n) >= bar and density < 0.33 or n.tag in ("h1", "h2") or n.tag == "p" and (n.chars > 80 and density < 0.25 or density == 0):
+            density = n.density()
+            if rank(n) >= bar and density < 0.33 or n.tag in ("h1", "h2", "header") or n.tag == "p" and (n.chars > 80 and density < 0.25 or density == 0):
+                keep.add(id(n))
+            elif n.tag in _PARTS and density < 0.25 and best.up.tag not in ("html", "body"):
                 keep.add(id(n))
     inside: set[int] = set()
     for n in nodes:
-        if id(n) in keep or n.up is not None and id(n.up) in inside:
+        if (id(n) in keep or n.up is not None and id(n.up) in inside) and not (n.tag in LISTS and n.blocks > 2 and n.density() >= 0.9):
             inside.add(id(n))
     return [t for n, t, _ in blocks if id(n) in inside]
 
@@ -282,6 +304,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks, nodes = _read(page)
+    _weigh(blocks, nodes)
     for strict in (True, False):
         out = _left_out(nodes, strict)
         rest = [b for b in blocks if id(b[0]) not in out]

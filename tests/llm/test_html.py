@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from graphloom.llm.html import extract, main_text
 
@@ -22,6 +23,32 @@ def test_scoring_without_semantic_elements():
     assert main_text(page) == "\n".join(["Title", PROSE, PROSE, "ok", PROSE])
 
 
+def test_classes_inside_the_article():
+    inner = f'<div class="social-history"><p>{PROSE}</p></div><p class="related">{PROSE}</p><div class="related"><a href=x>Another story</a></div>'
+    assert main_text(f"<body><article><p>{PROSE}</p>{inner}</article></body>") == "\n".join([PROSE] * 3)
+    page = f"<body><header><h1>Site</h1></header><div><header><h1>Title</h1></header><p>{PROSE}</p><p>{PROSE}</p></div></body>"
+    assert main_text(page) == "\n".join(["Title", PROSE, PROSE])
+
+
+def test_scores_decide_inside_main():
+    menu = "".join(f'<li><a href="/{i}">Another story number {i}, with a long title, and commas</a></li>' for i in range(9))
+    page = f"<body><main><ul>{menu}</ul><section><h2>One</h2><p>{PROSE}</p></section><section><h2>Two</h2><p>Short.</p><ul><li>a<li>b</ul></section></main></body>"
+    assert main_text(page) == "\n".join(["One", PROSE, "Two", "Short.", "a", "b"])
+    assert main_text(f"<body><ul>{menu}</ul><div><p>Short.</p><p>Text.</p></div></body>") == "Short.\nText."
+    parts = f"<body><div id=a><ul>{menu}</ul></div><div><div><p>{PROSE}</p><p>{PROSE}</p></div><ul><li>one</li><li>two</li></ul></div></body>"
+    assert main_text(parts) == "\n".join([PROSE, PROSE, "one", "two"])
+
+
+def test_long_pages_take_linear_time():
+    began = time.process_time()
+    for unit in ("<ul>", "<a ", "<li>", "<p><ul>", "<span class=ad>", "</p>", "<table><td>", "<!-", "<p><button>", "<article>", "<header><h1>", "</span>", "<dd>"):
+        main_text(unit * (400_000 // len(unit)) + PROSE)
+    assert time.process_time() - began < 60
+    assert main_text(f"<p>{PROSE}</p> x <!-- never > closed <p>y") == f"{PROSE}\nx"
+    assert main_text(f"<p>{PROSE}</p> x <a never closed") == f"{PROSE}\nx <a never closed"
+    assert main_text("a <!-- b") == "a"
+
+
 def test_defined_cases():
     assert main_text(None) == main_text("") == main_text("<html><body><nav>x</nav></body></html>") == ""
     assert main_text("just  text\n\nhere") == "just text here"
