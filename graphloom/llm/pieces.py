@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +69,11 @@ class PieceCoder:
     def _learn(self, first: list[str], later: list[str]) -> None:
         """Code those pieces (each list without repeats) that aren't known yet."""
         new = [[p for p in some if p not in known] for some, known in zip((first, later), self.known, strict=True)]
-        if not new[0] and not new[1]:
-            return
+        if new[0] or new[1]:
+            self._add(new)
+
+    def _add(self, new: list[list[str]]) -> None:
+        """Code pieces that aren't known, those that begin a text and those within; they get the next places in that order."""
         for some, known in zip(new, self.known, strict=True):
             known.update(zip(some, range(self.size, self.size + len(some)), strict=True))
             self.size += len(some)
@@ -93,21 +97,28 @@ class PieceCoder:
         ends = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         code = coded.indices.to_numpy()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False)
         heads = ends[:-1]  # of each text's first piece, which has no space before it
         begins = np.bincount(code[heads], minlength=len(names))
         within = np.bincount(code, minlength=len(names)) - begins
-        some = [np.flatnonzero(used).tolist() for used in (begins, within)]
-        told = [[names[i] for i in at] for at in some]
+        some = [np.flatnonzero(used) for used in (begins, within)]
+        told = [names[at].tolist() for at in some]
         odd = {i: cut(texts[i]) for i, ok in enumerate(plain) if not ok}  # runs of white space: cut by rule
-        self._learn(*told)
+        places = [np.fromiter(map(known.get, pieces, repeat(-1)), np.int32, len(pieces)) for known, pieces in zip(self.known, told, strict=True)]
+        missing = [np.flatnonzero(row < 0) for row in places]
+        if len(missing[0]) or len(missing[1]):
+            size = self.size
+            self._add([names[have[gone]].tolist() for have, gone in zip(some, missing, strict=True)])
+            for row, gone in zip(places, missing, strict=True):
+                row[gone] = np.arange(size, size + len(gone))
+                size += len(gone)
         if odd:
             self._learn(list(dict.fromkeys(p[0] for p in odd.values())), list(dict.fromkeys(x for p in odd.values() for x in p[1:])))
         first, later = self.known
         at = np.zeros((2, len(names)), dtype=np.int32)
-        for row, known in enumerate(self.known):
-            at[row, some[row]] = list(map(known.__getitem__, told[row]))
-            self.used[at[row, some[row]]] += 1
+        for row, have, place in zip(at, some, places, strict=True):
+            row[have] = place
+            self.used[place] += 1
         r = at[1][code]
         r[heads] = at[0][code[heads]]
         if odd:
