@@ -40,10 +40,50 @@ def language(path: Column) -> Column:
     return F.try_element_at(table, extension(path))
 
 
-def ignored(path: Column, folders: list[str], extensions: list[str], names: list[str]) -> Column:
-    """A path under one of the folders, with one of the extensions or of the file names."""
-    parts = F.split(path, "/")
-    return F.arrays_overlap(parts, F.array(*[F.lit(x) for x in folders])) | extension(path).isin(extensions) | base_name(path).isin(names)
+#: Folders, endings and file names that hold no source of their own.  Fixed values.
+IGNORED_FOLDERS = """
+.git .svn .hg .bzr
+.idea .vscode .vs .eclipse .settings .DS_Store Thumbs.db
+node_modules bower_components jspm_packages vendor venv .venv env .env __pycache__ .pytest_cache .mypy_cache site-packages .tox eggs .eggs
+lib64 parts sdist wheels
+dist build out output bin obj target .next .nuxt .output .vercel .netlify .serverless _build public/build .parcel-cache .turbo .svelte-kit
+coverage .nyc_output htmlcov .coverage __tests__ __mocks__ .jest
+logs log tmp temp cache .cache .tmp .temp
+.generated generated auto-generated .terraform
+.husky .github .circleci .gitlab fixtures snapshots __snapshots__
+.pipeline-worktrees .pipeline-worktree .pipeline _pipeline
+""".split()
+IGNORED_EXTENSIONS = """
+.png .jpg .jpeg .gif .svg .ico .webp .bmp .tiff .tif .psd .ai .sketch .fig .xd
+.zip .tar .gz .rar .7z .bz2 .xz .tgz
+.exe .dll .so .dylib .a .lib .o .obj .class .jar .war .ear .pyc .pyo .pyd .beam .wasm .node
+.pdf .doc .docx .xls .xlsx .ppt .pptx .odt .ods .odp
+.mp4 .mp3 .wav .mov .avi .mkv .flv .wmv .ogg .webm .flac .aac .m4a
+.woff .woff2 .ttf .eot .otf
+.db .sqlite .sqlite3 .mdb .accdb
+.min.js .min.css .bundle.js .chunk.js .map .lock
+.pem .key .crt .cer .p12 .pfx
+.csv .tsv .parquet .avro .feather .npy .npz .pkl .pickle .h5 .hdf5
+.bin .dat .data .raw .iso .img .dmg
+""".split()
+IGNORED_NAMES = """
+package-lock.json yarn.lock pnpm-lock.yaml composer.lock Gemfile.lock poetry.lock Cargo.lock go.sum
+.gitignore .gitattributes .npmrc .yarnrc .editorconfig .prettierrc .prettierignore .eslintignore .dockerignore Thumbs.db .DS_Store
+LICENSE LICENSE.md LICENSE.txt CHANGELOG.md CHANGELOG CONTRIBUTING.md CODE_OF_CONDUCT.md SECURITY.md
+.env .env.local .env.development .env.production .env.test .env.example
+""".split()
+IGNORED_PARTS = r"\.bundle\.|\.chunk\.|\.generated\.|\.d\.ts$"
+
+
+def ignored(path: Column, folders: list[str] = IGNORED_FOLDERS, extensions: list[str] = IGNORED_EXTENSIONS, names: list[str] = IGNORED_NAMES) -> Column:
+    """A path with a part among the folders, one of the endings (of one or two dots), one of the file names, or the mark of
+    generated code in its name."""
+    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
+    name = base_name(slashed)
+    low = F.lower(name)
+    ends = F.array(F.regexp_extract(low, r"(\.[^.]*)$", 1), F.regexp_extract(low, r"(\.[^.]*\.[^.]*)$", 1))
+    some = lambda c, values: F.arrays_overlap(c, F.array(*[F.lit(x) for x in values]).cast("array<string>"))
+    return some(F.split(slashed, "/"), folders) | some(F.array(name, low), names) | some(ends, extensions) | low.rlike(IGNORED_PARTS)
 
 
 def _norm(path: Column) -> Column:

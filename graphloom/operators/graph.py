@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cut import Levels, cut
+from ..functions.text import entry_score
 
 
 def dedup(df: DataFrame, keys: Sequence[str], seq: str, keep: str = "first") -> DataFrame:
@@ -132,6 +133,13 @@ def entry_points(nodes: DataFrame, edges: DataFrame, is_test: Column, least: flo
     return d.select("id", F.round(score, 6).alias("score")).where(F.col("score") >= least)
 
 
+def trace_entries(nodes: DataFrame, edges: DataFrame, is_test: Column, top: int = 200) -> DataFrame:
+    """id, score of the ``top`` functions and methods outside tests that call something, by falling entry score, then id."""
+    d = nodes.where(F.col("label").isin("Function", "Method") & ~is_test).join(degrees(edges), "id").na.fill(0, ["callers", "callees"]).where("callees > 0")
+    score = entry_score(F.col("name"), F.col("is_exported"), F.col("callers"), F.col("callees"), F.col("file_path"))
+    return d.select("id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(top)
+
+
 def dead_code(nodes: DataFrame, edges: DataFrame, is_test: Column, min_confidence: float = 0.5, include_low: bool = False) -> DataFrame:
     """Unreachable symbols with confidence and reason; reachable ones may be of any label."""
     live = reach(edges, entry_points(nodes, edges, is_test).select("id"))

@@ -351,16 +351,23 @@ def _(s, d):
     return G.context(frame(s, d, "nodes"), e, _steps(s, d), _start(e))
 
 
+@q("a15_trace_entries", cte("calls", "nodes") + DEG + f"""SELECT id, score FROM (SELECT n.id, round({SCORE} * CASE WHEN regexp_matches(file_path, '/api/.*[.]py$') OR file_path LIKE 'app/api/%' THEN 2 ELSE 1 END, 6) AS score
+  FROM nodes n JOIN deg ON deg.id = n.id WHERE callees > 0 AND label IN ('Function', 'Method') AND NOT regexp_matches(replace(lower(file_path), chr(92), '/'), '{T.TEST_1}')) x
+WHERE score > 0 ORDER BY score DESC, id LIMIT 200""")
+def _(s, d):
+    return G.trace_entries(frame(s, d, "nodes"), frame(s, d, "calls"), T.is_test_v1(F.col("file_path")))
+
+
 @q("a15_a16_traces")
 def _(s, d):
     e = frame(s, d, "best_calls")
-    return G.trace_processes(e, G.entry_points(frame(s, d, "nodes"), e, T.is_test_v1(F.col("file_path"))))
+    return G.trace_processes(e, G.trace_entries(frame(s, d, "nodes"), e, T.is_test_v1(F.col("file_path"))))
 
 
 @q("a17_a18_distinct_traces")
 def _(s, d):
     e = frame(s, d, "best_calls")
-    t = G.trace_processes(e, G.entry_points(frame(s, d, "nodes"), e, T.is_test_v1(F.col("file_path"))))
+    t = G.trace_processes(e, G.trace_entries(frame(s, d, "nodes"), e, T.is_test_v1(F.col("file_path"))))
     return G.longest_per_ends(G.drop_contained(t)).select("entry", "rank", "path")
 
 

@@ -11,16 +11,15 @@ from pyspark.sql import types as T
 from ..functions import text as X
 
 MAX_BYTES = 512 * 1024
-#: Folders that a source walk leaves out.  Fixed values.
-IGNORED_FOLDERS = ("node_modules", ".git", "__pycache__", "dist", "build", "target", ".venv", "venv", "vendor", ".idea", ".vscode", "coverage")
 
 
-def walk(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, ignored=IGNORED_FOLDERS) -> DataFrame:
-    """path (below root), length, content of the files under ``root``, without ignored folders and large files; bytes that
-    aren't UTF-8 are replaced."""
+def walk(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, **ignored: list[str]) -> DataFrame:
+    """path (below root), length, content of the files under ``root``, without large files and those that
+    ``functions.text.ignored`` leaves out (by its own lists or ``folders``, ``extensions`` and ``names``); bytes that aren't UTF-8 are
+    replaced."""
     b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes)
     path = F.regexp_replace("path", r"^.*?" + _quoted(root.rstrip("/")) + "/", "")
-    return b.select(path.alias("path"), "length", F.expr("make_valid_utf8(cast(content AS STRING))").alias("content")).where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in ignored])))
+    return b.where(~X.ignored(path, **ignored)).select(path.alias("path"), "length", F.expr("make_valid_utf8(cast(content AS STRING))").alias("content"))
 
 
 def _quoted(s: str) -> str:
@@ -151,6 +150,69 @@ def definitions(files: DataFrame) -> DataFrame:
     return files.select("path", "language", F.explode(found).alias("name"))
 
 
+#: language -> pattern of an import statement, and of the modules in it as its first group.  Fixed values.
+_QUOTED = r"""['"]([^'"]+)['"]"""
+_SCRIPT = (r"""(?m)^\s*(?:import|export)\s+(?:[^'";()]*?\sfrom\s*)?['"][^'"]+['"]""", _QUOTED)
+IMPORTS = {
+    "typescript": _SCRIPT,
+    "javascript": _SCRIPT,
+    "go": (r"""(?m)^import\s*(?:\([^)]*\)|[\w.]*\s*"[^"]+")""", _QUOTED),
+    "java": (r"(?m)^\s*import\s+(?:static\s+)?[\w.]+\*?", r"([\w.*]+)$"),
+    "kotlin": (r"(?m)^\s*import\s+[\w.]+\*?", r"([\w.*]+)$"),
+    "csharp": (r"(?m)^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?[\w.]+\s*;", r"([\w.]+)\s*;"),
+    "rust": (r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+[^;]+;", r"use\s+([^;]+);"),
+    "c": (r"""(?m)^\s*#\s*include\s*[<"][^>"]+[>"]""", r"""[<"]([^>"]+)[>"]"""),
+    "cpp": (r"""(?m)^\s*#\s*include\s*[<"][^>"]+[>"]""", r"""[<"]([^>"]+)[>"]"""),
+    "php": (r"(?m)^\s*use\s+(?:function\s+|const\s+)?[\w\\\\]+[^;]*;", r"use\s+(?:function\s+|const\s+)?([\w\\\\]+)"),
+    "swift": (r"(?m)^\s*(?:@\w+\s+)?import\s+(?:(?:class|struct|enum|protocol|func|var)\s+)?[\w.]+", r"([\w.]+)$"),
+    "ruby": (r"""(?m)^\s*require(?:_relative)?\s*\(?\s*['"][^'"]+['"]""", _QUOTED),
+}
+_CLASS = r"(?:class|interface|struct|protocol|object|enum)\s+\w+"
+#: language -> pattern of a class with its heritage.  Fixed values.
+HERITAGE = {
+    **dict.fromkeys(("typescript", "javascript", "java", "php"), _CLASS + r"(?:<[^{]*?>)?\s+(?:extends|implements)\b[^{]*"),
+    **dict.fromkeys(("kotlin", "csharp", "swift", "cpp"), _CLASS + r"(?:<[^:{]*>)?(?:\([^)]*\))?\s*:[^:{][^{\n]*"),
+    "ruby": r"class\s+\w+\s*<\s*[\w:]+",
+}
+
+
+def _by_language(patterns: dict[str, str]) -> Column:
+    found = F.array().cast("array<string>")
+    for lang, p in patterns.items():
+        found = F.when(F.col("language") == lang, F.regexp_extract_all("content", F.lit(p), F.lit(0))).otherwise(found)
+    return found
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """files(path, language, content) -> path, language, module, names (of the import clause of a script; else empty), by
+    pattern: a statement inside a comment counts too."""
+    each = files.select("path", "language", F.explode(_by_language({k: s for k, (s, _) in IMPORTS.items()})).alias("statement"))
+    modules = F.array().cast("array<string>")
+    for lang, (_, module) in IMPORTS.items():
+        modules = F.when(F.col("language") == lang, F.regexp_extract_all("statement", F.lit(module), F.lit(1))).otherwise(modules)
+    clause = F.regexp_extract("statement", r"(?s)^\s*(?:import|export)\s+(?:type\s+)?(.*?)\s+from\s*['\"]", 1)
+    words = F.split(F.translate(clause, "{}", ",,"), ",")
+    name = lambda x: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), r"^(?:type |\* as )", ""), " as .*", "")
+    names = F.when(F.col("language").isin("typescript", "javascript"), F.filter(F.transform(words, name), lambda x: ~x.isin("", "*"))).otherwise(F.array().cast("array<string>"))
+    return each.select("path", "language", F.explode(modules).alias("module"), names.alias("names")).withColumn("module", F.trim("module"))
+
+
+def heritage(files: DataFrame) -> DataFrame:
+    """files(path, language, content) -> path, language, child, parent, kind (EXTENDS or IMPLEMENTS), by pattern.  Where a language doesn't
+    tell them apart, all are EXTENDS."""
+    each = files.select("path", "language", F.explode(_by_language(HERITAGE)).alias("s"))
+    plain = F.regexp_replace(F.regexp_replace("s", r"<[^<>]*>", ""), r"\([^()]*\)", "")
+    each = each.select("path", "language", F.when(F.col("language") == "ruby", F.col("s")).otherwise(plain).alias("s"))
+    child = F.regexp_extract("s", r"^\w+\s+(\w+)", 1)
+    listed = lambda p: F.split(F.regexp_extract("s", p, 1), ",")
+    word = F.col("language").isin("typescript", "javascript", "java", "php")
+    first = F.when(word, listed(r"(?s)\bextends\s+(.*?)(?:\bimplements\b.*)?$")).when(F.col("language") == "ruby", listed(r"<\s*(.*)$")).otherwise(listed(r"(?s):\s*(.*)$"))
+    second = F.when(word, listed(r"(?s)\bimplements\s+(.*?)$")).otherwise(F.array().cast("array<string>"))
+    row = lambda kind: lambda x: F.struct(F.trim(F.regexp_replace(F.regexp_replace(x, r"\b(?:public|private|protected|virtual)\s+", ""), r"\s+(?:where|by)\s.*", "")).alias("parent"), F.lit(kind).alias("kind"))
+    both = F.concat(F.transform(first, row("EXTENDS")), F.transform(second, row("IMPLEMENTS")))
+    return each.select("path", "language", child.alias("child"), F.explode(both).alias("x")).select("path", "language", "child", "x.parent", "x.kind").where("parent <> ''")
+
+
 # ---------------------------------------------------------------- stores
 
 

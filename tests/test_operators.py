@@ -242,6 +242,42 @@ def test_sources(spark, tmp_path):
     assert sorted((r["author"], r["email"], r["line_count"]) for r in S.parse_blame(bl).collect()) == [("Ann", "a@x", 2), ("Bob", "b@x", 1)]
 
 
+def test_ignored_paths(spark):
+    paths = {"src/a.py": False, "out/a.py": True, "a/node_modules/b.js": True, "a\\\\bin\\\\b.c": True, "x/Cargo.lock": True, "license": False, "LICENSE": True,
+             "a.MIN.JS": True, "a.min.ts": False, "types.d.ts": True, "m.generated.cs": True, "a.PNG": True, "png": False, ".env.test": True, "packages/a.ts": False}
+    paths = {k.replace("\\\\", "\\"): v for k, v in paths.items()}
+    d = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert {r["path"]: r["x"] for r in d.select("path", X.ignored(F.col("path")).alias("x")).collect()} == paths
+    assert not d.select(X.ignored(F.col("path"), [], [], []).alias("x")).where("x").where("NOT path RLIKE 'd.ts|generated'").count()
+
+
+def test_imports_and_heritage_by_pattern(spark):
+    code = {
+        "typescript": 'import React, { useState as s, type B } from "react";\nimport * as fs from "fs";\nimport "./side";\nexport { z } from \'./z\';\nclass A<T> extends Base<T> implements I, J {\n}\n',
+        "go": 'package m\nimport "fmt"\nimport (\n  "os"\n  x "a/b"\n)\n',
+        "java": "import a.b.C;\nimport static a.D.*;\npublic class X extends Y implements Z {",
+        "kotlin": "import a.b\nclass P(val x: Int) : Q(x), R {",
+        "csharp": "using System.Text;\nusing F = A.B;\nclass K : L, M {",
+        "cpp": '#include <vector>\n#include "a.h"\nclass S : public T {',
+        "rust": "use std::io;\npub use a::{b, c};\n",
+        "ruby": "require 'json'\nclass U < V::W\nend\n",
+        "php": "<?php\nuse App\\\\Models\\\\User;\nclass G extends H {".replace("\\\\", "\\"),
+        "swift": "import UIKit\nclass N: O {",
+        "none": None,
+    }
+    d = spark.createDataFrame([(f"f.{k}", k, v) for k, v in code.items()], "path string, language string, content string")
+    got = {(r["language"], r["module"], tuple(r["names"])) for r in S.imports(d).collect()}
+    assert got == {
+        ("typescript", "react", ("React", "useState", "B")), ("typescript", "fs", ("fs",)), ("typescript", "./side", ()), ("typescript", "./z", ("z",)),
+        ("go", "fmt", ()), ("go", "os", ()), ("go", "a/b", ()), ("java", "a.b.C", ()), ("java", "a.D.*", ()), ("kotlin", "a.b", ()),
+        ("csharp", "System.Text", ()), ("csharp", "A.B", ()), ("cpp", "vector", ()), ("cpp", "a.h", ()), ("rust", "std::io", ()), ("rust", "a::{b, c}", ()),
+        ("ruby", "json", ()), ("php", "App\\Models\\User", ()), ("swift", "UIKit", ()),
+    }
+    got = {(r["child"], r["parent"], r["kind"][0]) for r in S.heritage(d).collect()}
+    assert got == {("A", "Base", "E"), ("A", "I", "I"), ("A", "J", "I"), ("X", "Y", "E"), ("X", "Z", "I"), ("P", "Q", "E"), ("P", "R", "E"), ("K", "L", "E"), ("K", "M", "E"),
+                   ("S", "T", "E"), ("U", "V::W", "E"), ("G", "H", "E"), ("N", "O", "E")}
+
+
 def test_store_round_trip(spark, tmp_path):
     nodes = spark.createDataFrame([("a", "Function"), ("b", "Odd")], "id string, label string")
     edges = spark.createDataFrame([("a", "b", "CALLS"), ("a", "b", "WHAT")], "src string, dst string, type string")
