@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import prefix_sums
+
 
 def four(c: Column) -> Column:
     """Rounded half-up to four places, whichever side of the tie the binary value falls."""
@@ -59,13 +61,12 @@ def bus_factor_steps(edges: DataFrame, threshold: float = 0.5) -> DataFrame:
     ``threshold``: rank, author, covered, orphaned (share after the step, four places)."""
     primary = edges.groupBy("file").agg(F.min_by("author", F.struct((-F.col("confidence")).alias("c"), "author")).alias("author"))
     cover = primary.groupBy("author").agg(F.count("*").alias("covered"))
-    order = Window.orderBy(F.desc("covered"), "author")  # a row for each developer
-    run = cover.withColumns({"rank": F.row_number().over(order), "sum": F.sum("covered").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    total = cover.agg(F.sum("covered").alias("total"))
+    run = prefix_sums(cover, {"rank": "1", "sum": "covered"}, [F.desc("covered"), F.col("author")])
+    total = run.agg(F.max("sum").alias("total"))
     return (
-        run.join(F.broadcast(total))
+        run.join(F.broadcast(total))  # one row
         .where((F.col("sum") - F.col("covered")) / F.col("total") < threshold)
-        .select("rank", "author", "covered", four(_ratio(F.col("sum"), F.col("total"))).alias("orphaned"))
+        .select(F.col("rank").cast("int").alias("rank"), "author", "covered", four(_ratio(F.col("sum"), F.col("total"))).alias("orphaned"))
     )
 
 
