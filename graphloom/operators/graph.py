@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.cut import Levels, cut
 from ..functions.text import entry_score
+from .cycles import strong_components
+from .prefix import prefix_sums
 
 
 def dedup(df: DataFrame, keys: Sequence[str], seq: str, keep: str = "first") -> DataFrame:
@@ -133,10 +135,23 @@ def entry_points(nodes: DataFrame, edges: DataFrame, is_test: Column, least: flo
     return d.select("id", F.round(score, 6).alias("score")).where(F.col("score") >= least)
 
 
-def trace_entries(nodes: DataFrame, edges: DataFrame, is_test: Column, top: int = 200) -> DataFrame:
-    """id, score of the ``top`` functions and methods outside tests that call something, by falling entry score, then id."""
-    d = nodes.where(F.col("label").isin("Function", "Method") & ~is_test).join(degrees(edges), "id").na.fill(0, ["callers", "callees"]).where("callees > 0")
+#: Fixed values.
+MIN_TRACE_CONFIDENCE = 0.5
+MAX_PROCESSES = 75
+
+
+def trusted_calls(edges: DataFrame, least: float = MIN_TRACE_CONFIDENCE) -> DataFrame:
+    """The calls that tracing counts and follows."""
+    return edges.where((F.col("type") == "CALLS") & (F.col("confidence") >= least))
+
+
+def trace_entries(nodes: DataFrame, edges: DataFrame, is_test: Column, top: int = 200, multiplier: Column | None = None) -> DataFrame:
+    """id, score of the ``top`` functions and methods outside tests that call something, by falling entry score, then id.  Calls under
+    the trusted confidence count for nothing; a ``multiplier`` over 1 (a framework's, by a symbol's definition) raises the score."""
+    d = nodes.where(F.col("label").isin("Function", "Method") & ~is_test).join(degrees(trusted_calls(edges)), "id").na.fill(0, ["callers", "callees"]).where("callees > 0")
     score = entry_score(F.col("name"), F.col("is_exported"), F.col("callers"), F.col("callees"), F.col("file_path"))
+    if multiplier is not None:
+        score = F.round(score * F.when(multiplier > 1, multiplier).otherwise(1.0), 6)
     return d.select("id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(top)
 
 
@@ -156,46 +171,6 @@ def dead_code(nodes: DataFrame, edges: DataFrame, is_test: Column, min_confidenc
 # ---------------------------------------------------------------- cycles and claim graphs
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for nodes of strongly connected components of more than one node; component is the least node.
-    Forward-backward colouring: each node takes the least node that reaches it; the nodes that reach back to their
-    colour's root inside the colour are its component; they leave, and the rest goes on."""
-    left = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    out = None
-    while True:
-        # nodes without a way in or out are in no cycle
-        while True:
-            n = left.count()
-            for _ in range(3):  # a few layers for each table written
-                left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            left = cut(left)
-            m = left.count()
-            if m == n or m == 0:
-                break
-        if m == 0:
-            break
-        colour = cut(left.select(F.col("src").alias("id")).union(left.select("dst")).distinct().withColumn("c", F.col("id")))
-        while True:
-            low = left.join(colour, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
-            new = cut(colour.join(low, "id", "left").select("id", F.least("c", "m").alias("c")))
-            changed = new.join(colour.withColumnRenamed("c", "was"), "id").where("c <> was").isEmpty()
-            colour = new
-            if changed:
-                break
-        a, b = colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), colour.select(F.col("id").alias("dst"), F.col("c").alias("cd"))
-        inside = cut(left.join(a, "src").join(b, "dst").where("cs = cd").select("src", "dst", "cs"))
-        roots = colour.where("id = c").select("id")
-        back = reach(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots)
-        found = colour.join(back, "id", "left_semi").select(F.col("id").alias("node"), F.col("c").alias("component"))
-        out = cut(found if out is None else out.union(found))
-        gone = found.select("node")
-        left = cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    if out is None:
-        return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).where("false")
-    big = out.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    return out.join(big, "component", "left_semi").select("node", "component")
-
-
 def claim_node_scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes(id, node_type), edges(src, dst, type): 1 less 0.3 in a cycle, 0.25 in a contradiction, 0.1 as an orphan that is
     no requirement, plus 0.1 for a requirement; clipped; passes at 0.6."""
@@ -257,14 +232,38 @@ def context(nodes: DataFrame, edges: DataFrame, steps: DataFrame, ids: DataFrame
 # ---------------------------------------------------------------- processes
 
 
-def trace_processes(edges: DataFrame, entries: DataFrame, branching: int = 4, max_depth: int = 10, min_steps: int = 3, per_entry: int = 12) -> DataFrame:
-    """Simple paths from entries(id): at most ``branching`` callees of a node (by edge_seq, cut before the cycle test), paths
-    end where nothing is left or at ``max_depth`` nodes; the first ``per_entry`` of an entry in queue order stay.  No live path is
-    dropped before its entry has that many ended ones: a later path may end sooner than an earlier one."""
+def trace_processes(edges: DataFrame, entries: DataFrame, branching: int = 4, max_depth: int = 10, min_steps: int = 3, per_entry: int = 12, most: int = MAX_PROCESSES) -> DataFrame:
+    """Paths of trusted calls from entries(id, score): entry, rank (inside it), path.  Entries come by falling score, then id, and none starts once
+    those before it gave twice ``most`` paths.  They are traced in batches, the first as large as it must be."""
+    arcs = _arcs(trusted_calls(edges), branching)
+    order = cut(prefix_sums(entries.select(F.col("id").alias("entry"), "score"), {"place": "1L"}, [F.desc("score"), F.col("entry")]))
+    first, size, done = 0, -(-2 * most // per_entry), None
+    while True:
+        batch = order.where((F.col("place") > first) & (F.col("place") <= first + size)).select("entry")
+        if batch.isEmpty():
+            break
+        found = cut(_traces(arcs, batch, max_depth, min_steps, per_entry))
+        done = found if done is None else done.unionByName(found)
+        if done.count() >= 2 * most:
+            break
+        first, size = first + size, 2 * size
+    if done is None:
+        return _traces(arcs, order.select("entry"), max_depth, min_steps, per_entry)
+    gave = prefix_sums(done.groupBy("entry").agg(F.count("*").alias("n")).join(order, "entry"), {"upto": "n"}, ["place"])
+    return done.join(gave.where(F.col("upto") - F.col("n") < 2 * most).select("entry"), "entry", "left_semi")
+
+
+def _arcs(edges: DataFrame, branching: int) -> DataFrame:
+    """a, bs: the first ``branching`` callees of a node by edge_seq, cut before any test for cycles."""
     w = Window.partitionBy("src").orderBy("edge_seq", "dst")
     arcs = edges.withColumn("k", F.row_number().over(w)).where(F.col("k") <= branching)
-    arcs = cut(arcs.groupBy(F.col("src").alias("a")).agg(F.sort_array(F.collect_list(F.struct("k", F.col("dst").alias("b")))).alias("bs")))
-    front = entries.select(F.col("id").alias("entry"), F.array("id").alias("path"), F.array().cast("array<int>").alias("o"))
+    return cut(arcs.groupBy(F.col("src").alias("a")).agg(F.sort_array(F.collect_list(F.struct("k", F.col("dst").alias("b")))).alias("bs")))
+
+
+def _traces(arcs: DataFrame, entries: DataFrame, max_depth: int, min_steps: int, per_entry: int) -> DataFrame:
+    """Simple paths end where nothing is left or at ``max_depth`` nodes; the first ``per_entry`` of an entry in queue order stay.  No live path is
+    dropped before its entry has that many ended ones: a later path may end sooner than an earlier one."""
+    front = entries.select("entry", F.array("entry").alias("path"), F.array().cast("array<int>").alias("o"))
     first = F.row_number().over(Window.partitionBy("entry").orderBy("o"))
     done = None
     for depth in range(1, max_depth + 1):
@@ -314,14 +313,20 @@ def trace_members(edges: DataFrame, entries: DataFrame, branching: int = 4, max_
 
 def drop_subsets(members: DataFrame, scores: DataFrame) -> DataFrame:
     """members(entry, id), scores(id, score): entries of at least two members whose set is in no set of a better entry (by falling
-    score, then id).  A set can only be inside one that holds its own entry."""
-    g = members.groupBy("entry").agg(F.collect_set("id").alias("m")).where(F.size("m") >= 2)
+    score, then id).  Of equal sets only the best entry goes on; a set can only be inside one that holds its rarest member, so
+    no pair meets on a member that most sets have."""
+    g = members.groupBy("entry").agg(F.sort_array(F.collect_set("id")).alias("m")).where(F.size("m") >= 2)
     g = g.join(scores.select(F.col("id").alias("entry"), "score"), "entry")
-    big = members.select(F.col("entry").alias("e2"), F.col("id").alias("entry")).where("e2 <> entry")
-    j = big.join(g, "entry").join(g.select(F.col("entry").alias("e2"), F.col("m").alias("m2"), F.col("score").alias("s2")), "e2")
-    better = (F.col("s2") > F.col("score")) | ((F.col("s2") == F.col("score")) & (F.col("e2") < F.col("entry")))
-    gone = j.where(better & (F.size(F.array_except("m", "m2")) == 0)).select("entry").distinct()
-    return g.join(gone, "entry", "left_anti").select("entry", F.sort_array("m").alias("members"), "score")
+    best = F.struct("score", (-F.col("place")).alias("p"))
+    g = prefix_sums(g, {"place": "1L"}, [F.desc("score"), F.col("entry")])
+    sets = cut(g.groupBy("m").agg(F.max_by(F.struct("entry", "score", "place"), best).alias("b")).select("m", "b.entry", "b.score", "b.place"))
+    each = sets.select("place", F.explode("m").alias("id"))
+    often = each.groupBy("id").agg(F.count("*").alias("n"))
+    rare = each.join(often, "id").groupBy("place").agg(F.min_by("id", F.struct("n", "id")).alias("id"))
+    pairs = rare.join(each.select("id", F.col("place").alias("better")), "id").where("better < place").select("place", "better")
+    j = pairs.join(sets.select("place", "m"), "place").join(sets.select(F.col("place").alias("better"), F.col("m").alias("m2")), "better")
+    gone = j.where((F.size("m") < F.size("m2")) & (F.size(F.array_except("m", "m2")) == 0)).select("place").distinct()
+    return sets.join(gone, "place", "left_anti").select("entry", F.col("m").alias("members"), "score")
 
 
 def drop_contained(traces: DataFrame) -> DataFrame:
@@ -359,24 +364,6 @@ def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0)
     return per.agg(F.round(F.sum(F.col("l") / F.col("m") - resolution * F.pow(F.col("d") / (2 * F.col("m")), 2)), 6).alias("modularity"), F.count("*").alias("communities"))
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """A deterministic partition by label propagation: each node takes the label most frequent among its neighbours (least
-    label on ties), odd and even nodes by turns so that it settles.  (id, community); nodes without edges are left out."""
-    u = cut(undirected(edges))
-    both = cut(u.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(u.select(F.col("b").alias("x"), F.col("a").alias("y"))))
-    lab = cut(both.select(F.col("x").alias("id")).distinct().withColumn("community", F.col("id")))
-    for k in range(rounds):
-        n = both.join(lab, F.col("y") == F.col("id")).groupBy("x", "community").agg(F.count("*").alias("n"))
-        best = n.groupBy(F.col("x").alias("id")).agg(F.min_by("community", F.struct((-F.col("n")).alias("n"), "community")).alias("new"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == k % 2
-        now = cut(lab.join(best, "id", "left").select("id", F.when(turn, F.coalesce("new", "community")).otherwise(F.col("community")).alias("community")))
-        same = now.join(lab.withColumnRenamed("community", "was"), "id").where("community <> was").isEmpty()
-        lab = now
-        if same and k:
-            break
-    return lab
-
-
 #: Fixed values.
 GENERIC_FOLDERS = ("src", "lib", "core", "utils", "common", "shared", "helpers")
 

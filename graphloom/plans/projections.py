@@ -39,9 +39,10 @@ SQL: dict[str, str] = {
     "hops": "SELECT l_orderkey, ln, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY ln) AS dst FROM lines",
     "calls": """SELECT src, dst, 'CALLS' AS type, n, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY src) AS confidence, edge_seq FROM (
         SELECT src, dst, count(*) AS n, min(l_orderkey * 100 + ln) AS edge_seq FROM hops WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst) x""",
-    # the most frequent next part of each part: a sparse graph with chains and cycles
-    "best_calls": """SELECT src, dst, type, confidence, edge_seq FROM (
-        SELECT src, dst, type, confidence, edge_seq, row_number() OVER (PARTITION BY src ORDER BY n DESC, edge_seq) AS k FROM calls) x WHERE k = 1""",
+    # all calls, with the confidence of the way that each was resolved
+    "tiered_calls": """SELECT src, dst, type, n, CASE WHEN n > 1 THEN 0.9D WHEN edge_seq % 3 = 0 THEN 0.3D WHEN edge_seq % 3 = 1 THEN 0.5D ELSE 0.85D END AS confidence, edge_seq FROM calls""",
+    # calls inside a module: sparse, with chains, cycles and nodes that nothing reaches
+    "module_calls": """SELECT src, dst, type, n, confidence, edge_seq FROM calls JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.community = b.community""",
     "evaluations": """SELECT l_orderkey AS claim_id, ln AS evaluator_id, round(l_discount * 10, 6) AS score, round(1 - l_tax * 5, 6) AS confidence FROM lines""",
     "steps": """SELECT user_id AS process_id, event_id AS node_id, event_type AS label,
         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM {events}""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import communities as C
 from ..operators import graph as G
 from ..operators import modules as M
 from ..operators import project as P
@@ -246,26 +247,34 @@ def _(s, d):
 DEG = """, deg AS (SELECT id, sum(i) AS callers, sum(o) AS callees FROM (SELECT src AS id, 0 AS i, 1 AS o FROM calls UNION ALL SELECT dst, 1, 0 FROM calls) x GROUP BY id)"""
 DEAD = (DEG + f""", sym AS (SELECT n.*, coalesce(callers, 0) AS callers, coalesce(callees, 0) AS callees FROM nodes n LEFT JOIN deg ON deg.id = n.id WHERE label IN ('Function', 'Method', 'Class', 'Constructor') AND NOT {TEST1}),
 ent AS (SELECT id, round(callees * 1.0 / (callers + 1) * CASE WHEN is_exported THEN 2 ELSE 1 END, 6) AS score FROM sym WHERE callees * 1.0 / (callers + 1) * CASE WHEN is_exported THEN 2 ELSE 1 END >= 1.5),
-live AS (SELECT id FROM ent UNION SELECT dst FROM live JOIN calls ON src = id)""").replace(" calls", " best_calls")  # over the whole call graph everything is reachable
+live AS (SELECT id FROM ent UNION SELECT dst FROM live JOIN calls ON src = id)""")
 
 
-@q("a3_entry_points", cte("best_calls", "nodes", recursive=True) + DEAD + "SELECT id, score FROM ent")
+@q("a3_entry_points", cte("calls", "nodes", recursive=True) + DEAD + "SELECT id, score FROM ent")
 def _(s, d):
-    return G.entry_points(frame(s, d, "nodes"), frame(s, d, "best_calls"), T.is_test_v1(F.col("file_path")))
+    return G.entry_points(frame(s, d, "nodes"), frame(s, d, "calls"), T.is_test_v1(F.col("file_path")))
 
 
-@q("a4_reachable", cte("best_calls", "nodes", recursive=True) + DEAD + "SELECT id FROM live")
+@q("a4_reachable", cte("calls", "nodes", recursive=True) + DEAD + "SELECT id FROM live")
 def _(s, d):
-    e = frame(s, d, "best_calls")
+    e = frame(s, d, "calls")
     return G.reach(e, G.entry_points(frame(s, d, "nodes"), e, T.is_test_v1(F.col("file_path"))))
 
 
-@q("a5_dead_code", cte("best_calls", "nodes", recursive=True) + DEAD + f""", c AS (SELECT id, name, CASE WHEN regexp_matches(name, '{G.DYNAMIC_NAME}') THEN 0.3 WHEN language = 'python' THEN 0.6 WHEN is_exported THEN 0.6 ELSE 0.9 END AS confidence,
+@q("a5_dead_code", cte("calls", "nodes", recursive=True) + DEAD + f""", c AS (SELECT id, name, CASE WHEN regexp_matches(name, '{G.DYNAMIC_NAME}') THEN 0.3 WHEN language = 'python' THEN 0.6 WHEN is_exported THEN 0.6 ELSE 0.9 END AS confidence,
   CASE WHEN regexp_matches(name, '{G.DYNAMIC_NAME}') THEN 'dynamic-pattern-name' WHEN language = 'python' THEN 'dynamic-language' WHEN is_exported THEN 'exported-but-unreachable' ELSE 'static-unreachable' END AS reason
   FROM sym WHERE id NOT IN (SELECT id FROM live) AND NOT (starts_with(name, '__') AND ends_with(name, '__')))
 SELECT * FROM c WHERE confidence >= 0.5""")
 def _(s, d):
-    return G.dead_code(frame(s, d, "nodes"), frame(s, d, "best_calls"), T.is_test_v1(F.col("file_path")))
+    return G.dead_code(frame(s, d, "nodes"), frame(s, d, "calls"), T.is_test_v1(F.col("file_path")))
+
+
+@q("a5_dead_code_in_modules", cte("module_calls", "nodes", recursive=True) + DEAD.replace(" calls", " module_calls") + f""", c AS (SELECT id, name, CASE WHEN regexp_matches(name, '{G.DYNAMIC_NAME}') THEN 0.3 WHEN language = 'python' THEN 0.6 WHEN is_exported THEN 0.6 ELSE 0.9 END AS confidence,
+  CASE WHEN regexp_matches(name, '{G.DYNAMIC_NAME}') THEN 'dynamic-pattern-name' WHEN language = 'python' THEN 'dynamic-language' WHEN is_exported THEN 'exported-but-unreachable' ELSE 'static-unreachable' END AS reason
+  FROM sym WHERE id NOT IN (SELECT id FROM live) AND NOT (starts_with(name, '__') AND ends_with(name, '__')))
+SELECT * FROM c WHERE confidence >= 0.5""")
+def _(s, d):
+    return G.dead_code(frame(s, d, "nodes"), frame(s, d, "module_calls"), T.is_test_v1(F.col("file_path")))
 
 
 @q("a8_modularity", cte("calls", "nodes") + """, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM calls WHERE src <> dst), j AS (SELECT x.community AS ca, y.community AS cb FROM u JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b),
@@ -277,7 +286,14 @@ def _(s, d):
 
 @q("a6_communities")
 def _(s, d):
-    return G.communities(frame(s, d, "best_calls"))
+    v, pairs, resolution = C.community_graph(frame(s, d, "nodes"), frame(s, d, "calls"))
+    return C.communities(pairs, v, resolution)
+
+
+@q("a7_communities_with_constructors")
+def _(s, d):
+    v, pairs, resolution = C.community_graph(frame(s, d, "nodes"), frame(s, d, "calls"), (*C.SYMBOL_LABELS, "Constructor"), large_from=None)
+    return C.communities(pairs, v, resolution)
 
 
 @q("a9_community_labels", cte("nodes") + """, f AS (SELECT community, split_part(file_path, '/', 2) AS f, count(*) AS n FROM nodes WHERE lower(split_part(file_path, '/', 2)) NOT IN ('src', 'lib', 'core', 'utils', 'common', 'shared', 'helpers') GROUP BY 1, 2),
@@ -309,23 +325,29 @@ def _(s, d):
     return n.select("id", "callers", "callees", T.entry_score(*a).alias("score"), T.entry_score(*a, with_framework=False, test_penalty=True).alias("score_v2"))
 
 
-STRONG = cte("calls", recursive=True) + ", g AS (SELECT src, dst, edge_seq FROM calls WHERE n >= 2)"
+STRONG = cte("calls", recursive=True) + ", g AS (SELECT src, dst, edge_seq FROM calls)"
+
+
+@q("a24_strong_components", STRONG + """, w AS (SELECT src AS a, dst AS b FROM g UNION SELECT w.a, g.dst FROM w JOIN g ON g.src = w.b)
+SELECT x.a AS node, least(min(y.a), x.a) AS component FROM w x JOIN w y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a""")
+def _(s, d):
+    return G.strong_components(frame(s, d, "calls"))
 
 
-@q("a24_strong_components", cte("best_calls", recursive=True) + """, g AS (SELECT src, dst FROM best_calls), w AS (SELECT src AS a, dst AS b FROM g UNION SELECT w.a, g.dst FROM w JOIN g ON g.src = w.b)
+@q("a24_strong_components_in_modules", cte("module_calls", recursive=True) + """, g AS (SELECT src, dst FROM module_calls), w AS (SELECT src AS a, dst AS b FROM g UNION SELECT w.a, g.dst FROM w JOIN g ON g.src = w.b)
 SELECT x.a AS node, least(min(y.a), x.a) AS component FROM w x JOIN w y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a""")
 def _(s, d):
-    return G.strong_components(frame(s, d, "best_calls"))
+    return G.strong_components(frame(s, d, "module_calls"))
 
 
-@q("a25_a26_claim_scores", STRONG.replace("calls AS", "calls AS", 1) + """, nn AS (SELECT l_partkey AS id, CASE WHEN l_partkey % 3 = 0 THEN 'requirement' WHEN l_partkey % 3 = 1 THEN 'specification' ELSE 'implementation' END AS node_type FROM (SELECT DISTINCT l_partkey FROM lines) z),
+@q("a25_a26_claim_scores", STRONG + """, nn AS (SELECT l_partkey AS id, CASE WHEN l_partkey % 3 = 0 THEN 'requirement' WHEN l_partkey % 3 = 1 THEN 'specification' ELSE 'implementation' END AS node_type FROM (SELECT DISTINCT l_partkey FROM lines) z),
 w AS (SELECT src AS a, dst AS b FROM g UNION SELECT w.a, g.dst FROM w JOIN g ON g.src = w.b), cyc AS (SELECT DISTINCT x.a AS id FROM w x JOIN w y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b),
 con AS (SELECT src AS id FROM g WHERE edge_seq % 5 = 0 UNION SELECT dst FROM g WHERE edge_seq % 5 = 0),
 f AS (SELECT id, CASE WHEN id IN (SELECT id FROM cyc) THEN 1 ELSE 0 END AS cycle, CASE WHEN id IN (SELECT id FROM con) THEN 1 ELSE 0 END AS conflict, CASE WHEN id NOT IN (SELECT dst FROM g) AND node_type <> 'requirement' THEN 1 ELSE 0 END AS orphan, CASE WHEN node_type = 'requirement' THEN 0.1 ELSE 0 END AS bonus FROM nn),
 s AS (SELECT *, round(greatest(0, least(1, 1 - 0.3 * cycle - 0.25 * conflict - 0.1 * orphan + bonus)), 6) AS score FROM f)
 SELECT id, cycle, conflict, orphan, score, score >= 0.6 AS passed FROM s""")
 def _(s, d):
-    e = frame(s, d, "calls").where("n >= 2").withColumn("type", F.when(F.col("edge_seq") % 5 == 0, "contradicts").otherwise("supports"))
+    e = frame(s, d, "calls").withColumn("type", F.when(F.col("edge_seq") % 5 == 0, "contradicts").otherwise("supports"))
     n = frame(s, d, "lines").select(F.col("l_partkey").alias("id")).distinct()
     kind = F.when(F.col("id") % 3 == 0, "requirement").when(F.col("id") % 3 == 1, "specification").otherwise("implementation")
     return G.claim_node_scores(n.withColumn("node_type", kind), e)
@@ -351,24 +373,29 @@ def _(s, d):
     return G.context(frame(s, d, "nodes"), e, _steps(s, d), _start(e))
 
 
-@q("a15_trace_entries", cte("calls", "nodes") + DEG + f"""SELECT id, score FROM (SELECT n.id, round({SCORE} * CASE WHEN regexp_matches(file_path, '/api/.*[.]py$') OR file_path LIKE 'app/api/%' THEN 2 ELSE 1 END, 6) AS score
+TRUSTED = DEG.replace("FROM calls", "FROM tiered_calls WHERE confidence >= 0.5")
+AST = "CASE WHEN start_line % 10 = 0 THEN 3.0 ELSE 1.0 END"
+
+
+@q("a15_trace_entries", cte("tiered_calls", "nodes") + TRUSTED + f"""SELECT id, round(score * {AST}, 6) AS score FROM (SELECT n.id, start_line, round({SCORE} * CASE WHEN regexp_matches(file_path, '/api/.*[.]py$') OR file_path LIKE 'app/api/%' THEN 2 ELSE 1 END, 6) AS score
   FROM nodes n JOIN deg ON deg.id = n.id WHERE callees > 0 AND label IN ('Function', 'Method') AND NOT regexp_matches(replace(lower(file_path), chr(92), '/'), '{T.TEST_1}')) x
-WHERE score > 0 ORDER BY score DESC, id LIMIT 200""")
+WHERE score > 0 ORDER BY 2 DESC, id LIMIT 200""")
 def _(s, d):
-    return G.trace_entries(frame(s, d, "nodes"), frame(s, d, "calls"), T.is_test_v1(F.col("file_path")))
+    return _entries(s, d)
+
+
+def _entries(s, d):
+    return G.trace_entries(frame(s, d, "nodes"), frame(s, d, "tiered_calls"), T.is_test_v1(F.col("file_path")), multiplier=F.expr("CASE WHEN start_line % 10 = 0 THEN 3.0D ELSE 1.0D END"))
 
 
 @q("a15_a16_traces")
 def _(s, d):
-    e = frame(s, d, "best_calls")
-    return G.trace_processes(e, G.trace_entries(frame(s, d, "nodes"), e, T.is_test_v1(F.col("file_path"))))
+    return G.trace_processes(frame(s, d, "tiered_calls"), _entries(s, d))
 
 
 @q("a17_a18_distinct_traces")
 def _(s, d):
-    e = frame(s, d, "best_calls")
-    t = G.trace_processes(e, G.trace_entries(frame(s, d, "nodes"), e, T.is_test_v1(F.col("file_path"))))
-    return G.longest_per_ends(G.drop_contained(t)).select("entry", "rank", "path")
+    return G.longest_per_ends(G.drop_contained(G.trace_processes(frame(s, d, "tiered_calls"), _entries(s, d))), G.MAX_PROCESSES).select("entry", "rank", "path")
 
 
 @q("a19_process_names", cte("steps") + """SELECT process_id, count(*) AS n_steps, min_by(label, step) || ' -> ' || max_by(label, step) AS label FROM steps GROUP BY process_id""")
@@ -431,7 +458,7 @@ def _(s, d):
 
 @q("g30_overall_score", STRONG + ", deg AS (SELECT dst, count(*) AS n FROM g GROUP BY dst) SELECT round(avg(least(1.0, n / 3.0)), 4) AS overall FROM deg")
 def _(s, d):
-    n = frame(s, d, "calls").where("n >= 2").groupBy("dst").agg(F.count("*").alias("n"))
+    n = frame(s, d, "calls").groupBy("dst").agg(F.count("*").alias("n"))
     return n.agg(F.round(F.avg(F.least(F.lit(1.0), F.col("n") / 3)) + 1e-9, 4).alias("overall"))
 
 
@@ -447,6 +474,6 @@ def _(s, d):
 
 @q("a21_member_traces")
 def _(s, d):
-    e = frame(s, d, "best_calls")
-    n = G.entry_points(frame(s, d, "nodes"), e, T.is_test_v1(F.col("file_path")))
+    e = frame(s, d, "module_calls")
+    n = G.trace_entries(frame(s, d, "nodes"), e.withColumn("confidence", F.lit(1.0)), T.is_test_v1(F.col("file_path")))
     return G.drop_subsets(G.trace_members(e, n.select("id")), n)

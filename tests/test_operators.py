@@ -100,33 +100,26 @@ def test_bfs_first_discoverer(spark):
     assert got == want
 
 
-def test_strong_components(spark):
-    for seed in (1, 2):
-        pairs = _random_graph(seed)
-        e = spark.createDataFrame(pairs, "src int, dst int")
-        reach = {x: {x} for p in pairs for x in p}
-        for _ in range(50):
-            for a, b in pairs:
-                reach[a] |= reach[b]
-        want = {x: min(y for y in reach[x] if x in reach[y]) for x in reach if sum(x in reach[y] for y in reach[x]) > 1}
-        assert {r["node"]: r["component"] for r in G.strong_components(e).collect()} == want
-
-
 def test_dead_code_and_traces(spark):
     nodes = spark.createDataFrame([("main", "Function", "main", "a.java", "java", True), ("process", "Function", "process", "a.java", "java", False), ("save", "Function", "save", "a.java", "java", False), ("lost", "Function", "lost", "a.java", "java", False), ("AHandler", "Class", "AHandler", "a.java", "java", False), ("py", "Function", "py", "a.py", "python", False)], "id string, label string, name string, file_path string, language string, is_exported boolean")
-    e = spark.createDataFrame([("main", "process", 1), ("process", "save", 2)], "src string, dst string, edge_seq long")
-    got = {r["id"]: r["confidence"] for r in G.dead_code(nodes, e, X.is_test_v1(F.col("file_path")), include_low=True).collect()}
+    e = spark.createDataFrame([("main", "process", 1, "CALLS", 1.0), ("process", "save", 2, "CALLS", 0.5), ("main", "lost", 3, "CALLS", 0.4), ("main", "py", 4, "USES", 1.0)], "src string, dst string, edge_seq long, type string, confidence double")
+    used = e.where("edge_seq < 3")
+    got = {r["id"]: r["confidence"] for r in G.dead_code(nodes, used, X.is_test_v1(F.col("file_path")), include_low=True).collect()}
     assert got == {"lost": 0.9, "AHandler": 0.3, "py": 0.6}
-    t = G.trace_processes(e, spark.createDataFrame([("main",), ("process",)], "id string"), min_steps=2)
+    t = G.trace_processes(e, spark.createDataFrame([("main", 2.0), ("process", 1.0)], "id string, score double"), min_steps=2)
     assert sorted(tuple(r["path"]) for r in t.collect()) == [("main", "process", "save"), ("process", "save")]
     assert [tuple(r["path"]) for r in G.drop_contained(t).collect()] == [("main", "process", "save")]
+    one = lambda **k: {r["id"]: r["score"] for r in G.trace_entries(nodes, e, X.is_test_v1(F.col("file_path")), **k).collect()}
+    plain, raised = one(), one(multiplier=F.when(F.col("id") == "process", 3.0).otherwise(0.5))
+    assert set(plain) == {"main", "process"} and raised == {"main": plain["main"], "process": 3 * plain["process"]}
 
 
 def test_traces_of_a_branching_graph(spark):
     rnd = random.Random(11)
     adj = {x: [rnd.randrange(400) for _ in range(rnd.randint(3, 6))] for x in range(400) if rnd.random() > 0.12}
-    edges = [(a, b, a * 10 + i) for a, bs in adj.items() for i, b in enumerate(bs)]
-    want = {}
+    edges = [(a, b, a * 10 + i, "CALLS", rnd.choice([0.5, 0.9])) for a, bs in adj.items() for i, b in enumerate(bs)]
+    edges += [(a, rnd.randrange(400), a * 10 - 1, "CALLS", 0.49) for a in range(400)]
+    want, stopped = {}, {}
     for start in range(40):
         traces, queue = [], deque([[start]])
         while queue and len(traces) < 12:
@@ -135,11 +128,15 @@ def test_traces_of_a_branching_graph(spark):
             queue.extend(new)
             if not new and len(path) >= 3:
                 traces.append(path)
+        stopped |= {(start, i + 1): t for i, t in enumerate(traces)} if len(stopped) < 40 else {}
         want |= {(start, i + 1): t for i, t in enumerate(traces)}
     rnd.shuffle(edges)
-    e = spark.createDataFrame(edges, "src int, dst int, edge_seq int")
-    got = G.trace_processes(e, spark.createDataFrame([(x,) for x in range(40)], "id int"), max_depth=6).collect()
-    assert {(r["entry"], r["rank"]): r["path"] for r in got} == want and len(got) == len(want)
+    e = spark.createDataFrame(edges, "src int, dst int, edge_seq int, type string, confidence double")
+    entries = spark.createDataFrame([(x, 100.0 - x // 2) for x in range(40)], "id int, score double")
+    for most, expected in ((10_000, want), (20, stopped)):
+        got = G.trace_processes(e, entries, max_depth=6, most=most).collect()
+        assert {(r["entry"], r["rank"]): r["path"] for r in got} == expected and len(got) == len(expected)
+    assert 40 <= len(stopped) < len(want) and G.trace_processes(e, entries.where("false"), max_depth=3).count() == 0
 
 
 def test_member_traces(spark):
@@ -168,14 +165,6 @@ def test_member_traces(spark):
     assert sorted(r["entry"] for r in G.drop_subsets(m, s).collect()) == [1, 4]
 
 
-def test_communities_beat_one_group(spark):
-    pairs = [(a + k * 10, b + k * 10) for k in range(3) for a in range(5) for b in range(a)] + [(0, 10), (10, 20)]
-    e = spark.createDataFrame(pairs, "src int, dst int")
-    m = G.communities(e)
-    assert G.modularity(e, m).first()["modularity"] > 0.3
-    assert m.count() == 15
-
-
 def test_rules_on_nested_columns(spark):
     s = "title string, content string, sections array<string>, requirements array<struct<id:string,source:string>>, tests array<struct<name:string,traces_to:string>>, stories array<struct<id:string,depends_on:array<string>>>, sprints array<struct<story_points:int>>, files array<struct<path:string,lines:int,public_types:int>>, verdicts array<string>, k int"
     good = ("T", "self-check", list(RU.SECTIONS), [("FR-1", "Codebase")], [("t", "AC-1")], [("S1", ["S2"])], [(3,), (5,), (3,)], [("a", 10, 1)], ["pass"] * 5, 1)
