@@ -8,8 +8,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WRITE_HEADS, WRITE_WORDS
-
 
 def cluster_members(nodes: DataFrame, membership: DataFrame, top: int = 30) -> DataFrame:
     """community, rank, id, name, label, file_path: the first ``top`` members of each community by name and id."""
@@ -77,8 +75,36 @@ def call_diagram(edges: DataFrame, nodes: DataFrame, top: int = 12) -> DataFrame
     return rows.select(F.array_join(F.concat(F.array(F.lit("graph TD")), F.transform("r", lambda x: x["t"])), "\n").alias("diagram"))
 
 
+#: Nodes of a parsed query that only reads; any other one is refused.
+READING = {
+    "Project", "Filter", "Aggregate", "Join", "LateralJoin", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Except", "Intersect", "SubqueryAlias", "UnresolvedRelation", "UnresolvedWith", "CTE", "UnresolvedHaving",
+    "WithWindowDefinition", "Window", "Pivot", "Unpivot", "UnresolvedUnpivot", "Generate", "OneRowRelation", "UnresolvedInlineTable", "LocalRelation", "UnresolvedSubqueryColumnAliases", "Sample", "Tail", "UnresolvedOrdinal", "UnresolvedStar",
+}
+#: Functions that call into the machine.
+CALLING_OUT = r"(?i)\b(?:try_)?(?:reflect|java_method)\W*\("
+
+
 def read_only_sql(spark: SparkSession, sql: str, **views: DataFrame) -> DataFrame:
-    """The result of a query over ``views`` by name; a statement that writes is refused."""
-    if re.search(WRITE_HEADS, sql) or re.search(WRITE_WORDS, sql):
-        raise PermissionError("only statements that read are allowed")
-    return spark.sql(re.sub(r"\b(" + "|".join(map(re.escape, views)) + r")\b(?=[^']*(?:'[^']*'[^']*)*$)", r"{\1}", sql) if views else sql, **views)
+    """The result of a query over ``views`` by name.  The text is parsed, not run: every node of its plan must be one that reads, every relation
+    one of the views or of its own ``WITH``; functions that call into the machine are refused.  Words inside strings don't matter."""
+    bare = re.sub(r"(?s)'(?:\\.|''|[^'\\])*'|\"(?:\\.|[^\"\\])*\"|--[^\n]*|/\*.*?\*/", " ", sql)
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()  # the parser has no other door in Python
+    except Exception as error:
+        raise PermissionError("only one statement that can be read as a query is allowed") from error
+    own = {n.strip() for names in re.findall(r"CTE \[([^\]]*)\]", plan) for n in names.split(",")}
+    for line in plan.splitlines():
+        node = re.match(r"[\s:|+-]*'?(\w+)", line)
+        if node and node[1] not in READING:
+            raise PermissionError(f"only statements that read are allowed, not {node[1]}")
+        relation = re.match(r"[\s:|+-]*'?UnresolvedRelation \[([^\]]*)\]", line)
+        if relation and relation[1] not in views and relation[1] not in own:
+            raise PermissionError(f"no such view: {relation[1]}")
+    if re.search(CALLING_OUT, bare):
+        raise PermissionError("functions that call into the machine are not allowed")
+    given = ", ".join(f"`{n}` AS (SELECT * FROM {{{n}}})" for n in views if n not in own)
+    text = sql.replace("{", "{{").replace("}", "}}")
+    if given:
+        begun = re.match(r"(?i)\s*WITH\b(\s+RECURSIVE\b)?", text)
+        text = f"WITH{begun[1] or ''} {given}, {text[begun.end() :]}" if begun else f"WITH {given} {text}"
+    return spark.sql(text, **views)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import views as V
+from ..sources.scan import scan
 from .projections import cte, frame, table
 from .registry import Registry
 
@@ -72,3 +73,27 @@ def _(s, d):
 def _(s, d):
     sql = "SELECT n_name, count(*) AS customers FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name"
     return V.read_only_sql(s, sql, nation=table(s, d, "nation"), customer=table(s, d, "customer"))
+
+
+def _sources(s, d):
+    """A source file for each part, in one of three languages, that calls what the part calls; strings and comments hold calls too."""
+    n = frame(s, d, "nodes").select("id")
+    c = frame(s, d, "calls").groupBy(F.col("src").alias("id")).agg(F.transform(F.sort_array(F.collect_list("dst")), lambda x: x.cast("string")).alias("to"))
+    f = n.join(c, "id", "left").withColumn("to", F.coalesce("to", F.array().cast("array<string>")))
+    lines = lambda head, tail: F.concat(F.lit(""), F.array_join(F.transform("to", lambda x: F.concat(F.lit(head), x, F.lit(tail))), ""))
+    java = F.concat(F.format_string("class P%d extends Q {\n  int m%d(int a) {\n", "id", "id"), lines("    x.m", "(a, \"m0(1)\"); // m0()\n"), F.lit("  }\n}\n"))
+    go = F.concat(F.format_string("package p\nfunc m%d(a int) {\n", "id"), lines("\tx.m", "(a, `m0(1)`) // m0()\n"), F.lit("}\n"))
+    script = F.concat(F.format_string("import { q } from './q';\nexport const m%d = (a: number) => {\n", "id"), lines("  x.m", "(a, 'm0(1)'); /* m0() */\n"), F.lit("};\n"))
+    k = F.col("id") % 3
+    return f.select(F.col("id").cast("string").alias("path"), F.when(k == 0, "java").when(k == 1, "go").otherwise("typescript").alias("language"), F.when(k == 0, java).when(k == 1, go).otherwise(script).alias("content"))
+
+
+@q("s23_scan_sources", cte("calls", "nodes") + """, c AS (SELECT src AS id, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS k FROM calls), f AS (SELECT nodes.id, count(dst) AS n FROM nodes LEFT JOIN c ON c.id = nodes.id GROUP BY nodes.id),
+r AS (SELECT id, 'CALL' AS kind, 'm' || dst AS name, 'm' || id AS parent, 2 + k AS start_line, 2 + k AS end_line, 'x' AS receiver, 2 AS arguments, 'member' AS form FROM c
+  UNION ALL SELECT id, CASE WHEN id % 3 = 0 THEN 'Method' ELSE 'Function' END, 'm' || id, CASE WHEN id % 3 = 0 THEN 'P' || id ELSE '' END, 2, 3 + n, '', NULL, NULL FROM f
+  UNION ALL SELECT id, 'Class', 'P' || id, '', 1, 4 + n, '', NULL, NULL FROM f WHERE id % 3 = 0
+  UNION ALL SELECT id, 'EXTENDS', 'P' || id, '', 1, 1, 'Q', NULL, NULL FROM f WHERE id % 3 = 0
+  UNION ALL SELECT id, 'IMPORT', './q', '', 1, 1, '', NULL, NULL FROM f WHERE id % 3 = 2)
+SELECT CAST(id AS VARCHAR) AS path, kind, name, parent, start_line, end_line, receiver, arguments, form FROM r""")
+def _(s, d):
+    return scan(_sources(s, d)).select("path", "kind", "name", "parent", "start_line", "end_line", "receiver", "arguments", "form")

@@ -18,6 +18,31 @@ def test_read_only_sql(spark):
             V.read_only_sql(spark, bad, d=d)
 
 
+@pytest.mark.parametrize(
+    "bad",
+    ["ADD JAR '/tmp/x.jar'", "CLEAR CACHE", "RESET", "SET x = 1", "DECLARE VARIABLE v INT", "SELECT reflect('java.lang.System', 'exit')", "SELECT `java_method` ('java.lang.System', 'gc') FROM d", "SELECT try_reflect/**/('a', 'b')",
+     "SELECT * FROM csv.`/etc/passwd`", "SELECT * FROM (SELECT 1) x JOIN parquet.`/tmp/x` y", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "TRUNCATE TABLE d", "LOAD DATA INPATH '/x' INTO TABLE d", "USE other", "CREATE TABLE t AS SELECT * FROM d",
+     "SELECT * FROM elsewhere", "SELECT (SELECT max(id) FROM elsewhere) FROM d", "SELECT * FROM d WHERE id IN (SELECT id FROM elsewhere)", "WITH x AS (SELECT * FROM elsewhere) SELECT * FROM x", "EXPLAIN SELECT 1", "SHOW TABLES", "REFRESH TABLE d", "MERGE INTO d USING d s ON d.id = s.id WHEN MATCHED THEN DELETE", "FROM d INSERT INTO t SELECT *", ""],
+)
+def test_only_queries_over_the_views_run(spark, bad):
+    d = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
+    with pytest.raises(PermissionError):
+        V.read_only_sql(spark, bad, d=d)
+
+
+def test_queries_that_read_run(spark):
+    d = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
+    for sql, want in (
+        ("SELECT 'drop table nation' AS x, '{d} reflect(1)' AS y", ("drop table nation", "{d} reflect(1)")),
+        ("SELECT d.t FROM d WHERE d.id = (SELECT max(id) FROM d)", ("b",)),
+        ("WITH x AS (SELECT id + 1 AS id FROM d) SELECT sum(x.id) FROM x JOIN d USING (id)", (2,)),
+        ("SELECT count(*) FROM (SELECT id FROM d UNION SELECT id FROM d EXCEPT SELECT 1) z", (1,)),
+        ("SELECT t, row_number() OVER (ORDER BY id DESC) AS k FROM d ORDER BY k LIMIT 1", ("b", 1)),
+        ("SELECT v FROM d LATERAL VIEW explode(array(id, 9)) e AS v WHERE id = 2 AND t IN ('b') GROUP BY v HAVING v > 5", (9,)),
+    ):
+        assert tuple(V.read_only_sql(spark, sql, d=d).first()) == want, sql
+
+
 def test_registry_latest_wins(spark):
     d = spark.createDataFrame([("/a/b/", "old", 1), ("/a/b", "new", 2), ("a/b", "x", 3), ("/a/../b", "x", 4), ("/", "root", 5)], "path string, name string, seq int")
     assert sorted(map(tuple, V.registry(d).collect())) == [("/", "root", 5), ("/a/b", "new", 2)]
