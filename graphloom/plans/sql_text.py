@@ -326,26 +326,31 @@ def _(s, d):
 @q("stream_session_windows", """WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS n FROM events), y AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM x)
 SELECT user_id, min(ts) AS started, count(*) AS events FROM y GROUP BY user_id, k""")
 def _(s, d):
-    from ..streaming.events import sessions
+    from ..streaming.events import replayed, sessions
 
-    return sessions(table(s, d, "events"), "2 hours").select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), "events")
+    e = replayed(table(s, d, "events").select("user_id", "ts"), lambda x: sessions(x, "2 hours", watermark="10 minutes"), closing="3650 days")
+    return e.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), "events")
 
 
 @q("stream_pairing", """WITH a AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'view'), b AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase')
 SELECT event_id, count(*) AS completed, round(min(epoch_us(b.ts) - epoch_us(a.ts)) / 1000.0, 3) AS duration_ms FROM a JOIN b ON b.user_id = a.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR GROUP BY event_id""")
 def _(s, d):
-    from ..streaming.events import pair_calls
+    from ..streaming.events import pair_calls, replayed
 
-    e = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    a, b = e.where("event_type = 'view'").select("user_id", "event_id", "ts"), e.where("event_type = 'purchase'").select("user_id", "ts")
-    p = pair_calls(a, b, "user_id", "1 hour")
+    def pairs(x):
+        x = x.withColumn("ts", F.col("ts").cast("timestamp"))
+        a, b = x.where("event_type = 'view'").select("user_id", "event_id", "ts"), x.where("event_type = 'purchase'").select("user_id", "ts")
+        return pair_calls(a, b, "user_id", "1 hour", watermark="10 minutes")
+
+    p = replayed(table(s, d, "events").select("user_id", "event_id", "event_type", "ts"), pairs)
     return p.groupBy("event_id").agg(F.count("*").alias("completed"), F.round(F.min("duration_ms"), 3).alias("duration_ms"))
 
 
 @q("stream_stage_state", """WITH x AS (SELECT user_id, event_id, ts, event_id % 11 AS stage, max(event_id % 11) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events)
 SELECT event_id, stage, coalesce(stage >= before, TRUE) AS accepted FROM x""")
 def _(s, d):
-    from ..streaming.events import stage_transitions
+    from ..streaming.events import replayed, stage_stream
 
     e = table(s, d, "events").select("user_id", "event_id", "ts", (F.col("event_id") % 11).alias("stage"))
-    return stage_transitions(e, "user_id", "stage", ["ts", "event_id"]).select("event_id", "stage", "accepted")
+    forever = 3650 * 86_400_000
+    return replayed(e, lambda x: stage_stream(x, "user_id", "stage", ["ts", "event_id"], ttl_ms=forever)).select("event_id", "stage", "accepted")

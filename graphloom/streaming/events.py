@@ -6,10 +6,15 @@ stateful operators only.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
+
+from ..functions.cut import _path
 
 
 def sessions(events: DataFrame, gap: str, key: str = "user_id", watermark: str | None = None) -> DataFrame:
@@ -37,28 +42,89 @@ def stage_transitions(events: DataFrame, key: str, stage: str, order: list[str])
     return events.withColumn("accepted", F.coalesce(F.col(stage) >= F.max(stage).over(w), F.lit(True)))
 
 
-def stage_stream(events: DataFrame, key: str, stage: str, timeout_ms: int = 86_400_000) -> DataFrame:
-    """The same on a stream: state per key is the greatest stage so far, dropped after ``timeout_ms`` without events."""
-    import pandas as pd
-
-    kind = events.schema[key].dataType.simpleString()
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        top = state.get[0] if state.exists else -1
-        for d in batches:
-            d = d.sort_values("ts", kind="stable")
-            ok = []
-            for s in d[stage]:
-                ok.append(s >= top)
-                top = max(top, int(s))
-            yield pd.DataFrame({key: d[key], stage: d[stage].astype("int64"), "accepted": ok})
-        state.update((int(top),))
-        state.setTimeoutDuration(timeout_ms)
-
-    return events.select(key, "ts", F.col(stage).cast("long").alias(stage)).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {stage} long, accepted boolean", "top long", "append", "ProcessingTimeTimeout")
+class Stages(StatefulProcessor):
+    """Greatest stage of each key so far.  A key without events for ``ttl_ms`` of event time is forgotten, wherever batches end; a timer clears
+    what it held.  Rows of a batch are taken in the order given."""
+
+    def __init__(self, stage: str, order: list[str], columns: list[str], ttl_ms: int) -> None:
+        self.stage, self.order, self.columns, self.ttl_ms = stage, order, columns, ttl_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.top = handle.getValueState("top", "top long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        top = self.top.get()[0] if self.top.exists() else None
+        was = until = self.timer.get()[0] if self.timer.exists() else None
+        for r in sorted((r.asDict() for r in rows), key=lambda r: tuple(r[c] for c in self.order)):
+            at = int(r["ts"].timestamp() * 1000)
+            if until is not None and at > until:
+                top = None
+            accepted = top is None or r[self.stage] >= top
+            top = r[self.stage] if top is None else max(top, r[self.stage])
+            until = at + self.ttl_ms if until is None else max(until, at + self.ttl_ms)
+            yield Row(**{c: r[c] for c in self.columns}, accepted=accepted)
+        self.top.update((top,))
+        if until != was:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            self.handle.registerTimer(until)
+            self.timer.update((until,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.top.clear()
+        self.timer.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stage_stream(events: DataFrame, key: str, stage: str, order: list[str] | None = None, watermark: str = "10 minutes", ttl_ms: int = 86_400_000) -> DataFrame:
+    """The same on a stream: the columns of ``order`` (ts first) and ``accepted`` for each row, batch by batch.  State is one value a key, dropped
+    ``ttl_ms`` after its last event; rows behind the watermark are dropped before it.  The query starts under ``state_store``."""
+    order = order or ["ts"]
+    columns = list(dict.fromkeys([key, *order, stage]))
+    e = events.select(*columns).withColumn("ts", F.col("ts").cast("timestamp")).withColumn(stage, F.col(stage).cast("long")).withWatermark("ts", watermark)
+    out = T.StructType([*[e.schema[c] for c in columns], T.StructField("accepted", T.BooleanType())])
+    return e.groupBy(key).transformWithState(Stages(stage, order, columns, ttl_ms), out, "append", "EventTime")
+
+
+PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Keyed state with timers needs the RocksDB provider; the session has its own again afterwards."""
+    was = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, was) if was else spark.conf.unset(PROVIDER)
+
+
+def replayed(events: DataFrame, query: Callable[[DataFrame], DataFrame], batches: int = 4, closing: str | None = None) -> DataFrame:
+    """A table as a stream: its rows are written by ranges of ts, read one range a batch, and what ``query`` makes of the stream is run to its
+    end and read back.  With ``closing``, one more batch has the last row again, so much later, which lets the watermark close what
+    waits for it.  Rows without ts come first."""
+    spark = events.sparkSession
+    place = _path(spark)
+    time = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.select(F.percentile_approx(time, F.lit([k / batches for k in range(1, batches)]), F.lit(10_000))).first()[0] or [] if batches > 1 else []
+    dealt = events.withColumn("batch", sum((F.when(time > F.lit(c), 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0)))
+    dealt.repartition("batch").write.partitionBy("batch").parquet(f"{place}/dealt")
+    for k in range(len(set(cuts)) + 1):  # files in the order of time: a stream takes older ones first
+        spark.read.schema(events.schema).parquet(f"{place}/dealt/batch={k}").coalesce(1).write.mode("append").parquet(f"{place}/in")
+    if closing:
+        last = events.orderBy(F.desc_nulls_last("ts")).limit(1).withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {closing}"))
+        last.select(*[F.col(f.name).cast(f.dataType) for f in events.schema]).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    out = query(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in"))
+    with state_store(spark):
+        run = out.writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{place}/out")
+        run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{place}/out")
 
 
 def windowed_counts(events: DataFrame, width: str, slide: str | None = None, watermark: str | None = None, by: str = "event_type") -> DataFrame:
@@ -79,7 +145,8 @@ def append_log(events: DataFrame, path: str, checkpoint: str, form: str = "json"
 
 
 def fan_out(events: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], checkpoint: str, failed: list | None = None):
-    """Each batch to every sink; one that fails is noted in ``failed`` and doesn't stop the others."""
+    """Each batch to every sink; one that fails doesn't stop the others.  Its failure is noted in ``failed``, or, where none is given, written as a
+    row (sink, batch, error) beside the checkpoint, in ``failures``, for the batch doesn't come again."""
 
     def send(batch: DataFrame, number: int) -> None:
         batch.persist()
@@ -89,6 +156,8 @@ def fan_out(events: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]
             except Exception as e:  # a sink is foreign code
                 if failed is not None:
                     failed.append((name, number, str(e)))
+                else:
+                    batch.sparkSession.createDataFrame([(name, number, str(e))], "sink string, batch long, error string").write.mode("append").parquet(f"{checkpoint}/failures")
         batch.unpersist()
 
     return events.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
