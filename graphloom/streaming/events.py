@@ -115,8 +115,9 @@ def replayed(events: DataFrame, query: Callable[[DataFrame], DataFrame], batches
     cuts = events.select(F.percentile_approx(time, F.lit([k / batches for k in range(1, batches)]), F.lit(10_000))).first()[0] or [] if batches > 1 else []
     dealt = events.withColumn("batch", sum((F.when(time > F.lit(c), 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0)))
     dealt.repartition("batch").write.partitionBy("batch").parquet(f"{place}/dealt")
+    dealt = spark.read.schema(dealt.schema).parquet(f"{place}/dealt")
     for k in range(len(set(cuts)) + 1):  # files in the order of time: a stream takes older ones first
-        spark.read.schema(events.schema).parquet(f"{place}/dealt/batch={k}").coalesce(1).write.mode("append").parquet(f"{place}/in")
+        dealt.where(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(f"{place}/in")
     if closing:
         last = events.orderBy(F.desc_nulls_last("ts")).limit(1).withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {closing}"))
         last.select(*[F.col(f.name).cast(f.dataType) for f in events.schema]).coalesce(1).write.mode("append").parquet(f"{place}/in")
