@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import views as V
+from ..functions.cut import _path
 from ..sources.scan import scan
+from ..sources.versions import Versions, build, reindex
 from .projections import cte, frame, table
 from .registry import Registry
 
@@ -97,3 +99,19 @@ r AS (SELECT id, 'CALL' AS kind, 'm' || dst AS name, 'm' || id AS parent, 2 + k
 SELECT CAST(id AS VARCHAR) AS path, kind, name, parent, start_line, end_line, receiver, arguments, form FROM r""")
 def _(s, d):
     return scan(_sources(s, d)).select("path", "kind", "name", "parent", "start_line", "end_line", "receiver", "arguments", "form")
+
+
+@q("s19_incremental_graph", cte("calls", "nodes") + """, e AS (SELECT src, dst FROM calls JOIN nodes a ON a.id = src WHERE a.file_path LIKE 'src/core/%' OR edge_seq % 2 = 0),
+n AS (SELECT id, community FROM nodes WHERE file_path LIKE 'src/core/%' OR label <> 'File'),
+r AS (SELECT 'degree' AS part, CAST(id AS VARCHAR) AS a, '' AS b, sum(i) AS n, sum(o) AS m FROM (SELECT dst AS id, 1 AS i, 0 AS o FROM e UNION ALL SELECT src, 0, 1 FROM e) x GROUP BY id
+  UNION ALL SELECT 'module', x.community, y.community, count(*), 0 FROM e JOIN n x ON x.id = src JOIN n y ON y.id = dst WHERE x.community <> y.community GROUP BY 2, 3)
+SELECT part, a, b, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m FROM r""")
+def _(s, d):
+    n = frame(s, d, "nodes").select(F.col("id").cast("string").alias("id"), "file_path", "label", "name", F.col("community").alias("module"))
+    e = frame(s, d, "calls").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "type", "edge_seq").join(n.select(F.col("id").alias("src"), "file_path"), "src")
+    store = Versions(s, _path(s), 16)
+    build(store, n, e.select("src", "dst", "type", "file_path"))
+    changed = n.where("file_path NOT LIKE 'src/core/%'").select("file_path")
+    now = reindex(store, changed, n.where("label <> 'File'"), e.where("edge_seq % 2 = 0").select("src", "dst", "type", "file_path"))
+    degrees = store.read("degrees", now).select(F.lit("degree").alias("part"), F.col("id").alias("a"), F.lit("").alias("b"), F.col("callers").alias("n"), F.col("callees").alias("m"))
+    return degrees.unionAll(store.read("modules", now).select(F.lit("module"), "from", "to", "n", F.lit(0).cast("long")))
