@@ -94,15 +94,22 @@ def churn_summary(per_file: DataFrame) -> DataFrame:
     return per_file.agg(F.count("*").alias("total_files"), n.alias("with_churn"), four(F.coalesce(_ratio(n, F.count("*")), F.lit(0.0))).alias("churn_ratio"))
 
 
-def cochange_support(commit_files: DataFrame, min_support: int = 1) -> DataFrame:
+BLOCK = 512  # files of a commit that meet in one group
+
+
+def cochange_support(commit_files: DataFrame, min_support: int = 1, block: int = BLOCK) -> DataFrame:
     """file_a < file_b with the number of commits that hold both.  Files in fewer than ``min_support`` commits can't
-    reach it and are left out before the self-join."""
+    reach it and are left out before the join.  A commit of more than ``block`` files is cut into blocks of about that many, and each two of
+    its blocks are a group of their own, so that one commit's pairs spread over all cores."""
     if min_support > 1:
         often = commit_files.groupBy("file").agg(F.count("*").alias("c")).where(F.col("c") >= min_support).select("file")
         commit_files = commit_files.join(often, "file")
-    a, b = commit_files.alias("a"), commit_files.alias("b")
-    pairs = a.join(b, (F.col("a.commit_id") == F.col("b.commit_id")) & (F.col("a.file") < F.col("b.file")))
-    out = pairs.groupBy(F.col("a.file").alias("file_a"), F.col("b.file").alias("file_b")).agg(F.count("*").alias("support"))
+    size = commit_files.groupBy("commit_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    cut_ = commit_files.join(size, "commit_id").withColumn("own", F.pmod(F.xxhash64("file"), F.col("blocks")).cast("int"))
+    a = cut_.select("commit_id", F.col("file").alias("x"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    b = cut_.select("commit_id", F.col("file").alias("y"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"))
+    pairs = a.join(b, ["commit_id", "i", "j"]).where("i < j OR x < y")
+    out = pairs.groupBy(F.least("x", "y").alias("file_a"), F.greatest("x", "y").alias("file_b")).agg(F.count("*").alias("support"))
     return out.where(F.col("support") >= min_support) if min_support > 1 else out
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cut import Levels, cut
+from .prefix import prefix_sums
+
 
 def _ends(edges: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
     a, b = nodes.select(F.col("id").alias("src"), F.col(by).alias("from")), nodes.select(F.col("id").alias("dst"), F.col(by).alias("to"))
@@ -123,23 +126,35 @@ def module_diagram(counts: DataFrame, top: int = 10) -> DataFrame:
 
 def prefix_within_budget(files: DataFrame, budget: int, order: str = "seq", size: str = "tokens", by: str = "module") -> DataFrame:
     """Files of each module in order, up to the first that would overflow the budget."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return files.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
+    return prefix_sums(files, {"used": size}, [order], by=[by]).where(F.col("used") <= budget)
 
 
 def pack_chunks(files: DataFrame, budget: int, by: str, order: str, size: str) -> DataFrame:
-    """Greedy packing in order into chunks of at most ``budget`` (a larger file alone is its own chunk): adds chunk.  The fold
-    runs over one group's sizes only."""
-    g = files.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).alias("s")))).alias("f"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<o:bigint,s:bigint,chunk:int>>").alias("out"))
-
-    def step(a, x):
-        over = (a["used"] > 0) & (a["used"] + x["s"] > budget)
-        c = F.when(over, a["chunk"] + 1).otherwise(a["chunk"])
-        return F.struct(c.alias("chunk"), F.when(over, x["s"]).otherwise(a["used"] + x["s"]).cast("bigint").alias("used"), F.concat(a["out"], F.array(F.struct(x["o"].cast("bigint").alias("o"), x["s"].cast("bigint").alias("s"), c.alias("chunk")))).alias("out"))
-
-    r = g.select(by, F.explode(F.aggregate("f", start, step)["out"]).alias("x"))
-    return r.select(by, F.col("x.o").alias(order), F.col("x.s").alias(size), F.col("x.chunk").alias("chunk"))
+    """Greedy packing in order into chunks of at most ``budget`` (a larger file alone, or after files of size 0, is a chunk): adds chunk, from 0.
+    Each file points to where the next chunk would begin if one began with it, found by sorting its limit among the running
+    sums; from each group's first file, pointers that double mark the chunks that do begin.  No group is ever in one task."""
+    f = files.select(by, order, F.col(size).cast("long").alias(size))
+    f = cut(prefix_sums(f, {"_end": size, "_place": "1L"}, [order], by=[by]))
+    own = F.lit(None).cast("long")
+    ends = f.select(by, F.col("_end").alias("v"), F.lit(1).cast("long").alias("point"), F.col(size).alias("w"), own.alias("at"), own.alias("begin"))
+    limits = f.select(by, (F.col("_end") - F.col(size) + budget).alias("v"), F.lit(0).cast("long").alias("point"), F.lit(0).cast("long").alias("w"), F.col("_place").alias("at"), (F.col("_end") - F.col(size)).alias("begin"))
+    held = prefix_sums(ends.unionAll(limits), {"fit": "point", "sum": "w"}, ["v", F.desc("point")], by=[by]).where("at IS NOT NULL")
+    # of files that fit none may have a size: then the next one, whatever its size, belongs to them
+    step = held.select(by, "at", (F.col("fit") + F.when(F.col("sum") > F.col("begin"), 1).otherwise(2)).alias("to"))
+    ends_at = f.groupBy(by).agg(F.max("_place").alias("last"))
+    step = cut(step.join(ends_at, step[by].eqNullSafe(ends_at[by])).where("to <= last").select(step[by], "at", "to"))
+    begun = Levels(f.select(by, F.lit(1).cast("long").alias("at")).distinct())
+    while True:
+        known = begun.all()
+        new = begun.add(known.join(step, known[by].eqNullSafe(step[by]) & (known["at"] == step["at"])).select(known[by], F.col("to").alias("at")))
+        if new.isEmpty():
+            break
+        far = step.select(F.col(by).alias("_g"), F.col("at").alias("mid"), F.col("to").alias("end"))
+        step = cut(step.join(far, F.col(by).eqNullSafe(F.col("_g")) & (F.col("to") == F.col("mid"))).select(by, "at", F.col("end").alias("to")))
+    starts = begun.all().distinct().select(F.col(by).alias("_g"), F.col("at").alias("_at"))
+    marked = f.join(starts, F.col(by).eqNullSafe(F.col("_g")) & (F.col("_place") == F.col("_at")), "left").withColumn("_starts", F.col("_at").isNotNull().cast("int")).drop("_g", "_at")
+    out = prefix_sums(marked, {"chunk": "_starts"}, ["_place"], by=[by])
+    return out.select(by, order, size, (F.col("chunk") - 1).cast("int").alias("chunk"))
 
 
 def rank_strategies(strategies: DataFrame, problems: DataFrame, alternatives: int = 3) -> DataFrame:

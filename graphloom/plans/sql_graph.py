@@ -414,7 +414,11 @@ def _(s, d):
     return M.prefix_within_budget(t, 20000, "doc_id", "n_chars", "source")
 
 
-@q("s4_pack_chunks")
+@q("s4_pack_chunks", """WITH RECURSIVE f AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT source, doc_id, n_chars, k, 0 AS chunk, n_chars AS used FROM f WHERE k = 1
+  UNION ALL SELECT f.source, f.doc_id, f.n_chars, f.k, CASE WHEN used > 0 AND used + f.n_chars > 20000 THEN chunk + 1 ELSE chunk END, CASE WHEN used > 0 AND used + f.n_chars > 20000 THEN f.n_chars ELSE used + f.n_chars END
+  FROM r JOIN f ON f.source = r.source AND f.k = r.k + 1)
+SELECT source, doc_id, n_chars, chunk FROM r""")
 def _(s, d):
     return M.pack_chunks(table(s, d, "documents"), 20000, "source", "doc_id", "n_chars")
 

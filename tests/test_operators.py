@@ -68,6 +68,10 @@ def test_history_golden(spark):
     cf = spark.createDataFrame([(i, f) for i, c in enumerate(commits) for f in c], "commit_id int, file string")
     s = {(r["file_a"], r["file_b"]): r["support"] for r in H.cochange_support(cf).collect()}
     assert s[("a.py", "b.py")] == 3
+    assert {(r["file_a"], r["file_b"]): r["support"] for r in H.cochange_support(cf, block=1).collect()} == s
+    large = spark.createDataFrame([(1, i) for i in range(300)] + [(2, i) for i in range(0, 300, 50)] + [(3, 7)], "commit_id int, file int")
+    got = {(r["file_a"], r["file_b"]): r["support"] for r in H.cochange_support(large, block=32).collect()}
+    assert got == {(a, b): 1 + (a % 50 == b % 50 == 0) for b in range(300) for a in range(b)}
     r = H.cochange(cf, 3, 0.5).collect()
     assert [(x["file_a"], x["file_b"], x["confidence_ab"], x["confidence_ba"]) for x in r] == [("a.py", "b.py", 0.75, 1.0)]
     blame = spark.createDataFrame([("f", "x", 80), ("f", "y", 16), ("f", "z", 4)], "file string, author string, line_count long")
