@@ -131,9 +131,6 @@ def innermost_scope(points: DataFrame, scopes: DataFrame) -> DataFrame:
     return j.groupBy("point_id").agg(F.min_by("scope_id", F.struct(F.col("end_line") - F.col("start_line"), "scope_id")).alias("scope_id"))
 
 
-SCOPE_RANK = {"function": 1, "class": 2, "file": 3}
-
-
 def scoped_type(lookups: DataFrame, bindings: DataFrame) -> DataFrame:
     """lookups(lookup_id, file, name, scope), bindings(file, name, scope, type): the type in the nearest scope that isn't inside
     the asked one."""
