@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import modules as M
 from ..operators import rules as R
 from ..operators import search as S
+from ..operators import vectors as V
 from .projections import cte, frame, table
 from .registry import Registry
 
@@ -298,6 +299,21 @@ def _(s, d):
     return S.vector_top_k(e, first, within=0.9)
 
 
+@q("v4_nearest_exact", """WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings),
+x AS (SELECT q.vec_id AS query, n.vec_id, round(1 - list_dot_product(n.e, q.e) / (n.l * q.l), 6) AS distance FROM n, n q WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS rank FROM x) SELECT query, rank, vec_id, distance FROM r WHERE rank <= 10""")
+def _(s, d):
+    e = table(s, d, "embeddings")
+    return V.nearest_exact(e, e.where("vec_id % 50 = 0"))
+
+
+@q("v4_nearest_by_cells")
+def _(s, d):
+    e = table(s, d, "embeddings")
+    c = V.centres(e, 32)
+    return V.nearest_by_cells(V.celled(e, c), e.where("vec_id % 50 = 0"), c)
+
+
 @q("v3_hashed_encoding")
 def _(s, d):
     return table(s, d, "benchmark").select("item_id", S.hashed_encoding(F.col("text")).alias("embedding"))
