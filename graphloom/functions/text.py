@@ -179,14 +179,16 @@ def framework(path: Column) -> Column:
     return out
 
 
-ENTRY_NAME = (
-    r"^(?i:main|init|bootstrap|start|run|setup|configure)$|^handle[A-Z]|^on[A-Z]|Handler$|Controller$|^process[A-Z]|^execute[A-Z]|^perform[A-Z]|"
-    r"^dispatch[A-Z]|^trigger[A-Z]|^fire[A-Z]|^emit[A-Z]"
-)
-UTILITY_NAME = (
-    r"^(?:get|set|is|has|can|should|will|did)[A-Z]|^_|^(?i:format|parse|validate|convert|transform)|^(?i:log|debug|error|warn|info)$|^(?:to|from)[A-Z]|"
-    r"^(?i:encode|decode)|^(?i:serialize|deserialize)|Helper$|Util$|Utils$|^(?i:utils?)$|^(?i:helpers?)$"
-)
+#: Names of entries and of helpers.  Fixed values.
+ENTRY_NAMES = (
+    r"^(?i:main|init|bootstrap|start|run|setup|configure)$", r"^handle[A-Z]", r"^on[A-Z]", r"Handler$", r"Controller$", r"^process[A-Z]", r"^execute[A-Z]", r"^perform[A-Z]", r"^dispatch[A-Z]", r"^trigger[A-Z]", r"^fire[A-Z]",
+    r"^emit[A-Z]",
+)
+UTILITY_NAMES = (
+    r"^(?:get|set|is|has|can|should|will|did)[A-Z]", r"^_", r"^(?i:format|parse|validate|convert|transform)", r"^(?i:log|debug|error|warn|info)$", r"^(?:to|from)[A-Z]", r"^(?i:encode|decode)", r"^(?i:serialize|deserialize)",
+    r"Helper$", r"Util$", r"Utils$", r"^(?i:utils?)$", r"^(?i:helpers?)$",
+)
+ENTRY_NAME, UTILITY_NAME = "|".join(ENTRY_NAMES), "|".join(UTILITY_NAMES)
 
 
 def entry_score(name: Column, exported: Column, callers: Column, callees: Column, path: Column, with_framework: bool = True, test_penalty: bool = False) -> Column:
@@ -202,6 +204,7 @@ def entry_score(name: Column, exported: Column, callers: Column, callees: Column
 
 # ---------------------------------------------------------------- code
 
+#: Fixed values.
 CONSTRUCTOR_LANGUAGES = ("swift", "kotlin", "java", "csharp")
 
 
@@ -249,6 +252,7 @@ def tier_action(tier: Column) -> Column:
 
 # ---------------------------------------------------------------- claims
 
+#: Fixed values.
 CONJUNCTIONS = (" and ", " but ", " also ", " while ", " whereas ", "; ")
 
 

@@ -34,35 +34,35 @@ SOLID = (("srp", "single responsibility"), ("ocp", "open/closed"), ("lsp", "lisk
 
 #: id -> (name, category, severity, words that call for care, words that show it): fails when some of the first stand in
 #: the lower-cased text and none of the second.  Fixed values.
-KEYWORD_RULES: dict[int, tuple[str, str, str, str, str]] = {
-    12: ("clean_architecture", "structural_extended", WARNING, "technical,architecture", "port,adapter,interface,protocol,abstraction"),
-    32: ("input_sanitization", "security", CRITICAL, "user input,form data,request body,query param", "sanitiz,validat,escape,parameterized"),
-    33: ("auth_requirements", "security", CRITICAL, "api,endpoint,route,service", "authenticat,authoriz,oauth,jwt,rbac"),
-    34: ("encryption_at_rest", "security", CRITICAL, "password,credential,pii,personal data,sensitive", "encrypt,aes,hashing,bcrypt,argon"),
-    35: ("gdpr_compliance", "security", WARNING, "personal data,pii,user data,email,name,address", "gdpr,retention,consent,right to delete,data protection"),
-    38: ("data_residency", "security", WARNING, "database,storage,cloud,s3,blob", "region,residency,data location,jurisdiction"),
-    40: ("retry_logic", "resilience", WARNING, "http,api call,external service,network", "retry,backoff,exponential,tenacity"),
-    41: ("timeout_handling", "resilience", WARNING, "http,api,external,network,database", "timeout,deadline,time_limit,cancel"),
-    42: ("circuit_breaker", "resilience", WARNING, "microservice,external service,third-party,downstream", "circuit breaker,circuit_breaker,bulkhead,fallback"),
-    43: ("graceful_degradation", "resilience", WARNING, "dependency,external,service,integration", "fallback,graceful,degrade,offline,cache"),
-    44: ("race_condition_prevention", "resilience", CRITICAL, "concurrent,parallel,thread,async,actor", "lock,mutex,semaphore,actor isolation,sendable,atomic,serial queue"),
-    45: ("atomicity", "resilience", WARNING, "update,write,delete,insert,modify,state change", "atomic,transaction,rollback,compensat,saga"),
-    46: ("deadlock_prevention", "resilience", CRITICAL, "lock,mutex,semaphore,synchronized", "lock ordering,actor,deadlock,timeout"),
-    48: ("complexity_limit", "quality", WARNING, "complex,nested,deeply", "cyclomatic,complexity limit,extract,refactor,simplif"),
-    49: ("duplication_prevention", "quality", WARNING, "duplicate,copy,similar code", "dry,don't repeat,shared,common,extract,reuse"),
-    51: ("documentation", "quality", WARNING, "public func,public class,def ,export", 'docstring,documentation,/// ,""",jsdoc'),
-    53: ("test_coverage_requirement", "quality", WARNING, "test", "coverage,80%,90%,100%,threshold"),
-    54: ("edge_case_testing", "quality", WARNING, "test", "edge case,boundary,corner case,empty,null,zero,overflow"),
-    55: ("integration_testing", "quality", WARNING, "module,service,component,layer", "integration test,end-to-end,e2e,system test"),
-    56: ("performance_testing", "quality", WARNING, "performance,latency,throughput,response time", "benchmark,load test,performance test,stress test"),
-    57: ("regression_testing", "quality", WARNING, "test", "regression,ci/cd,continuous,automated test,pipeline"),
-    58: ("test_isolation", "quality", WARNING, "test", "isolat,independent,no shared state,fixture,setup,teardown"),
-    59: ("logging_strategy", "observability", WARNING, "service,api,endpoint,module", "logging,log level,structured log,logger"),
-    60: ("metrics_emission", "observability", WARNING, "operation,endpoint,transaction,request", "metric,counter,histogram,gauge,prometheus,datadog"),
-    61: ("alerting_thresholds", "observability", WARNING, "metric,monitor,sla,slo", "alert,threshold,pager,oncall,notification"),
-    62: ("trace_correlation", "observability", WARNING, "distributed,microservice,multi-service,cross-service", "trace,correlation id,request id,span,opentelemetry"),
-    63: ("dependency_pinning", "observability", WARNING, "dependency,package,library,module", "pin,lock,exact version,>=,==,requirements.txt,package-lock"),
-    64: ("vulnerability_scanning", "observability", WARNING, "ci/cd,pipeline,github actions,deployment", "vulnerability,security scan,dependabot,snyk,trivy,audit"),
+KEYWORD_RULES: dict[int, tuple[str, str, str, tuple[str, ...], tuple[str, ...]]] = {
+    12: ("clean_architecture", "structural_extended", WARNING, ("technical", "architecture"), ("port", "adapter", "interface", "protocol", "abstraction")),
+    32: ("input_sanitization", "security", CRITICAL, ("user input", "form data", "request body", "query param"), ("sanitiz", "validat", "escape", "parameterized")),
+    33: ("auth_requirements", "security", CRITICAL, ("api", "endpoint", "route", "service"), ("authenticat", "authoriz", "oauth", "jwt", "rbac")),
+    34: ("encryption_at_rest", "security", CRITICAL, ("password", "credential", "pii", "personal data", "sensitive"), ("encrypt", "aes", "hashing", "bcrypt", "argon")),
+    35: ("gdpr_compliance", "security", WARNING, ("personal data", "pii", "user data", "email", "name", "address"), ("gdpr", "retention", "consent", "right to delete", "data protection")),
+    38: ("data_residency", "security", WARNING, ("database", "storage", "cloud", "s3", "blob"), ("region", "residency", "data location", "jurisdiction")),
+    40: ("retry_logic", "resilience", WARNING, ("http", "api call", "external service", "network"), ("retry", "backoff", "exponential", "tenacity")),
+    41: ("timeout_handling", "resilience", WARNING, ("http", "api", "external", "network", "database"), ("timeout", "deadline", "time_limit", "cancel")),
+    42: ("circuit_breaker", "resilience", WARNING, ("microservice", "external service", "third-party", "downstream"), ("circuit breaker", "circuit_breaker", "bulkhead", "fallback")),
+    43: ("graceful_degradation", "resilience", WARNING, ("dependency", "external", "service", "integration"), ("fallback", "graceful", "degrade", "offline", "cache")),
+    44: ("race_condition_prevention", "resilience", CRITICAL, ("concurrent", "parallel", "thread", "async", "actor"), ("lock", "mutex", "semaphore", "actor isolation", "sendable", "atomic", "serial queue")),
+    45: ("atomicity", "resilience", WARNING, ("update", "write", "delete", "insert", "modify", "state change"), ("atomic", "transaction", "rollback", "compensat", "saga")),
+    46: ("deadlock_prevention", "resilience", CRITICAL, ("lock", "mutex", "semaphore", "synchronized"), ("lock ordering", "actor", "deadlock", "timeout")),
+    48: ("complexity_limit", "quality", WARNING, ("complex", "nested", "deeply"), ("cyclomatic", "complexity limit", "extract", "refactor", "simplif")),
+    49: ("duplication_prevention", "quality", WARNING, ("duplicate", "copy", "similar code"), ("dry", "don't repeat", "shared", "common", "extract", "reuse")),
+    51: ("documentation", "quality", WARNING, ("public func", "public class", "def ", "export"), ("docstring", "documentation", "/// ", '"""', "jsdoc")),
+    53: ("test_coverage_requirement", "quality", WARNING, ("test",), ("coverage", "80%", "90%", "100%", "threshold")),
+    54: ("edge_case_testing", "quality", WARNING, ("test",), ("edge case", "boundary", "corner case", "empty", "null", "zero", "overflow")),
+    55: ("integration_testing", "quality", WARNING, ("module", "service", "component", "layer"), ("integration test", "end-to-end", "e2e", "system test")),
+    56: ("performance_testing", "quality", WARNING, ("performance", "latency", "throughput", "response time"), ("benchmark", "load test", "performance test", "stress test")),
+    57: ("regression_testing", "quality", WARNING, ("test",), ("regression", "ci/cd", "continuous", "automated test", "pipeline")),
+    58: ("test_isolation", "quality", WARNING, ("test",), ("isolat", "independent", "no shared state", "fixture", "setup", "teardown")),
+    59: ("logging_strategy", "observability", WARNING, ("service", "api", "endpoint", "module"), ("logging", "log level", "structured log", "logger")),
+    60: ("metrics_emission", "observability", WARNING, ("operation", "endpoint", "transaction", "request"), ("metric", "counter", "histogram", "gauge", "prometheus", "datadog")),
+    61: ("alerting_thresholds", "observability", WARNING, ("metric", "monitor", "sla", "slo"), ("alert", "threshold", "pager", "oncall", "notification")),
+    62: ("trace_correlation", "observability", WARNING, ("distributed", "microservice", "multi-service", "cross-service"), ("trace", "correlation id", "request id", "span", "opentelemetry")),
+    63: ("dependency_pinning", "observability", WARNING, ("dependency", "package", "library", "module"), ("pin", "lock", "exact version", ">=", "==", "requirements.txt", "package-lock")),
+    64: ("vulnerability_scanning", "observability", WARNING, ("ci/cd", "pipeline", "github actions", "deployment"), ("vulnerability", "security scan", "dependabot", "snyk", "trivy", "audit")),
 }
 
 #: id -> (name, category, severity, pattern): fails when the pattern is found.  Fixed values.
@@ -117,9 +117,9 @@ def _has(df: DataFrame, column: str) -> bool:
     return column in df.columns
 
 
-def any_of(text: Column, words: str) -> Column:
+def any_of(text: Column, words: tuple[str, ...]) -> Column:
     out = F.lit(False)
-    for w in words.split(","):
+    for w in words:
         out = out | F.contains(text, F.lit(w))
     return out
 
@@ -209,7 +209,7 @@ def _(df):
 
 @_rule(10, "verification_metrics_disclaimer", "structural", WARNING)
 def _(df):
-    return ~_text(df).rlike(r"\d+%|\d+\.\d+") | any_of(F.lower(_text(df)), "projected,estimated,expected,approximate")
+    return ~_text(df).rlike(r"\d+%|\d+\.\d+") | any_of(F.lower(_text(df)), ("projected", "estimated", "expected", "approximate"))
 
 
 @_rule(11, "cross_ref_consistency", "structural_extended", WARNING)
@@ -273,7 +273,7 @@ def _(df):
 
 @_rule(23, "toc_present", "structural_extended", WARNING)
 def _(df):
-    return (F.regexp_count(_text(df), F.lit(r"(?m)^#{1,3}\s+(.+)$")) <= 5) | any_of(F.lower(_text(df)), "table of contents,## contents")
+    return (F.regexp_count(_text(df), F.lit(r"(?m)^#{1,3}\s+(.+)$")) <= 5) | any_of(F.lower(_text(df)), ("table of contents", "## contents"))
 
 
 @_rule(26, "file_size_limit", "architecture", CRITICAL)

@@ -39,8 +39,8 @@ def _samples(s):
     return s.createDataFrame(list(enumerate(SAMPLES)), "doc_id int, content string")
 
 
-def _any(words: str) -> str:
-    return "(" + " OR ".join(f"contains(l, {_quote(w)})" for w in words.split(",")) + ")"
+def _any(words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(l, {_quote(w)})" for w in words) + ")"
 
 
 BLOCKS = r"regexp_extract_all(c, '```[\s\S]*?```')"
@@ -59,14 +59,14 @@ def rule_sql(source: str, key: str, text: str, title: str | None) -> str:
     e[2] = "FALSE"
     e[3] = "(SELECT " + ID_RUN + r" FROM (SELECT list_transform(regexp_extract_all(c, 'AC-(\d{3})', 1), lambda y: CAST(y AS INTEGER)) AS x) z)"
     e[4] = r"len(list_filter(regexp_extract_all(c, '(?i)CREATE\s+(?:TYPE|TABLE)\s+(\w+)', 1), lambda n: length(c) - length(replace(c, n, '')) < 2 * length(n))) = 0"
-    e[10] = r"NOT regexp_matches(c, '\d+%|\d+\.\d+') OR " + _any("projected,estimated,expected,approximate")
+    e[10] = r"NOT regexp_matches(c, '\d+%|\d+\.\d+') OR " + _any(("projected", "estimated", "expected", "approximate"))
     e[11] = r"len(list_filter(regexp_extract_all(c, '(?i)(?:see|ref|refer to)\s+((?:FR|AC|STORY)-\d+)', 1), lambda y: NOT list_contains(regexp_extract_all(c, '((?:FR|AC|STORY)-\d+)', 1), y))) = 0"
     e[13] = "contains(l, 'self-check')"
     e[14] = "TRUE"
     e[16] = "len(list_filter(" + BLOCKS + r", lambda b: regexp_matches(b, 'import\s+subprocess|os\.system|shutil'))) = 0"
     e[20] = "len(list_filter(" + BLOCKS + ", lambda b: " + LOGICAL.format(lines="string_split(b, chr(10))", skip="^(?://|#|```)") + " > 50)) = 0"
     e[22] = " AND ".join("(SELECT " + ID_RUN + rf" FROM (SELECT list_distinct(list_transform(regexp_extract_all(c, '{p}-(\d+)', 1), lambda y: TRY_CAST(y AS BIGINT))) AS x) z)" for p in ("FR", "AC", "STORY"))
-    e[23] = r"len(regexp_extract_all(c, '(?m)^#{1,3}\s+(.+)$')) <= 5 OR " + _any("table of contents,## contents")
+    e[23] = r"len(regexp_extract_all(c, '(?m)^#{1,3}\s+(.+)$')) <= 5 OR " + _any(("table of contents", "## contents"))
     e[27] = "len(list_filter(" + BLOCKS + r", lambda b: len(list_filter(list_slice(string_split_regex(b, '\n(?:def |func |fn )'), 2, 100000), lambda p: " + LOGICAL.format(lines="string_split(p, chr(10))", skip="^(?:#|//)") + " > 40)) > 0)) = 0"
     e[30] = " + ".join(f"CASE WHEN contains(l, '{a}') OR contains(l, '{b}') THEN 0 ELSE 1 END" for a, b in R.SOLID) + " <= 2"
     e[50] = r"len(list_filter(regexp_extract_all(c, '```(?:python|swift|typescript)[\s\S]*?```'), lambda b: contains(b, 'Any') AND NOT contains(lower(b), 'type hint'))) = 0"
