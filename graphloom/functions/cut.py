@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _path(spark: SparkSession) -> str:
+def new_path(spark: SparkSession) -> str:
     """A new place in spark.checkpoint.dir; a folder is made only where none is set and driver and executors are one
     process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -24,7 +24,7 @@ def _path(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once and read back."""
     spark = df.sparkSession
-    path = _path(spark)
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -37,7 +37,7 @@ class Levels:
         self.last = self.add(first)
 
     def add(self, df: DataFrame) -> DataFrame:
-        self.paths.append(_path(self.spark))
+        self.paths.append(new_path(self.spark))
         df.write.parquet(self.paths[-1])
         self.last = self.spark.read.schema(self.schema).parquet(self.paths[-1])
         return self.last

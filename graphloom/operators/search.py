@@ -46,7 +46,7 @@ def _bm25(m: DataFrame, terms: list[str], key: str, hit: Column, tfs: list[Colum
 
 def any_term(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """BM25 over documents with any of the query's distinct terms."""
-    terms = list(dict.fromkeys(_plain(query)))
+    terms = list(dict.fromkeys(plain_terms(query)))
     m = _matched(docs, terms, key, text)
     tfs = [F.col(f"tf{i}") for i in range(len(terms))]
     return _bm25(m, terms, key, F.greatest(*tfs, F.lit(0)) > 0, tfs)
@@ -60,7 +60,7 @@ def phrase_count(words: Column, terms: list[str]) -> Column:
 
 def phrase(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """BM25 with the whole query as one term: only documents that hold its words in a row."""
-    terms = _plain(query)
+    terms = plain_terms(query)
     words = tokens(F.coalesce(F.col(text), F.lit("")))
     # the cheap test first: places are looked at only where the first word stands
     count = F.when(F.array_contains("w", F.lit(terms[0])), phrase_count(F.col("w"), terms)).otherwise(0)
@@ -68,7 +68,8 @@ def phrase(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text")
     return _bm25(m, [query], key, F.col("tf0") > 0, [F.col("tf0")])
 
 
-def _plain(query: str) -> list[str]:
+def plain_terms(query: str) -> list[str]:
+    """The words of a query, as ``tokens`` cuts them."""
     import re
 
     return [w for w in re.split(r"[\W_]+", query.lower()) if w]

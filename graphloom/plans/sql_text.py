@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import index as I
 from ..operators import modules as M
 from ..operators import rules as R
 from ..operators import search as S
@@ -250,6 +251,16 @@ def _(s, d):
     return S.postings(table(s, d, "documents")).select("term", "doc_id", "tf")
 
 
+@q("f4_index_top_k", bm25_sql(QUERY, ONE) + "SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 20")
+def _(s, d):
+    return I.top_k(s, I.build(table(s, d, "documents")), " ".join(QUERY), 20)
+
+
+@q("f1_index_phrase", PHRASE + "SELECT * FROM sc")
+def _(s, d):
+    return I.phrase(s, I.build(table(s, d, "documents")), "that the")
+
+
 @q("f2_like", "SELECT doc_id, CASE WHEN source ILIKE '%src1%' THEN 0 ELSE 1 END AS place FROM documents WHERE source ILIKE '%src1%' OR text ILIKE '%src1%'")
 def _(s, d):
     return S.like(table(s, d, "documents"), "src1", "source", "text").select("doc_id", "place")

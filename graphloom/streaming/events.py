@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..functions.cut import _path
+from ..functions.cut import new_path
 
 
 def sessions(events: DataFrame, gap: str, key: str = "user_id", watermark: str | None = None) -> DataFrame:
@@ -110,7 +110,7 @@ def replayed(events: DataFrame, query: Callable[[DataFrame], DataFrame], batches
     end and read back.  With ``closing``, one more batch has the last row again, so much later, which lets the watermark close what
     waits for it.  Rows without ts come first."""
     spark = events.sparkSession
-    place = _path(spark)
+    place = new_path(spark)
     time = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = events.select(F.percentile_approx(time, F.lit([k / batches for k in range(1, batches)]), F.lit(10_000))).first()[0] or [] if batches > 1 else []
     dealt = events.withColumn("batch", sum((F.when(time > F.lit(c), 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0)))
