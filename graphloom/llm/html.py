@@ -4,10 +4,11 @@ A page is read into a tree of its block elements.  Each block of text passes poi
 above it: one, one more for each comma and for each hundred characters up to three (a block of under 25
 characters only its hundredths), the whole to its container and to ``article`` and ``main`` above it, half to
 the next, less above.  An element's points are discounted by its link density.  The best element is kept with
-those siblings that score alike or read like prose, without the lists in it that are links almost
-throughout.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out
+those siblings, of its own and of the elements above it up to the page or the article, that score alike, look alike or read like prose, and with the headings
+before them, without the lists that are links almost throughout (those under a heading of an ``article`` stay).  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out
 wherever they stand, told by element, role or class; classes that only hint at such (``related``, ``social``)
-leave out what is short or full of links.  All passes are linear in the page.
+leave out what is short or full of links; so do words that name a section (``id``), stand beside words that no layout uses (``login-guide``) or
+name what a paragraph can't be.  A button or picture inside a sentence doesn't part it.  All passes are linear in the page.
 
 Defined cases: null or empty html gives an empty text; a page without markup is its own text; unclosed and
 stray tags are repaired as browsers do for paragraphs, list items and table cells; repeated rows are
@@ -17,6 +18,7 @@ extracted each by itself; other columns than page_id, url and html are ignored.
 from __future__ import annotations
 
 import bisect
+import functools
 import html as _html
 import re
 
@@ -51,6 +53,18 @@ WORDS = _S(
 )
 #: Words that only hint at it: prose of the article under them stays.
 HINTS = _S("side share sharing social related recommended recommendations widget widgets subscribe subscription skip")
+#: Words that name layout: beside them a word of WORDS keeps its meaning, beside others it only hints.
+LAYOUT = _S(
+    "box bar container wrapper wrap block top bottom left right main inner outer slot unit text form list link links item items area zone site page global web "
+    "content section module panel row col column group holder body title label button btn image img large small mobile desktop fixed sticky native inline in the my js"
+)
+#: Words of WORDS that name what a paragraph can't be.
+STRUCTURES = _S(
+    "sidebar sidebars menu menus nav navbar navigation breadcrumbs footer header masthead signup signin login pagination pager toolbar topbar bottombar modal popup overlay"
+)
+ANCHORED = _S("section p h1 h2 h3 h4 h5 h6 dt dd")  # their ids name places in the text
+INLINE = _S("button svg canvas select datalist")  # left out of a sentence without parting it
+_ENDS = (".", "!", "?", "…", "\"", "”", "»", ")", ":", ";", "。")
 COMMENTS = _S("comment comments commentlist disqus respond replies")
 _CLOSES_P = BLOCK - _S("button option optgroup select datalist map object")
 _SAME = {
@@ -69,11 +83,13 @@ _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
 class _Node:
-    __slots__ = ("tag", "up", "off", "soft", "hint", "score", "chars", "links", "blocks", "prose", "holds", "depth", "around")
+    __slots__ = ("tag", "up", "off", "soft", "hint", "score", "chars", "links", "blocks", "prose", "holds", "depth", "around", "points", "mark", "closed")
 
     def __init__(self, tag: str, up: "_Node | None", off: bool, soft: bool, hint: bool) -> None:
         self.tag, self.up, self.off, self.soft, self.hint = tag, up, off, soft, hint
-        self.score = 0.0
+        self.score = self.points = 0.0
+        self.mark = ""  # its class
+        self.closed = False  # its last block ends like a sentence
         self.chars = self.links = self.blocks = 0
         self.prose = 0  # characters of its own and of paragraphs right below
         self.holds = False  # an article, main or h1 stands below
@@ -95,13 +111,18 @@ def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
         name = name.lower()
         value = value.strip("\"'")
         if name in ("class", "id"):
-            w = {x.lower() for x in _NAME.findall(value)}
-            if w & COMMENTS:
-                off = True
-            elif w & WORDS:
-                soft = True
-            elif w & HINTS:
-                hint = True
+            for token in value.split():
+                w = {x.lower() for x in _NAME.findall(token)}
+                if w & COMMENTS:
+                    off = True
+                elif w & WORDS:
+                    other = any(len(x) > 1 and not x.isdigit() for x in w - WORDS - HINTS - LAYOUT)
+                    if other or name == "id" and tag in ANCHORED or tag == "p" and w & WORDS <= STRUCTURES:
+                        hint = True
+                    else:
+                        soft = True
+                elif w & HINTS:
+                    hint = True
         elif name == "role" and value.lower() in ROLES:
             soft = True
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -115,6 +136,16 @@ def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
     return off, soft or tag == "header", hint
 
 
+def _class_of(attrs: str) -> str:
+    return next((v.strip("\"'").strip() for k, v in _ATTR.findall(attrs) if k.lower() == "class"), "") if attrs.strip() else ""
+
+
+@functools.cache
+def _ends_inline(tag: str) -> re.Pattern:
+    """The element's end, or what shows that it wasn't closed in its sentence."""
+    return re.compile(rf"</?{tag}(?=[\s/>])[^>]*>|</?(?:p|div|article|section|main|body|ul|ol|li|table|td|h[1-6])(?=[\s/>])", re.I)
+
+
 def _read(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
     """Blocks of text (element, text, characters in links), in page order, and all elements."""
     root = _Node("html", None, False, False, False)
@@ -196,6 +227,11 @@ def _read(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
         if tag == "a":
             link = 1
             continue
+        if tag in INLINE and run:
+            m = _ends_inline(tag).search(page, pos, end)
+            if m and m[0].lower().startswith(f"</{tag}"):
+                pos = m.end()
+                continue
         if tag not in BLOCK:
             marks = _marks(tag, attrs) if attrs else (False, False, False)
             if any(marks):
@@ -215,6 +251,7 @@ def _read(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
         if tag == "body" and places.get("head"):
             pop_to(places["head"][0])
         node = _Node(tag, stack[-1], *_marks(tag, attrs))
+        node.mark = _class_of(attrs)
         if tag in ("article", "main", "h1"):
             up = node.up
             while up is not None and not up.holds:
@@ -235,7 +272,7 @@ def _weigh(blocks: list[tuple[_Node, str, int]], nodes: list[_Node]) -> None:
     """Give each element its score and its numbers of characters, characters in links and blocks; parents come before children in
     ``nodes``."""
     for n in nodes:
-        n.score, n.chars, n.links, n.blocks, n.prose = 0.0, 0, 0, 0, 0
+        n.score, n.points, n.chars, n.links, n.blocks, n.prose, n.closed = 0.0, 0.0, 0, 0, 0, 0, False
     for node, text, links in blocks:
         node.chars += len(text)
         node.links += links
@@ -244,6 +281,8 @@ def _weigh(blocks: list[tuple[_Node, str, int]], nodes: list[_Node]) -> None:
         if node.tag == "p" and node.up is not None:
             node.up.prose += len(text)
         points = 1 + text.count(",") + min(len(text) / 100, 3) if len(text) >= 25 else len(text) / 100
+        node.points += points
+        node.closed = text.endswith(_ENDS)
         up = first = node if node.tag in _OWN or node.up is None else node.up
         level = 0
         while up is not None and level < LEVELS:
@@ -256,6 +295,8 @@ def _weigh(blocks: list[tuple[_Node, str, int]], nodes: list[_Node]) -> None:
             up, level = up.around, level + 1
     for n in reversed(nodes):
         if n.up is not None:
+            n.up.closed = n.up.closed or n.closed
+            n.up.points += n.points
             n.up.chars += n.chars
             n.up.links += n.links
             n.up.blocks += n.blocks
@@ -276,26 +317,59 @@ def _left_out(nodes: list[_Node], strict: bool) -> set[int]:
     return out
 
 
+def _beside(best: _Node, nodes: list[_Node]) -> set[int]:
+    """The best element and what stands beside it, or beside an element around it, and belongs to the text."""
+    path = [best]
+    while path[-1].up is not None and path[-1].tag not in ("article", "main"):
+        path.append(path[-1].up)
+    children: dict[int, list[_Node]] = {id(up): [] for up in path[1:]}
+    for n in nodes:
+        if n.up is not None and n.chars and id(n.up) in children:
+            children[id(n.up)].append(n)
+    keep = {id(best)}
+    bar = 0.2 * best.points * (1 - best.density())
+    for level, (on, up) in enumerate(zip(path, path[1:])):
+        page = up.tag in ("html", "body")
+        follows = False  # what comes next belongs to the text
+        for n in reversed(children[id(up)]):
+            density = n.density()
+            alike = n.points * (1 - density) >= bar or n.tag == on.tag and n.mark != "" and n.mark == on.mark
+            if n is on:
+                kept = True
+            elif n.tag in _HEADINGS:
+                kept = density < 0.5 and (n.tag == "h1" or level == 0 and (n.tag == "h2" or not page and density < 0.25) or follows)
+            elif n.tag == "header":
+                kept = level == 0 or follows
+            elif n.tag == "p":
+                kept = (level == 0 or not page) and (n.chars > 80 and density < 0.25 or level == 0 and density == 0)
+            elif level == 0 and n.tag in _PARTS and not page:
+                kept = density < 0.25
+            else:
+                kept = alike and density < 0.33 or not page and density == 0 and n.closed
+            if kept and n is not on:
+                keep.add(id(n))
+            follows = kept
+    return keep
+
+
 def _choose(blocks: list[tuple[_Node, str, int]], nodes: list[_Node]) -> list[str]:
     _weigh(blocks, nodes)
     rank = lambda n: n.score * (1 - n.density())
     best = max(nodes, key=lambda n: (rank(n), n.tag in ("article", "main"), n.depth))
-    keep = {id(best)}
-    if rank(best) <= 0:
-        keep = {id(n) for n in nodes}
-    elif best.up is not None and best.tag not in ("article", "main"):
-        bar = 0.2 * rank(best)
-        for n in nodes:
-            if n.up is not best.up or n is best or not n.chars:
-                continue
-            density = n.density()
-            if rank(n) >= bar and density < 0.33 or n.tag in ("h1", "h2", "header") or n.tag == "p" and (n.chars > 80 and density < 0.25 or density == 0):
-                keep.add(id(n))
-            elif n.tag in _PARTS and density < 0.25 and best.up.tag not in ("html", "body"):
-                keep.add(id(n))
+    keep = {id(n) for n in nodes} if rank(best) <= 0 else _beside(best, nodes)
+    headed: set[int] = set()  # lists of an article that follow or begin with a heading
+    last: dict[int, str] = {}
+    for n in nodes:
+        if n.up is not None and n.chars:
+            if n.around is not None and n.around.tag == "article":
+                if last.get(id(n.up)) in _HEADINGS:
+                    headed.add(id(n))
+                if n.tag in _HEADINGS and id(n.up) not in last:
+                    headed.add(id(n.up))
+            last[id(n.up)] = n.tag
     inside: set[int] = set()
     for n in nodes:
-        if (id(n) in keep or n.up is not None and id(n.up) in inside) and not (n.tag in LISTS and n.blocks > 2 and n.density() >= 0.9):
+        if (id(n) in keep or n.up is not None and id(n.up) in inside) and not (n.tag in LISTS and n.blocks > 2 and n.density() >= 0.9 and id(n) not in headed):
             inside.add(id(n))
     return [t for n, t, _ in blocks if id(n) in inside]
 

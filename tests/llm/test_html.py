@@ -39,6 +39,45 @@ def test_scores_decide_inside_main():
     assert main_text(parts) == "\n".join([PROSE, PROSE, "one", "two"])
 
 
+def test_sections_without_article_or_main():
+    section = f"<div class=c><div><h2>S</h2><p>{PROSE}</p></div></div>"
+    assert main_text(f"<body>{section * 6}</body>") == "\n".join(["S", PROSE] * 6)
+    long = f"<p>{PROSE}</p>" * 10
+    assert main_text(f"<body><div class=body>{long}</div><div class=body><p>Short closing words.</p></div></body>").endswith(f"{PROSE}\nShort closing words.")
+    assert main_text(f"<body><div class=post><div class=p1><p>{PROSE}</p><p>{PROSE}</p></div><div class=p2>Short tail, end.</div></div></body>") == "\n".join([PROSE, PROSE, "Short tail, end."])
+    assert main_text(f"<body><h1>Title</h1><div><div><p>{PROSE}</p><p>{PROSE}</p></div></div></body>") == "\n".join(["Title", PROSE, PROSE])
+    menu = "".join(f'<li><a href="/{i}">Another story number {i}, with a long title, and commas</a></li>' for i in range(9))
+    page = f"<body><div id=a><ul>{menu}</ul></div><div class=w><div class=w>{section * 3}</div><div class=ad>{PROSE}</div></div><div id=b><h3>More</h3><ul>{menu}</ul></div></body>"
+    assert main_text(page) == "\n".join(["S", PROSE] * 3)
+
+
+def test_names_that_only_sound_like_layout():
+    for part in ("<section id=promotion>{}</section>", "<div class=login-guide>{}</div>", "<p class=notice-of-motion>{}</p>", "<p class=login>{}</p>"):
+        assert main_text(f"<body><article><p>{PROSE}</p>{part.format(PROSE)}</article></body>") == f"{PROSE}\n{PROSE}"
+    for part in ("<div class=ad-box>{}</div>", "<div class='cookie-notice'>{}</div>", "<p class=ad>{}</p>", "<div class=newsletter-signup>{}</div>", "<div id=sidebar>{}</div>"):
+        assert main_text(f"<body><article><p>{PROSE}</p>{part.format(PROSE)}</article></body>") == PROSE
+
+
+def test_lists_of_sources_and_buttons_in_sentences():
+    sources = "".join(f'<li><a href="/{i}">Author {i}, a work, a year</a></li>' for i in range(5))
+    assert main_text(f"<body><article><p>{PROSE}</p><h2>References</h2><ol>{sources}</ol></article></body>").split("\n")[1:] == ["References"] + [f"Author {i}, a work, a year" for i in range(5)]
+    assert main_text(f"<body><article><section><h2>References</h2><ol>{sources}</ol></section><p>{PROSE}</p></article></body>").count("Author") == 5
+    assert main_text(f"<body><article><p>{PROSE} press <button type=x>OK</button> now <svg><title>no</title><path d=1 /></svg>too</p></article></body>") == f"{PROSE} press now too"
+    assert main_text(f"<body><article><p>x <button>never closed<p>{PROSE}</p></article></body>").startswith("x")
+
+
+def test_generated_pages_without_semantic_elements(spark):
+    """The same pages with their article cut into unnamed sections, beside the menu and the advert."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
+    wrong = 0
+    for (page,) in rows:
+        want = main_text(page)
+        wrong += main_text(re.sub(r"<article>(.*?)</article>", r"<div><div class=part>\1</div></div>", page, flags=re.S)) != want
+        halves = re.sub(r"<article>(.*?</p>)(.*?)</article>", r"<div><div class=part>\1</div><div class=part>\2</div></div>", page, flags=re.S)
+        wrong += main_text(halves) != want
+    assert wrong == 0, wrong
+
+
 def test_long_pages_take_linear_time():
     began = time.process_time()
     for unit in ("<ul>", "<a ", "<li>", "<p><ul>", "<span class=ad>", "</p>", "<table><td>", "<!-", "<p><button>", "<article>", "<header><h1>", "</span>", "<dd>"):
