@@ -1,4 +1,4 @@
-"""A stored inverted index: postings in blocks of documents, with the greatest impact of each block.
+"""A stored inverted index: postings in blocks of documents, with a bound of each block's impact.
 
 ``build`` cuts the documents of each scan task into blocks of a bounded number of words and inverts each block where it was read, so no
 word is shuffled.  A row is one term in one block (how many documents, the greatest count and the least length among them, documents, counts,
