@@ -123,12 +123,28 @@ def rust_candidates(module: Column, crate_root: Column, here: Column) -> Column:
 
 def innermost_scope(points: DataFrame, scopes: DataFrame) -> DataFrame:
     """points(point_id, file, line), scopes(file, scope_id, start_line, end_line) -> point_id, scope_id: the narrowest range
-    around the line, the first by id on ties.  Ranges are dealt to blocks of lines, so it is an equi-join on (file, block)."""
-    size = 64
-    s = scopes.withColumn("block", F.explode(F.sequence(F.floor(F.col("start_line") / size), F.floor(F.col("end_line") / size))))
-    p = points.withColumn("block", F.floor(F.col("line") / size))
-    j = p.join(s, ["file", "block"]).where("line BETWEEN start_line AND end_line")
-    return j.groupBy("point_id").agg(F.min_by("scope_id", F.struct(F.col("end_line") - F.col("start_line"), "scope_id")).alias("scope_id"))
+    around the line, the first by id on ties.  A range is cut into the blocks of 2^k lines that it covers (two for each k at most),
+    of a block's ranges only the best is kept, and a distinct (file, line) looks up its own block of every size that the file has:
+    the rows grow with ranges and points, never with their pairs."""
+    a, end = F.col("start_line").cast("long"), F.col("end_line").cast("long") + 1  # end: the first line behind
+
+    def blocks(k):
+        low, high = -F.call_function("shiftright", -a, k), F.call_function("shiftright", end, k)
+        odd = lambda c: c.bitwiseAND(F.lit(1)) == 1
+        return F.array(
+            F.struct(k.alias("size"), F.when((low < high) & odd(low), low).alias("block")),
+            F.struct(k.alias("size"), F.when((low < high) & odd(high), high - 1).alias("block")),
+        )
+
+    best = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("width"), "scope_id"))
+    distinct = scopes.groupBy("file", "start_line", "end_line").agg(F.min("scope_id").alias("scope_id"))
+    cover = distinct.select("*", F.inline(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), blocks)))).where("block IS NOT NULL")
+    cover = cover.groupBy("file", "size", "block").agg(best.alias("best"))
+    sizes = cover.groupBy("file").agg(F.collect_set("size").alias("sizes"))  # 63 at most
+    asked = points.select("file", "line").distinct().join(sizes, "file").select("file", "line", F.explode("sizes").alias("size"))
+    hit = asked.withColumn("block", F.call_function("shiftright", F.col("line").cast("long"), F.col("size"))).join(cover, ["file", "size", "block"])
+    hit = hit.groupBy("file", "line").agg(F.min("best").alias("best"))
+    return points.join(hit, ["file", "line"]).groupBy("point_id").agg(F.min("best").alias("best")).select("point_id", F.col("best.scope_id").alias("scope_id"))
 
 
 def scoped_type(lookups: DataFrame, bindings: DataFrame) -> DataFrame:
