@@ -18,6 +18,12 @@ def _clamp(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
+def _six(c: Column) -> Column:
+    """Six places as SQL engines round doubles, scaled in doubles (0.5203125 * 1e6 is under 520312.5), where Spark's round goes by the
+    shortest decimal text of the number."""
+    return F.round(c * 1e6) / 1e6
+
+
 def agreement(variance: Column) -> Column:
     return F.when(variance < HIGH, "high").when(variance < MEDIUM, "medium").otherwise("low")
 
@@ -33,7 +39,7 @@ def weighted_average(evaluations: DataFrame) -> DataFrame:
     level = F.col("agreement_level")
     conf = F.when(level == "high", F.least(F.lit(1.0), F.col("c") * BOOST)).when(level == "low", F.col("c") * PENALTY).otherwise(F.col("c"))
     act = F.when((level == "medium") & (F.col("s") < REVIEW), "flag_for_review").when((level == "low") & (F.col("s") < REJECT), "reject").otherwise("accept")
-    return g.select("claim_id", "n", F.round("s", 6).alias("consensus_score"), F.round(conf, 6).alias("consensus_confidence"), "agreement_level", act.alias("resolution"))
+    return g.select("claim_id", "n", _six(F.col("s")).alias("consensus_score"), _six(conf).alias("consensus_confidence"), "agreement_level", act.alias("resolution"))
 
 
 def bayesian(evaluations: DataFrame, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
@@ -143,8 +149,8 @@ def adaptive_stability(evaluations: DataFrame, threshold: float = 0.1, min_sampl
     size = F.ceil(F.round((F.greatest(F.lit(0.1), F.col("mean") * ratio) + F.greatest(F.lit(0.1), (1 - F.col("mean")) * ratio)) / threshold, 6))
     need = F.when(F.col("v") < 1e-10, min_samples).otherwise(F.greatest(F.lit(min_samples), F.least(size, F.lit(max_samples))))
     return g.select(
-        "claim_id", F.round("s", 6).alias("consensus_score"), F.round(F.least(F.lit(1.0), F.when(stable, F.col("c") * BOOST).otherwise(F.col("c"))), 6).alias("consensus_confidence"),
-        agreement(F.col("v")).alias("agreement_level"), F.round("ks", 6).alias("ks"), done.alias("converged"), F.when(done, "accept").otherwise("re_evaluate").alias("resolution"),
+        "claim_id", _six(F.col("s")).alias("consensus_score"), _six(F.least(F.lit(1.0), F.when(stable, F.col("c") * BOOST).otherwise(F.col("c")))).alias("consensus_confidence"),
+        agreement(F.col("v")).alias("agreement_level"), _six(F.col("ks")).alias("ks"), done.alias("converged"), F.when(done, "accept").otherwise("re_evaluate").alias("resolution"),
         F.when(done, 1).otherwise(need).cast("int").alias("iteration_count"),
     )
 
@@ -171,7 +177,7 @@ def fuse(estimates: DataFrame, weights: dict[str, float] | None = None) -> DataF
     spread = F.col("u") + F.col("d") * 0.5
     agree = F.round(1 - F.col("d"), 9)
     g = g.withColumn("f", F.when((agree > 0.8) & (F.col("f") > 0.7), F.least(F.lit(1.0), F.col("f") + (agree - 0.8) * 0.2)).otherwise(F.col("f")))
-    return g.select("group_id", F.round("f", 6).alias("point"), F.round(F.greatest(F.lit(0.0), F.col("f") - spread), 6).alias("lower"), F.round(F.least(F.lit(1.0), F.col("f") + spread), 6).alias("upper"))
+    return g.select("group_id", _six(F.col("f")).alias("point"), _six(F.greatest(F.lit(0.0), F.col("f") - spread)).alias("lower"), _six(F.least(F.lit(1.0), F.col("f") + spread)).alias("upper"))
 
 
 def compound_score(signals: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
