@@ -32,10 +32,11 @@ def with_language(files: DataFrame) -> DataFrame:
     return files.withColumn("language", X.language(F.col("path")))
 
 
-def snippet(content: Column, start: Column, end: Column, before: int = 2, after: int = 2, most: int = 5000) -> Column:
-    """Lines start - before .. end + after (from 0) of a text, cut at ``most`` characters."""
+def snippet(content: Column, start: Column, end: Column, before: int = 2, after: int = 2, most: int | None = 5000) -> Column:
+    """Lines start - before .. end + after (from 0) of a text, cut at ``most`` characters (None: whole)."""
     first = F.greatest(start - before, F.lit(0)) + 1
-    return F.left(F.array_join(F.slice(F.split(content, "\n"), first, F.greatest(end + after + 2 - first, F.lit(0))), "\n"), F.lit(most))
+    lines = F.array_join(F.slice(F.split(content, "\n"), first, F.greatest(end + after + 2 - first, F.lit(0))), "\n")
+    return lines if most is None else F.left(lines, F.lit(most))
 
 
 def is_binary(content: Column) -> Column:
