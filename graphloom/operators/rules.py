@@ -113,6 +113,18 @@ def _text(_: DataFrame) -> Column:
     return F.coalesce(F.col("content"), F.lit(""))
 
 
+LOWERED = "_lowered"
+
+
+def _low(df: DataFrame) -> Column:
+    return F.col(LOWERED) if _has(df, LOWERED) else F.lower(_text(df))
+
+
+def lowered(artifacts: DataFrame) -> DataFrame:
+    """With the lower-cased text as a column of its own, for half of the rules look into it."""
+    return artifacts.withColumn(LOWERED, F.lower(_text(artifacts)))
+
+
 def _has(df: DataFrame, column: str) -> bool:
     return column in df.columns
 
@@ -128,7 +140,7 @@ def _keyword(rule_id: int):
     _, _, _, ask, show = KEYWORD_RULES[rule_id]
 
     def passed(df: DataFrame) -> Column:
-        low = F.lower(_text(df))
+        low = _low(df)
         asked = any_of(low, ask)
         if rule_id == 56 and _has(df, "nfrs"):
             asked = asked | (F.coalesce(F.size("nfrs"), F.lit(0)) > 0)
@@ -209,7 +221,7 @@ def _(df):
 
 @_rule(10, "verification_metrics_disclaimer", "structural", WARNING)
 def _(df):
-    return ~_text(df).rlike(r"\d+%|\d+\.\d+") | any_of(F.lower(_text(df)), ("projected", "estimated", "expected", "approximate"))
+    return ~_text(df).rlike(r"\d+%|\d+\.\d+") | any_of(_low(df), ("projected", "estimated", "expected", "approximate"))
 
 
 @_rule(11, "cross_ref_consistency", "structural_extended", WARNING)
@@ -221,14 +233,14 @@ def _(df):
 @_rule(13, "self_check_reported", "structural_extended", WARNING)
 def _(df):
     own = F.col("self_check").isNotNull() if _has(df, "self_check") else F.lit(False)
-    return own | F.contains(F.lower(_text(df)), F.lit("self-check"))
+    return own | F.contains(_low(df), F.lit("self-check"))
 
 
 @_rule(14, "codebase_analysis_present", "structural_extended", WARNING)
 def _(df):
     given = F.coalesce(F.col("codebase_provided"), F.lit(False)) if _has(df, "codebase_provided") else F.lit(False)
     done = F.col("codebase_analysis").isNotNull() if _has(df, "codebase_analysis") else F.lit(False)
-    return ~given | done | F.contains(F.lower(_text(df)), F.lit("codebase analysis"))
+    return ~given | done | F.contains(_low(df), F.lit("codebase analysis"))
 
 
 @_rule(15, "honest_verdicts", "structural_extended", CRITICAL)
@@ -273,7 +285,7 @@ def _(df):
 
 @_rule(23, "toc_present", "structural_extended", WARNING)
 def _(df):
-    return (F.regexp_count(_text(df), F.lit(r"(?m)^#{1,3}\s+(.+)$")) <= 5) | any_of(F.lower(_text(df)), ("table of contents", "## contents"))
+    return (F.regexp_count(_text(df), F.lit(r"(?m)^#{1,3}\s+(.+)$")) <= 5) | any_of(_low(df), ("table of contents", "## contents"))
 
 
 @_rule(26, "file_size_limit", "architecture", CRITICAL)
@@ -297,7 +309,7 @@ def _(df):
 
 @_rule(30, "solid_compliance", "architecture", WARNING)
 def _(df):
-    low = F.lower(_text(df))
+    low = _low(df)
     missing = sum((F.when(F.contains(low, F.lit(a)) | F.contains(low, F.lit(b)), 0).otherwise(1) for a, b in SOLID), F.lit(0))
     return missing <= 2
 
@@ -312,7 +324,7 @@ def _(df):
 
 def run_rules(artifacts: DataFrame, key: str, ids: list[int] | None = None) -> DataFrame:
     """key, rule_id, rule_name, category, severity, penalty, passed: a row for each artifact and rule."""
-    some = [RULES[i] for i in sorted(ids or RULES)]
+    some, artifacts = [RULES[i] for i in sorted(ids or RULES)], lowered(artifacts)
     rows = F.array(*[
         F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.name).alias("rule_name"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(PENALTY[r.severity]).alias("penalty"), r.passed(artifacts).alias("passed"))
         for r in some
@@ -322,6 +334,7 @@ def run_rules(artifacts: DataFrame, key: str, ids: list[int] | None = None) -> D
 
 def rule_flags(artifacts: DataFrame, key: str, ids: list[int] | None = None) -> DataFrame:
     """key with one boolean column r<id> for each rule: no rows are multiplied."""
+    artifacts = lowered(artifacts)
     return artifacts.select(key, *[RULES[i].passed(artifacts).alias(f"r{i}") for i in sorted(ids or RULES)])
 
 
@@ -339,6 +352,15 @@ def rule_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("rule_id", "rule_name", "category").agg(F.sum(F.when(F.col("passed"), 0).otherwise(1)).alias("failed"), F.count("*").alias("checked"))
 
 
+def rule_counts(artifacts: DataFrame, key: str, ids: list[int] | None = None) -> DataFrame:
+    """What ``rule_summary`` gives of ``run_rules``, counted beside each other: no row for each artifact and rule."""
+    some = [RULES[i] for i in sorted(ids or RULES)]
+    counts = [F.sum(F.when(F.col(f"r{r.rule_id}"), 0).otherwise(1)).alias(f"r{r.rule_id}") for r in some]
+    one = rule_flags(artifacts, key, ids).agg(F.count("*").alias("checked"), *counts).where("checked > 0")
+    rows = F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.name).alias("rule_name"), F.lit(r.category).alias("category"), F.col(f"r{r.rule_id}").alias("failed")) for r in some])
+    return one.select(F.explode(rows).alias("r"), "checked").select("r.*", "checked")
+
+
 def gate_outcome(passed: Column, adjusted: Column) -> Column:
     return F.coalesce(passed, adjusted >= 0.7, F.lit(True))
 
