@@ -95,21 +95,28 @@ def churn_summary(per_file: DataFrame) -> DataFrame:
 
 
 BLOCK = 512  # files of a commit that meet in one group
+PAIRS = 2_000_000  # pairs that one task counts, about
 
 
 def cochange_support(commit_files: DataFrame, min_support: int = 1, block: int = BLOCK) -> DataFrame:
     """file_a < file_b with the number of commits that hold both.  Files in fewer than ``min_support`` commits can't
     reach it and are left out before the join.  A commit of more than ``block`` files is cut into blocks of about that many, and each two of
-    its blocks are a group of their own, so that one commit's pairs spread over all cores."""
+    its blocks are a group of their own, so that one commit's pairs spread over all cores.  The number of tasks goes by the number of
+    pairs, which the commits' sizes tell, so that no task's table of pairs grows with the history."""
     if min_support > 1:
         often = commit_files.groupBy("file").agg(F.count("*").alias("c")).where(F.col("c") >= min_support).select("file")
         commit_files = commit_files.join(often, "file")
-    size = commit_files.groupBy("commit_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    cut_ = commit_files.join(size, "commit_id").withColumn("own", F.pmod(F.xxhash64("file"), F.col("blocks")).cast("int"))
+    n = F.count("*")
+    size = commit_files.groupBy("commit_id").agg(F.ceil(n / block).cast("int").alias("blocks"), (n * (n - 1) / 2).alias("pairs"))
+    total = size.agg(F.sum("pairs")).first()[0] or 0
+    parts = max(int(commit_files.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // PAIRS) + 1)
+    cut_ = commit_files.join(size.drop("pairs"), "commit_id").withColumn("own", F.pmod(F.xxhash64("file"), F.col("blocks")).cast("int"))
     a = cut_.select("commit_id", F.col("file").alias("x"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
     b = cut_.select("commit_id", F.col("file").alias("y"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"))
-    pairs = a.join(b, ["commit_id", "i", "j"]).where("i < j OR x < y")
-    out = pairs.groupBy(F.least("x", "y").alias("file_a"), F.greatest("x", "y").alias("file_b")).agg(F.count("*").alias("support"))
+    at = ["commit_id", "i", "j"]
+    pairs = a.repartition(parts, *at).join(b.repartition(parts, *at), at).where("i < j OR x < y")
+    pairs = pairs.select(F.least("x", "y").alias("file_a"), F.greatest("x", "y").alias("file_b")).repartition(parts, "file_a", "file_b")
+    out = pairs.groupBy("file_a", "file_b").agg(F.count("*").alias("support"))
     return out.where(F.col("support") >= min_support) if min_support > 1 else out
 
 
