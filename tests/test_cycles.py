@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from graphloom.operators import cycles
 from graphloom.operators.cycles import strong_components
 
 
@@ -57,3 +58,28 @@ def test_a_chain_of_rings(spark):
     rounds = []
     assert result(strong_components(spark.createDataFrame(pairs, "src int, dst int"), rounds)) == brute(pairs)
     assert len(rounds) < 60, len(rounds)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_many_arcs_a_node_take_few_rounds_over_few_arcs(spark, seed, monkeypatch):
+    rnd = random.Random(seed)
+    groups = [range(30 * k, 30 * k + 30) for k in range(4)]  # the last two point on only
+    pairs = [(a, b) for g in groups for a in g for b in rnd.sample(list(g), 15) if a != b and (g.start < 60 or a < b)] + [(5, 35), (40, 61), (65, 95)]
+    seen, ends = [], cycles._ends
+
+    def counted(arcs, rounds):
+        seen.append(arcs.count())
+        return ends(arcs, rounds)
+
+    monkeypatch.setattr(cycles, "_ends", counted)
+    assert result(strong_components(spark.createDataFrame(pairs, "src int, dst int"))) == brute(pairs)
+    assert max(seen) <= 4 * 120 < len(set(pairs)) / 2, seen
+
+
+def test_what_no_cycle_holds_takes_no_turn(spark, monkeypatch):
+    rnd = random.Random(1)
+    pairs = [(a, a + rnd.randrange(1, 150)) for a in range(300) for _ in range(2)] + [(7, 3), (3, 7)]
+    seen, ends = [], cycles._ends
+    monkeypatch.setattr(cycles, "_ends", lambda arcs, rounds: seen.append(arcs.count()) or ends(arcs, rounds))
+    assert result(strong_components(spark.createDataFrame(pairs, "src int, dst int"))) == brute(pairs)
+    assert max(seen) < len(set(pairs)) / 2, seen
