@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,34 +48,34 @@ class Stages(StatefulProcessor):
     what it held.  Rows of a batch are taken in the order given."""
 
     def __init__(self, stage: str, order: list[str], columns: list[str], ttl_ms: int) -> None:
-        self.stage, self.order, self.columns, self.ttl_ms = stage, order, columns, ttl_ms
+        self.ttl_ms, self.row = ttl_ms, Row(*columns, "accepted")
+        self.stage, self.ts, self.order = columns.index(stage), columns.index("ts"), [columns.index(c) for c in order]
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.top = handle.getValueState("top", "top long")
-        self.timer = handle.getValueState("timer", "at long")
+        self.held = handle.getValueState("held", "top long, until long")  # one value: each call is a round trip
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        top = self.top.get()[0] if self.top.exists() else None
-        was = until = self.timer.get()[0] if self.timer.exists() else None
-        for r in sorted((r.asDict() for r in rows), key=lambda r: tuple(r[c] for c in self.order)):
-            at = int(r["ts"].timestamp() * 1000)
+        top, until = was = self.held.get() or (None, None)
+        for r in sorted(rows, key=itemgetter(*self.order)):  # values stand in the order of columns
+            at, stage = int(r[self.ts].timestamp() * 1000), r[self.stage]
             if until is not None and at > until:
                 top = None
-            accepted = top is None or r[self.stage] >= top
-            top = r[self.stage] if top is None else max(top, r[self.stage])
+            accepted = top is None or stage >= top
+            top = stage if top is None else max(top, stage)
             until = at + self.ttl_ms if until is None else max(until, at + self.ttl_ms)
-            yield Row(**{c: r[c] for c in self.columns}, accepted=accepted)
-        self.top.update((top,))
-        if until != was:
-            if was is not None:
-                self.handle.deleteTimer(was)
+            yield self.row(*r, accepted)
+        if (top, until) != tuple(was):
+            self.held.update((top, until))
+        if was[1] is None:  # one timer a key; it is set anew only when it rings
             self.handle.registerTimer(until)
-            self.timer.update((until,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.top.clear()
-        self.timer.clear()
+        until = self.held.get()[1]
+        if until > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(until)
+        else:
+            self.held.clear()
         return iter(())
 
     def close(self) -> None:
@@ -106,25 +107,26 @@ def state_store(spark: SparkSession) -> Iterator[None]:
 
 
 def replayed(events: DataFrame, query: Callable[[DataFrame], DataFrame], batches: int = 4, closing: str | None = None) -> DataFrame:
-    """A table as a stream: its rows are written by ranges of ts, read one range a batch, and what ``query`` makes of the stream is run to its
-    end and read back.  With ``closing``, one more batch has the last row again, so much later, which lets the watermark close what
+    """A table as a stream: its rows are written by ranges of ts, a range of many files arrives at a time and is one batch, and what ``query`` makes
+    of the stream is run to its end each time and read back.  With ``closing``, one more batch has the last row again, so much later, which lets the watermark close what
     waits for it.  Rows without ts come first."""
     spark = events.sparkSession
     place = new_path(spark)
     time = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = events.select(F.percentile_approx(time, F.lit([k / batches for k in range(1, batches)]), F.lit(10_000))).first()[0] or [] if batches > 1 else []
-    dealt = events.withColumn("batch", sum((F.when(time > F.lit(c), 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0)))
-    dealt.repartition("batch").write.partitionBy("batch").parquet(f"{place}/dealt")
-    dealt = spark.read.schema(dealt.schema).parquet(f"{place}/dealt")
-    for k in range(len(set(cuts)) + 1):  # files in the order of time: a stream takes older ones first
-        dealt.where(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(f"{place}/in")
+    batch = sum((F.when(time > F.lit(c), 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    events.withColumn("batch", batch).write.partitionBy("batch").parquet(f"{place}/dealt")
+    dealt = spark.read.schema(T.StructType([*events.schema, T.StructField("batch", T.IntegerType())])).parquet(f"{place}/dealt")
+    arriving = [dealt.where(F.col("batch") == k).drop("batch") for k in range(len(set(cuts)) + 1)]
     if closing:
         last = events.orderBy(F.desc_nulls_last("ts")).limit(1).withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {closing}"))
-        last.select(*[F.col(f.name).cast(f.dataType) for f in events.schema]).coalesce(1).write.mode("append").parquet(f"{place}/in")
-    out = query(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in"))
-    with state_store(spark):
-        run = out.writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{place}/out")
-        run.awaitTermination()
+        arriving.append(last.select(*[F.col(f.name).cast(f.dataType) for f in events.schema]))
+    for rows in arriving:
+        rows.write.mode("append").parquet(f"{place}/in")
+        out = query(spark.readStream.schema(events.schema).parquet(f"{place}/in"))
+        with state_store(spark):
+            run = out.writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{place}/out")
+            run.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{place}/out")
 
 

@@ -1,5 +1,6 @@
 import datetime
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from graphloom.streaming import events as E
@@ -48,3 +49,43 @@ def test_replayed_table_equals_its_batch_form(spark):
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, E.sessions(e, "15 minutes").collect()))
     none = E.replayed(e.where("false"), lambda x: E.stage_stream(x.select(F.col("user_id"), "id", "ts", "stage"), "user_id", "stage"), 2)
     assert none.count() == 0
+
+
+def test_a_batch_is_many_files_and_a_key_few_state_calls(spark, tmp_path, monkeypatch):
+    place, calls = str(tmp_path / "place"), []
+    monkeypatch.setattr(E, "new_path", lambda spark: place)
+    e = spark.createDataFrame([(i % 3, i, at(i), 0) for i in range(120)], SCHEMA).repartition(4)
+    assert E.replayed(e, lambda x: E.stage_stream(x, "user_id", "stage", ["ts", "id"], ttl_ms=10**12), 2).count() == 120
+    assert len(list((tmp_path / "place" / "in").glob("*.parquet"))) > 4  # one task once wrote and read a whole batch
+
+    class Held:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def getValueState(self, *_):
+            return Held()
+
+        def registerTimer(self, at):
+            calls.append("register")
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+
+    s = E.Stages("stage", ["ts", "id"], ["user_id", "ts", "id", "stage"], 10)
+    s.init(Held())
+    row = Row("user_id", "ts", "id", "stage")
+    first = [r["accepted"] for r in s.handleInputRows((1,), iter([row(1, at(0), 1, 5)]), None)]
+    calls.clear()
+    assert first == [True] and [r["accepted"] for r in s.handleInputRows((1,), iter([row(1, at(0), 2, 4), row(1, at(1), 3, 4)]), None)] == [False, True]
+    assert calls == ["get", "update"]
