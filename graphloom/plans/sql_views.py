@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import views as V
-from ..functions.cut import new_path
+from ..functions.cut import cut, new_path
 from ..sources.scan import scan
 from ..sources.versions import Versions, build, reindex
 from .projections import cte, frame, table
@@ -107,8 +107,8 @@ r AS (SELECT 'degree' AS part, CAST(id AS VARCHAR) AS a, '' AS b, sum(i) AS n, s
   UNION ALL SELECT 'module', x.community, y.community, count(*), 0 FROM e JOIN n x ON x.id = src JOIN n y ON y.id = dst WHERE x.community <> y.community GROUP BY 2, 3)
 SELECT part, a, b, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m FROM r""")
 def _(s, d):
-    n = frame(s, d, "nodes").select(F.col("id").cast("string").alias("id"), "file_path", "label", "name", F.col("community").alias("module"))
-    e = frame(s, d, "calls").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "type", "edge_seq").join(n.select(F.col("id").alias("src"), "file_path"), "src")
+    n = cut(frame(s, d, "nodes").select(F.col("id").cast("string").alias("id"), "file_path", "label", "name", F.col("community").alias("module")))
+    e = cut(frame(s, d, "calls").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "type", "edge_seq").join(n.select(F.col("id").alias("src"), "file_path"), "src"))  # read many times
     store = Versions(s, new_path(s), 16)
     build(store, n, e.select("src", "dst", "type", "file_path"))
     changed = n.where("file_path NOT LIKE 'src/core/%'").select("file_path")

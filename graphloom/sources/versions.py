@@ -61,6 +61,12 @@ class Versions:
         parts = [self.spark.read.schema(f"{schema}, bucket int").parquet(f"{self.path}/{table}/{w}").where(F.col("bucket").isin(b)).drop("bucket") for w, b in sorted(held.items())]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
 
+    def _write(self, df: DataFrame, path: str) -> None:
+        """Rows in folders of their buckets.  Buckets are few and of any size, so each is dealt to as many tasks as there are for all."""
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        part = F.pmod(F.xxhash64(*[c for c in df.columns if c != "bucket"]), F.lit(max(1, -(-tasks // self.buckets))))
+        df.repartition(tasks, "bucket", part).write.partitionBy("bucket").parquet(path)
+
     def commit(self, base: int, changes: dict[str, tuple[DataFrame, list[int] | None]]) -> int:
         """A new version after ``base``: for each table the new rows of some buckets (of all with None)."""
         version, rows = base + 1, []
@@ -69,7 +75,7 @@ class Versions:
         for table in TABLES:
             if table in changes:
                 df, only = changes[table]
-                df.withColumn("bucket", self.bucket(TABLES[table][1])).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{table}/{folder}")
+                self._write(df.withColumn("bucket", self.bucket(TABLES[table][1])), f"{self.path}/{table}/{folder}")
                 changed = set(range(self.buckets) if only is None else only)
                 rows += [(version, table, b, folder) for b in changed]
             else:

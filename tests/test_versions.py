@@ -62,3 +62,12 @@ def test_only_touched_buckets_are_written_and_a_lost_race_fails(spark, tmp_path)
     with pytest.raises(Exception, match="(?i)already exists"):
         store.commit(1, {"nodes": (store.read("nodes", 1).where("false"), None)})
     assert store.current() == 2 and state(store) == before
+
+
+def test_a_bucket_of_many_rows_is_written_by_many_tasks(spark, tmp_path):
+    store = V.Versions(spark, str(tmp_path / "store"), 1)
+    edges = spark.range(2000).selectExpr("cast(id as string) AS src", "cast(id + 1 as string) AS dst", "'CALLS' AS type", "'one.py' AS file_path")
+    nodes = spark.range(2001).selectExpr("cast(id as string) AS id", "'one.py' AS file_path", "'Function' AS label", "'f' AS name", "cast(id % 2 as string) AS module")
+    V.build(store, nodes, edges)
+    assert len(list((tmp_path / "store" / "edges").glob("*/bucket=0/*.parquet"))) > 1
+    assert store.read("edges").count() == 2000 and {tuple(r) for r in store.read("modules").collect()} == {("0", "1", 1000), ("1", "0", 1000)}
