@@ -12,8 +12,10 @@ the communities found, which mends what early rounds decided, and if that gains,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,7 @@ SYMBOL_LABELS = ("Function", "Class", "Method", "Interface")
 MIN_CONFIDENCE_LARGE = 0.5
 LARGE_FROM = 10_000
 RESOLUTION_LARGE = 2.0
+ARCS_A_TASK = 100_000
 
 
 def community_graph(nodes: DataFrame, edges: DataFrame, labels: Sequence[str] = SYMBOL_LABELS, large_from: int | None = LARGE_FROM) -> tuple[DataFrame, DataFrame, float]:
@@ -37,37 +40,74 @@ def community_graph(nodes: DataFrame, edges: DataFrame, labels: Sequence[str] =
     e = edges.where(F.col("type").isin(list(CLUSTERING_TYPES)) & (F.col("src") != F.col("dst")))
     if large:
         e = e.where(F.col("confidence") >= MIN_CONFIDENCE_LARGE)
+    e = cut(e.select("src", "dst"))  # read for degrees and for pairs
     degree = e.select(F.col("src").alias("id")).unionAll(e.select("dst")).groupBy("id").agg(F.count("*").alias("n"))
     vertices = cut(symbols.join(degree.where(F.col("n") >= (2 if large else 1)), "id", "left_semi").distinct())
     pairs = e.select("src", "dst").join(vertices.withColumnRenamed("id", "src"), "src", "left_semi").join(vertices.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst").distinct()
     return vertices, pairs, RESOLUTION_LARGE if large else 1.0
 
 
-def _stands(arcs: DataFrame, state: DataFrame, whole: int, resolution: float) -> DataFrame:
-    """arcs(x, y, w, k: strength of x), state(x, k, loop, c) -> x, k, loop, c, inside (weight into its own community), held (its strength), to
-    (the best other one), gain.  Of two nodes that are alone in their communities only the greater moves to the other."""
-    held = state.groupBy("c").agg(F.sum("k").alias("held"), F.count("*").alias("size"))
-    full = state.join(held, "c")
-    away = arcs.join(full.select(F.col("x").alias("y"), "c", "held", "size"), "y").select("x", "c", "w", "held", "size", "k", F.lit(None).cast("long").alias("loop"), F.lit(False).alias("mine"), "y")
-    own = full.select("x", "c", F.lit(0).cast("long").alias("w"), "held", "size", "k", "loop", F.lit(True).alias("mine"), F.lit(None).cast("long").alias("y"))
-    near = away.unionAll(own).groupBy("x", "c").agg(F.sum("w").alias("w"), *[F.max(c).alias(c) for c in ("held", "size", "k", "loop", "mine", "y")])
-    rest = F.when(F.col("mine"), F.col("held") - F.col("k")).otherwise(F.col("held"))
-    near = near.withColumn("s", F.col("w") - F.lit(resolution) * F.col("k") * rest / F.lit(float(whole)))
-    mine, other, lower = F.col("mine"), ~F.col("mine"), ~F.col("mine") & ~((F.col("size") == 1) & (F.col("y") > F.col("x")))
-    best = F.struct("s", (-F.col("c")).alias("c"))
-    per = near.groupBy("x").agg(
-        F.max("k").alias("k"), F.max("loop").alias("loop"), *[F.max(F.when(mine, F.col(c))).alias(c) for c in ("c", "w", "held", "size", "s")],
-        F.max(F.when(other, best)).alias("any"), F.max(F.when(lower, best)).alias("lower"),
-    )
-    to = F.when(F.col("size") == 1, F.col("lower")).otherwise(F.col("any"))
-    return per.select("x", "k", "loop", "c", F.col("w").alias("inside"), "held", F.coalesce(-to["c"], "c").alias("to"), F.coalesce(to["s"] - F.col("s"), F.lit(0.0)).alias("gain"))
-
-
-def local_moves(arcs: DataFrame, state: DataFrame, whole: int, resolution: float, tolerance: float) -> tuple[DataFrame, float]:
-    """arcs(x, y, w, k) both ways without loops, state(x, k, loop, c) -> the state after moves, and its modularity."""
+def _by_node(arcs: DataFrame) -> tuple[DataFrame, int]:
+    """arcs(x, y, w) -> the same, kept by y for all rounds of a level, and the number of tasks; both go by the number of arcs."""
+    parts = arcs.count() // ARCS_A_TASK + 1
+    return arcs.select("x", "y", "w").repartition(parts, "y").persist(), parts
+
+
+def _choices(whole: int, resolution: float):
+    """Of a task's nodes: rows (x, a, w, b) are told weights w > 0 into the community a of strength b, or say with w = -1 that x is in a of strength b and
+    with w = -2 that x has strength a and loop b.  A strength below 0 is of a community of one (told: of one that x, if alone, doesn't move to)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = [[b.column(i).to_numpy() for i in range(4)] for b in batches if b.num_rows]
+        if not read:
+            return
+        x, a, w, b = (np.concatenate(r) for r in zip(*read, strict=True))
+        del read
+        said = [np.flatnonzero(w == -1), np.flatnonzero(w == -2)]
+        own, more = (i[np.argsort(x[i])] for i in said)
+        ids, c, alone, held, k, loop = x[own], a[own], b[own] < 0, np.abs(b[own]), a[more], b[more]
+        told = w > 0
+        at, to, w, b = np.searchsorted(ids, x[told]), a[told], w[told], b[told]
+        order = np.lexsort((to, at))
+        at, to, w, b = at[order], to[order], w[order], b[order]
+        one = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (to[1:] != to[:-1])][: len(at)])
+        if len(one):
+            at, to, w, b = at[one], to[one], np.add.reduceat(w, one), b[one]
+        mine = to == c[at]
+        inside, goes, gain = np.zeros(len(ids), "int64"), c.copy(), np.zeros(len(ids))
+        inside[at[mine]] = w[mine]
+        may = ~mine & (~alone[at] | (b > 0))
+        at, to, s = at[may], to[may], w[may] - resolution * k[at[may]] * np.abs(b[may]) / float(whole)
+        if len(at):
+            one = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            best = np.maximum.reduceat(s, one)
+            hit = np.flatnonzero(s == np.repeat(best, np.diff(np.r_[one, len(at)])))
+            hit = hit[np.r_[True, at[hit][1:] != at[hit][:-1]]]  # of equal ones the least community
+            goes[at[hit]] = to[hit]
+            gain[at[hit]] = best - (inside - resolution * k * (held - k) / float(whole))[at[hit]]
+        yield pa.RecordBatch.from_arrays([pa.array(z) for z in (ids, k, loop, c, inside, held, goes, gain)], names=["x", "k", "loop", "c", "inside", "held", "to", "gain"])
+
+    return run
+
+
+def _stands(arcs: DataFrame, state: DataFrame, whole: int, resolution: float, parts: int) -> DataFrame:
+    """arcs(x, y, w), state(x, k, loop, c) -> x, k, loop, c, inside (weight into its own community), held (its strength), to
+    (the best other one), gain.  Of two nodes that are alone in their communities only the greater moves to the other.  Arcs stay where they are, by y;
+    what y tells x is moved once and summed where it lies."""
+    held = state.groupBy("c").agg(F.sum("k").alias("held"), (F.count("*") == 1).alias("alone"))
+    full = state.join(held, "c").select("x", "k", "loop", "c", F.when(F.col("alone"), -F.col("held")).otherwise(F.col("held")).alias("held"))
+    row = lambda a, w, b: F.struct(F.col(a).alias("a"), F.lit(w).cast("long").alias("w"), F.col(b).alias("b"))
+    says = full.select("x", F.explode(F.array(row("c", -1, "held"), row("k", -2, "loop"))).alias("s")).select("x", "s.*")
+    told = arcs.join(full.select(F.col("x").alias("y"), F.col("c").alias("a"), "held").hint("shuffle_hash"), "y")
+    told = told.select("x", "a", "w", F.when(F.col("y") > F.col("x"), F.col("held")).otherwise(F.abs("held")).alias("b"))
+    return told.unionAll(says).repartition(parts, "x").mapInArrow(_choices(whole, resolution), "x long, k long, loop long, c long, inside long, held long, to long, gain double")
+
+
+def local_moves(arcs: DataFrame, state: DataFrame, whole: int, resolution: float, tolerance: float, parts: int) -> tuple[DataFrame, float]:
+    """arcs(x, y, w) both ways without loops, kept by y in ``parts`` tasks, state(x, k, loop, c) -> the state after moves, and its modularity."""
     kept, before, part, turn, calm = None, None, 2, 0, 0
     while True:
-        now = cut(_stands(arcs, state, whole, resolution))
+        now = cut(_stands(arcs, state, whole, resolution, parts))
         here = F.sum(F.col("inside") + F.col("loop")) / F.lit(float(whole)) - F.lit(resolution) * F.sum(F.col("k") * (F.col("held") / F.lit(float(whole) ** 2)))
         q, movers = now.agg(here, F.sum((F.col("gain") > 1e-9).cast("long"))).first()
         q, movers = q or 0.0, movers or 0
@@ -88,12 +128,12 @@ def local_moves(arcs: DataFrame, state: DataFrame, whole: int, resolution: float
 
 def contracted(arcs: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph of communities: its arcs and its state, each node alone."""
-    ends = arcs.drop("k").join(state.select("x", F.col("c").alias("cx")), "x").join(state.select(F.col("x").alias("y"), F.col("c").alias("cy")), "y").groupBy("cx", "cy").agg(F.sum("w").alias("w"))
+    ends = arcs.join(state.select("x", F.col("c").alias("cx")), "x").join(state.select(F.col("x").alias("y"), F.col("c").alias("cy")), "y").groupBy("cx", "cy").agg(F.sum("w").alias("w"))
     ends = cut(ends)
     loops = ends.where("cx = cy").select(F.col("cx").alias("c"), F.col("w").alias("more"))
     nodes = state.groupBy("c").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop")).join(loops, "c", "left").na.fill(0, ["more"])
     nodes = cut(nodes.select(F.col("c").alias("x"), "k", (F.col("loop") + F.col("more")).alias("loop"), "c"))
-    return cut(ends.where("cx <> cy").select(F.col("cx").alias("x"), F.col("cy").alias("y"), "w").join(nodes.select("x", "k"), "x").select("x", "y", "w", "k")), nodes
+    return ends.where("cx <> cy").select(F.col("cx").alias("x"), F.col("cy").alias("y"), "w"), nodes
 
 
 def communities(pairs: DataFrame, vertices: DataFrame | None = None, resolution: float = 1.0, tolerance: float = 1e-3) -> DataFrame:
@@ -102,34 +142,40 @@ def communities(pairs: DataFrame, vertices: DataFrame | None = None, resolution:
     modularity gains less than ``tolerance``."""
     kind = pairs.schema["src"].dataType
     u = pairs.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    names = None
+    u, names = cut(u), None
     if not isinstance(kind, T.IntegralType):
         names = cut(u.select(F.col("a").alias("id")).union(u.select("b")).distinct().withColumn("num", F.monotonically_increasing_id()))
         u = u.join(names.withColumnRenamed("id", "a").withColumnRenamed("num", "na"), "a").join(names.withColumnRenamed("id", "b").withColumnRenamed("num", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     one = F.lit(1).cast("long").alias("w")
     x, y = F.col("a").cast("long"), F.col("b").cast("long")
     arcs = u.select(x.alias("x"), y.alias("y"), one).unionAll(u.select(y.alias("x"), x.alias("y"), one))
-    arcs = cut(arcs.join(arcs.groupBy("x").agg(F.sum("w").alias("k")), "x").select("x", "y", "w", "k"))
-    base = arcs.groupBy("x").agg(F.max("k").alias("k")).select("x", "k", F.lit(0).cast("long").alias("loop"), F.col("x").alias("c"))
+    arcs, parts = _by_node(cut(arcs))
+    base = cut(arcs.groupBy(F.col("y").alias("x")).agg(F.sum("w").alias("k")).select("x", "k", F.lit(0).cast("long").alias("loop"), F.col("x").alias("c")))
     whole = base.agg(F.sum("k")).first()[0] or 0
     if not whole:
+        arcs.unpersist()
         if vertices is None:
             return pairs.select(F.col("src").alias("id"), F.col("src").alias("community")).where("false")
         least = vertices.agg(F.min("id").alias("community"))
         return vertices.select("id").distinct().join(least)  # one row
     state, best = base, None
     while True:
-        state, q = local_moves(arcs, state, whole, resolution, tolerance)
+        state, q = local_moves(arcs, state, whole, resolution, tolerance, parts)
         if best is not None and q - best < tolerance:
             break
         level_arcs, level, found = arcs, state, state.select("x", "c")
         while True:
-            level_arcs, level = contracted(level_arcs, level)
-            level, higher = local_moves(level_arcs, level, whole, resolution, tolerance)
+            ends, level = contracted(level_arcs, level)
+            if level_arcs is not arcs:
+                level_arcs.unpersist()
+            level_arcs, tasks = _by_node(ends)
+            level, higher = local_moves(level_arcs, level, whole, resolution, tolerance, tasks)
             if higher - q < tolerance:
                 break
             q, found = higher, cut(found.join(level.select(F.col("x").alias("c"), F.col("c").alias("up")), "c").select("x", F.col("up").alias("c")))
+        level_arcs.unpersist()
         best, state = q, cut(state.drop("c").join(found, "x"))
+    arcs.unpersist()
     member = state.select(F.col("x").cast(kind).alias("id"), "c") if names is None else state.join(names, F.col("x") == F.col("num")).select("id", "c")
     least = member.groupBy("c").agg(F.min("id").alias("community"))
     out = member.join(least, "c").select("id", "community")

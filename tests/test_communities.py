@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
 from graphloom.operators.communities import communities, community_graph
@@ -93,3 +94,18 @@ def test_graph_of_symbols(spark):
     assert ({x[0] for x in v.collect()}, {tuple(x) for x in p.collect()}, r) == ({"f", "m", "i"}, {("f", "m")}, 2.0)
     v, p, r = community_graph(nodes, edges, labels=("Function", "Constructor"), large_from=None)
     assert ({x[0] for x in v.collect()}, {tuple(x) for x in p.collect()}) == ({"f", "k"}, {("k", "f")})
+
+
+def test_edges_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(x):
+        seen.add(1)
+        return x
+
+    nodes = spark.createDataFrame([(f"{k}{a}", "Function") for k in "pq" for a in range(4)], "id string, label string")
+    edges = [(f"{k}{a}", f"{k}{b}", "CALLS", 1.0) for k in "pq" for a in range(4) for b in range(a)]
+    v, p, r = community_graph(nodes, spark.createDataFrame(edges, "src string, dst string, type string, confidence double").withColumn("src", read.asNondeterministic()("src")))
+    assert result(communities(p, v, r)) == {f"{k}{a}": f"{k}0" for k in "pq" for a in range(4)}
+    assert seen.value == len(edges)
