@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql.functions import spark_partition_id
 
 from graphloom.sources import scan as S
 
@@ -141,3 +142,9 @@ def test_as_a_query_over_files(spark):
     files = spark.createDataFrame([("a.java", "java", "class A { void f() { g(1); new B(); this.h(); } }"), ("n", "java", None), ("e", "go", ""), ("u", "cobol", "x(1)")], "path string, language string, content string")
     got = {(r["path"], r["kind"], r["name"], r["form"]) for r in S.scan(files).collect()}
     assert got == {("a.java", "Class", "A", None), ("a.java", "Method", "f", None), ("a.java", "CALL", "g", "free"), ("a.java", "NEW", "B", "constructor"), ("a.java", "CALL", "h", "member")}
+
+
+def test_texts_of_one_file_are_scanned_in_many_tasks(spark):
+    files = spark.range(0, 400, 1, 1).selectExpr("CAST(id AS STRING) AS path", "'go' AS language", "concat('func f', id, '() { g() }') AS content")
+    found = S.scan(files).withColumn("task", spark_partition_id())
+    assert found.count() == 800 and found.select("task").distinct().count() > 1
