@@ -12,7 +12,8 @@ the communities found, which mends what early rounds decided, and if that gains,
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ SYMBOL_LABELS = ("Function", "Class", "Method", "Interface")
 MIN_CONFIDENCE_LARGE = 0.5
 LARGE_FROM = 10_000
 RESOLUTION_LARGE = 2.0
-ARCS_A_TASK = 100_000
+#: Arcs of a block, on the mean.
+ARCS_A_BLOCK = 500_000
 
 
 def community_graph(nodes: DataFrame, edges: DataFrame, labels: Sequence[str] = SYMBOL_LABELS, large_from: int | None = LARGE_FROM) -> tuple[DataFrame, DataFrame, float]:
@@ -47,93 +49,252 @@ def community_graph(nodes: DataFrame, edges: DataFrame, labels: Sequence[str] =
     return vertices, pairs, RESOLUTION_LARGE if large else 1.0
 
 
-def _by_node(arcs: DataFrame) -> tuple[DataFrame, int]:
-    """arcs(x, y, w) -> the same, kept by y for all rounds of a level, and the number of tasks; both go by the number of arcs."""
-    parts = arcs.count() // ARCS_A_TASK + 1
-    return arcs.select("x", "y", "w").repartition(parts, "y").persist(), parts
+def _hashed(x: np.ndarray, seed: int = 42, last: int | None = None) -> np.ndarray:
+    """``F.xxhash64`` of whole numbers (with ``last``, of them and an int), for tasks to deal by what Spark deals by."""
+    one, two, three, four, five = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
+    def turned(h, n):
+        return (h << np.uint64(n)) | (h >> np.uint64(64 - n))
 
-def _choices(whole: int, resolution: float):
-    """Of a task's nodes: rows (x, a, w, b) are told weights w > 0 into the community a of strength b, or say with w = -1 that x is in a of strength b and
-    with w = -2 that x has strength a and loop b.  A strength below 0 is of a community of one (told: of one that x, if alone, doesn't move to)."""
+    def mixed(h):
+        h = (h ^ (h >> np.uint64(33))) * two
+        h = (h ^ (h >> np.uint64(29))) * three
+        return h ^ (h >> np.uint64(32))
+
+    with np.errstate(over="ignore"):
+        h = np.full(len(x), seed, "uint64") + five + np.uint64(8)
+        h = mixed(turned(h ^ (turned(x.astype("int64").view("uint64") * two, 31) * one), 27) * one + four)
+        if last is not None:
+            h = mixed(turned((h + five + np.uint64(4)) ^ (np.uint64(last) * one), 23) * two + three)
+    return h.view("int64")
+
+
+def _block(x: np.ndarray, blocks: int) -> np.ndarray:
+    return _hashed(x) % blocks
+
+
+#: What blocks tell each other: to a block, from a block (from -1: its own nodes), arrays.
+TOLD = "i long, peer long, a binary, b binary, c binary, d binary, e binary"
+STATE = "i long, x binary, k binary, loop binary, c binary, inside binary, held binary, to binary, gain binary, inner long, outer double, movers long"
+
+
+def _table(names: str, rows: Iterable[Sequence]) -> pa.Table:
+    """Rows of numbers and arrays by a DDL text; arrays go as bytes."""
+    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    fields = [(n, kinds[t]) for n, t in (f.split() for f in names.split(", "))]
+    rows = list(rows)
+    columns = [[v.tobytes() if isinstance(v, np.ndarray) else v for v in column] for column in zip(*rows, strict=True)] if rows else [[] for _ in fields]
+    return pa.table([pa.array(v, t) for v, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _longs(value: bytes, kind: str = "int64") -> np.ndarray:
+    return np.frombuffer(value, kind)
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _parted(by: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each value of ``by`` and the places where it stands, in their order."""
+    order = np.argsort(by, kind="stable")
+    return [(int(by[p[0]]), p) for p in np.split(order, _runs(by[order])[1:])] if len(by) else []
+
+
+class Blocks(NamedTuple):
+    """The arcs of a level, dealt by their node x to ``parts`` blocks and kept there for all rounds: ``reads`` has of a block its nodes and arcs, an arc
+    by the places of x and of what its y tells; ``sends`` has which nodes are told to which block."""
+
+    reads: DataFrame
+    sends: DataFrame
+    parts: int
+
+    def drop(self) -> None:
+        self.reads.unpersist()
+        self.sends.unpersist()
+
+
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.withColumn("i", F.pmod(F.xxhash64("x"), F.lit(parts).cast("long"))).repartition(parts, "i")
+
+
+def laid(arcs: DataFrame, state: DataFrame, number: int) -> Blocks:
+    """arcs(x, y, w) both ways without loops, ``number`` of them, state(x, k, loop, c) of all nodes -> blocks, as many as go by the number of arcs."""
+    parts = number // ARCS_A_BLOCK + 1
+    names = "i long, x binary, at binary, place binary, w binary, more binary, peers binary, sends binary, ends binary"
+
+    def lay(key, arcs, nodes):
+        ids = np.sort(nodes["x"].to_numpy())
+        x, y, w = (arcs[n].to_numpy() for n in ("x", "y", "w"))
+        order = np.argsort(x, kind="stable")
+        x, y, w = x[order], y[order], w[order]
+        at, peer = np.searchsorted(ids, x).astype("int32"), _block(y, parts)
+        order = np.lexsort((y, peer))  # as told: by the other block, then by node
+        new = np.zeros(len(y), "int32")
+        new[_runs(peer[order], y[order])] = 1
+        place = np.empty(len(y), "int32")
+        place[order] = np.cumsum(new) - 1
+        order = np.lexsort((at, peer))
+        one = _runs(peer[order], at[order])
+        sends, to = at[order][one], peer[order][one]
+        ends = _runs(to)
+        return _table(names, [(key[0].as_py(), ids, at, place, w, y > x, to[ends], sends, np.r_[ends[1:], len(to)])])
+
+    whole = _dealt(arcs.select("x", "y", "w"), parts).groupBy("i").cogroup(_dealt(state.select("x"), parts).groupBy("i")).applyInArrow(lay, names)
+    whole = cut(whole)
+    return Blocks(whole.select("i", "x", "at", "place", "w", "more").repartition(parts, "i").persist(), whole.select("i", "peers", "sends", "ends").repartition(parts, "i").persist(), parts)
+
+
+def _entered(blocks: Blocks, state: DataFrame) -> DataFrame:
+    """state(x, k, loop, c) as rows of blocks."""
+
+    def enter(key, nodes):
+        x, k, loop, c = (nodes[n].to_numpy() for n in ("x", "k", "loop", "c"))
+        o = np.argsort(x)
+        still = np.zeros(len(x))
+        return _table(STATE, [(key[0].as_py(), x[o], k[o], loop[o], c[o], still.astype("int64"), still.astype("int64"), c[o], still, 0, 0.0, 0)])
+
+    return _dealt(state.select("x", "k", "loop", "c"), blocks.parts).groupBy("i").applyInArrow(enter, STATE)
+
+
+def _nodes(state: DataFrame) -> DataFrame:
+    """Rows of blocks -> x, k, loop, c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = [[b.column(i).to_numpy() for i in range(4)] for b in batches if b.num_rows]
-        if not read:
-            return
-        x, a, w, b = (np.concatenate(r) for r in zip(*read, strict=True))
-        del read
-        said = [np.flatnonzero(w == -1), np.flatnonzero(w == -2)]
-        own, more = (i[np.argsort(x[i])] for i in said)
-        ids, c, alone, held, k, loop = x[own], a[own], b[own] < 0, np.abs(b[own]), a[more], b[more]
-        told = w > 0
-        at, to, w, b = np.searchsorted(ids, x[told]), a[told], w[told], b[told]
-        order = np.lexsort((to, at))
-        at, to, w, b = at[order], to[order], w[order], b[order]
-        one = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (to[1:] != to[:-1])][: len(at)])
-        if len(one):
-            at, to, w, b = at[one], to[one], np.add.reduceat(w, one), b[one]
+        for b in batches:
+            for r in b.select(["x", "k", "loop", "c"]).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_longs(v)) for v in r.values()], names=list(r))
+
+    return state.mapInArrow(run, "x long, k long, loop long, c long")
+
+
+def _told(blocks: Blocks, state: DataFrame, turn: int, part: int) -> DataFrame:
+    """What each block is told once the nodes whose turn it is have moved: communities and their strengths, of its own nodes (from -1) and of those that its arcs come
+    from.  A strength below 0 is of a community of one.  Strengths are summed where a community's hash lies, and go back to the blocks that have it."""
+    parts = blocks.parts
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, k, c, to, gain = _longs(r["x"]), _longs(r["k"]), _longs(r["c"]), _longs(r["to"]), _longs(r["gain"], "float64")
+                c = np.where((gain > 1e-9) & (_hashed(x, last=turn) % part == 0), to, c)
+                o = np.argsort(c, kind="stable")
+                one = _runs(c[o])
+                held, n, of = np.add.reduceat(k[o], one), np.diff(np.r_[one, len(o)]), c[o][one]
+                own = [(r["i"], -1, r["x"], r["k"], r["loop"], c, None)]
+                yield from _table(TOLD, own + [(j, r["i"], of[p], held[p], n[p], None, None) for j, p in _parted(_block(of, parts))]).to_batches()
+
+    def add(key, rows):
+        rows = rows.to_pylist()
+        own, said = [r for r in rows if r["peer"] < 0], [r for r in rows if r["peer"] >= 0]
+        out = [tuple(r.values()) for r in own]
+        if said:
+            of, k, n = (np.concatenate([_longs(r[v]) for r in said]) for v in "abc")
+            o = np.argsort(of, kind="stable")
+            one = _runs(of[o])
+            ids, held, n = of[o][one], np.add.reduceat(k[o], one), np.add.reduceat(n[o], one)
+            held = np.where(n == 1, -held, held)
+            out += [(r["peer"], key[0].as_py(), r["a"], held[np.searchsorted(ids, _longs(r["a"]))], None, None, None) for r in said]
+        return _table(TOLD, out)
+
+    def send(key, lists, rows):
+        rows, lists = rows.to_pylist(), lists.to_pylist()[0]
+        own = next(r for r in rows if r["peer"] < 0)
+        of, held = (np.concatenate([_longs(r[v]) for r in rows if r["peer"] >= 0]) for v in "ab")
+        o, c, me = np.argsort(of), _longs(own["d"]), key[0].as_py()
+        held = held[o][np.searchsorted(of[o], c)]
+        sends, peers, ends = _longs(lists["sends"], "int32"), _longs(lists["peers"]), _longs(lists["ends"])
+        each = np.split(sends, ends[:-1]) if len(peers) else []
+        return _table(TOLD, [(me, -1, own["a"], own["b"], own["c"], c, held), *((int(j), me, c[s], held[s], None, None, None) for j, s in zip(peers, each, strict=True))])
+
+    summed = state.mapInArrow(move, TOLD).repartition(parts, "i").groupBy("i").applyInArrow(add, TOLD)
+    return blocks.sends.groupBy("i").cogroup(summed.repartition(parts, "i").groupBy("i")).applyInArrow(send, TOLD)
+
+
+def _arcs_told(arcs: pa.Table, rows: pa.Table) -> tuple:
+    """A block's nodes (x, k, loop, c, held) and of its arcs, by node and community: at, to, w summed, b (strength of the community; below 0 for one that the
+    node, if alone, doesn't move to)."""
+    arcs, rows = arcs.to_pylist()[0], sorted(rows.to_pylist(), key=lambda r: r["peer"])
+    own = tuple(_longs(rows[0][v]) for v in "abcde")
+    at, place, w, more = _longs(arcs["at"], "int32"), _longs(arcs["place"], "int32"), _longs(arcs["w"]), _longs(arcs["more"], "bool")
+    if not len(at):
+        return own, (at, at, at, at)
+    to, b = (np.concatenate([_longs(r[v]) for r in rows[1:]])[place] for v in "ab")
+    b = np.where(more, b, np.abs(b))
+    order = np.lexsort((to, at))
+    at, to, w, b = at[order], to[order], w[order], b[order]
+    one = _runs(at, to)
+    return own, (at[one], to[one], np.add.reduceat(w, one), b[one])
+
+
+def _stands(blocks: Blocks, state: DataFrame, whole: int, resolution: float, turn: int, part: int) -> DataFrame:
+    """Rows of blocks after the moves of a turn: of nodes x, k, loop, c, inside (weight into its own community), held (its strength), to
+    (the best other one), gain; and what modularity is summed from.  Of two nodes that are alone in their communities only the greater moves to the other."""
+
+    def choose(key, arcs, rows):
+        (x, k, loop, c, held), (at, to, w, b) = _arcs_told(arcs, rows)
+        alone, held = held < 0, np.abs(held)
         mine = to == c[at]
-        inside, goes, gain = np.zeros(len(ids), "int64"), c.copy(), np.zeros(len(ids))
+        inside, goes, gain = np.zeros(len(x), "int64"), c.copy(), np.zeros(len(x))
         inside[at[mine]] = w[mine]
         may = ~mine & (~alone[at] | (b > 0))
         at, to, s = at[may], to[may], w[may] - resolution * k[at[may]] * np.abs(b[may]) / float(whole)
         if len(at):
-            one = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            one = _runs(at)
             best = np.maximum.reduceat(s, one)
             hit = np.flatnonzero(s == np.repeat(best, np.diff(np.r_[one, len(at)])))
-            hit = hit[np.r_[True, at[hit][1:] != at[hit][:-1]]]  # of equal ones the least community
+            hit = hit[_runs(at[hit])]  # of equal ones the least community
             goes[at[hit]] = to[hit]
             gain[at[hit]] = best - (inside - resolution * k * (held - k) / float(whole))[at[hit]]
-        yield pa.RecordBatch.from_arrays([pa.array(z) for z in (ids, k, loop, c, inside, held, goes, gain)], names=["x", "k", "loop", "c", "inside", "held", "to", "gain"])
-
-    return run
-
+        return _table(STATE, [(key[0].as_py(), x, k, loop, c, inside, held, goes, gain, int((inside + loop).sum()), float((k * (held / float(whole) ** 2)).sum()), int((gain > 1e-9).sum()))])
 
-def _stands(arcs: DataFrame, state: DataFrame, whole: int, resolution: float, parts: int) -> DataFrame:
-    """arcs(x, y, w), state(x, k, loop, c) -> x, k, loop, c, inside (weight into its own community), held (its strength), to
-    (the best other one), gain.  Of two nodes that are alone in their communities only the greater moves to the other.  Arcs stay where they are, by y;
-    what y tells x is moved once and summed where it lies."""
-    held = state.groupBy("c").agg(F.sum("k").alias("held"), (F.count("*") == 1).alias("alone"))
-    full = state.join(held, "c").select("x", "k", "loop", "c", F.when(F.col("alone"), -F.col("held")).otherwise(F.col("held")).alias("held"))
-    row = lambda a, w, b: F.struct(F.col(a).alias("a"), F.lit(w).cast("long").alias("w"), F.col(b).alias("b"))
-    says = full.select("x", F.explode(F.array(row("c", -1, "held"), row("k", -2, "loop"))).alias("s")).select("x", "s.*")
-    told = arcs.join(full.select(F.col("x").alias("y"), F.col("c").alias("a"), "held").hint("shuffle_hash"), "y")
-    told = told.select("x", "a", "w", F.when(F.col("y") > F.col("x"), F.col("held")).otherwise(F.abs("held")).alias("b"))
-    return told.unionAll(says).repartition(parts, "x").mapInArrow(_choices(whole, resolution), "x long, k long, loop long, c long, inside long, held long, to long, gain double")
+    return blocks.reads.groupBy("i").cogroup(_told(blocks, state, turn, part).repartition(blocks.parts, "i").groupBy("i")).applyInArrow(choose, STATE)
 
 
-def local_moves(arcs: DataFrame, state: DataFrame, whole: int, resolution: float, tolerance: float, parts: int) -> tuple[DataFrame, float]:
-    """arcs(x, y, w) both ways without loops, kept by y in ``parts`` tasks, state(x, k, loop, c) -> the state after moves, and its modularity."""
-    kept, before, part, turn, calm = None, None, 2, 0, 0
+def local_moves(blocks: Blocks, state: DataFrame, whole: int, resolution: float, tolerance: float) -> tuple[DataFrame, float]:
+    """A level's blocks, state(x, k, loop, c) -> rows of blocks after moves, and their modularity."""
+    state, kept, before, part, turn, calm = _entered(blocks, state), None, None, 2, 0, 0
     while True:
-        now = cut(_stands(arcs, state, whole, resolution, parts))
-        here = F.sum(F.col("inside") + F.col("loop")) / F.lit(float(whole)) - F.lit(resolution) * F.sum(F.col("k") * (F.col("held") / F.lit(float(whole) ** 2)))
-        q, movers = now.agg(here, F.sum((F.col("gain") > 1e-9).cast("long"))).first()
-        q, movers = q or 0.0, movers or 0
+        now = cut(_stands(blocks, state, whole, resolution, turn, part))
+        inner, outer, movers = now.agg(F.sum("inner"), F.sum("outer"), F.sum("movers")).first()
+        q, movers = (inner or 0) / float(whole) - resolution * (outer or 0.0), movers or 0
         if before is not None and q < before - 1e-12:
             part *= 4  # the round before lost: once more with fewer, from where it began
             if part > 512:
-                return kept.select("x", "k", "loop", "c"), before
+                return kept, before
         else:
             calm = calm + 1 if before is not None and q - before < tolerance else 0
             kept, before = now, q
             if not movers or calm > 1:
-                return kept.select("x", "k", "loop", "c"), q
+                return kept, q
             part = max(2, part // 2)
         turn += 1
-        goes = (F.col("gain") > 1e-9) & (F.pmod(F.xxhash64("x", F.lit(turn)), F.lit(part)) == 0)
-        state = kept.select("x", "k", "loop", F.when(goes, F.col("to")).otherwise(F.col("c")).alias("c"))
+        state = kept
+
+
+def contracted(blocks: Blocks, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph of communities of rows of blocks: its arcs and its state, each node alone.  A block's arcs are summed by communities before they are dealt."""
 
+    def ends(key, arcs, rows):
+        (_, _, _, c, _), (at, to, w, _) = _arcs_told(arcs, rows)
+        mine = c[at]
+        order = np.lexsort((to, mine))
+        mine, to, w = mine[order], to[order], w[order]
+        one = _runs(mine, to)
+        return pa.table({"cx": mine[one].astype("int64"), "cy": to[one].astype("int64"), "w": np.add.reduceat(w, one).astype("int64") if len(one) else w.astype("int64")})
 
-def contracted(arcs: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The graph of communities: its arcs and its state, each node alone."""
-    ends = arcs.join(state.select("x", F.col("c").alias("cx")), "x").join(state.select(F.col("x").alias("y"), F.col("c").alias("cy")), "y").groupBy("cx", "cy").agg(F.sum("w").alias("w"))
-    ends = cut(ends)
-    loops = ends.where("cx = cy").select(F.col("cx").alias("c"), F.col("w").alias("more"))
-    nodes = state.groupBy("c").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop")).join(loops, "c", "left").na.fill(0, ["more"])
+    still = _told(blocks, state.withColumn("to", F.col("c")), 0, 1)
+    found = blocks.reads.groupBy("i").cogroup(still.repartition(blocks.parts, "i").groupBy("i")).applyInArrow(ends, "cx long, cy long, w long")
+    found = cut(found.groupBy("cx", "cy").agg(F.sum("w").alias("w")))
+    loops = found.where("cx = cy").select(F.col("cx").alias("c"), F.col("w").alias("more"))
+    nodes = _nodes(state).groupBy("c").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop")).join(loops, "c", "left").na.fill(0, ["more"])
     nodes = cut(nodes.select(F.col("c").alias("x"), "k", (F.col("loop") + F.col("more")).alias("loop"), "c"))
-    return ends.where("cx <> cy").select(F.col("cx").alias("x"), F.col("cy").alias("y"), "w"), nodes
+    return found.where("cx <> cy").select(F.col("cx").alias("x"), F.col("cy").alias("y"), "w"), nodes
 
 
 def communities(pairs: DataFrame, vertices: DataFrame | None = None, resolution: float = 1.0, tolerance: float = 1e-3) -> DataFrame:
@@ -146,36 +307,37 @@ def communities(pairs: DataFrame, vertices: DataFrame | None = None, resolution:
     if not isinstance(kind, T.IntegralType):
         names = cut(u.select(F.col("a").alias("id")).union(u.select("b")).distinct().withColumn("num", F.monotonically_increasing_id()))
         u = u.join(names.withColumnRenamed("id", "a").withColumnRenamed("num", "na"), "a").join(names.withColumnRenamed("id", "b").withColumnRenamed("num", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+        u = cut(u)
     one = F.lit(1).cast("long").alias("w")
     x, y = F.col("a").cast("long"), F.col("b").cast("long")
     arcs = u.select(x.alias("x"), y.alias("y"), one).unionAll(u.select(y.alias("x"), x.alias("y"), one))
-    arcs, parts = _by_node(cut(arcs))
     base = cut(arcs.groupBy(F.col("y").alias("x")).agg(F.sum("w").alias("k")).select("x", "k", F.lit(0).cast("long").alias("loop"), F.col("x").alias("c")))
     whole = base.agg(F.sum("k")).first()[0] or 0
     if not whole:
-        arcs.unpersist()
         if vertices is None:
             return pairs.select(F.col("src").alias("id"), F.col("src").alias("community")).where("false")
         least = vertices.agg(F.min("id").alias("community"))
         return vertices.select("id").distinct().join(least)  # one row
+    blocks = laid(arcs, base, whole)
     state, best = base, None
     while True:
-        state, q = local_moves(arcs, state, whole, resolution, tolerance, parts)
+        moved, q = local_moves(blocks, state, whole, resolution, tolerance)
+        state = cut(_nodes(moved))
         if best is not None and q - best < tolerance:
             break
-        level_arcs, level, found = arcs, state, state.select("x", "c")
+        level_blocks, level, found = blocks, moved, state.select("x", "c")
         while True:
-            ends, level = contracted(level_arcs, level)
-            if level_arcs is not arcs:
-                level_arcs.unpersist()
-            level_arcs, tasks = _by_node(ends)
-            level, higher = local_moves(level_arcs, level, whole, resolution, tolerance, tasks)
+            ends, nodes = contracted(level_blocks, level)
+            if level_blocks is not blocks:
+                level_blocks.drop()
+            level_blocks = laid(ends, nodes, ends.count())
+            level, higher = local_moves(level_blocks, nodes, whole, resolution, tolerance)
             if higher - q < tolerance:
                 break
-            q, found = higher, cut(found.join(level.select(F.col("x").alias("c"), F.col("c").alias("up")), "c").select("x", F.col("up").alias("c")))
-        level_arcs.unpersist()
+            q, found = higher, cut(found.join(_nodes(level).select(F.col("x").alias("c"), F.col("c").alias("up")), "c").select("x", F.col("up").alias("c")))
+        level_blocks.drop()
         best, state = q, cut(state.drop("c").join(found, "x"))
-    arcs.unpersist()
+    blocks.drop()
     member = state.select(F.col("x").cast(kind).alias("id"), "c") if names is None else state.join(names, F.col("x") == F.col("num")).select("id", "c")
     least = member.groupBy("c").agg(F.min("id").alias("community"))
     out = member.join(least, "c").select("id", "community")
